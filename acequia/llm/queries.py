@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acequia.llm.boilerplate import find_boilerplate, main_body
 from acequia.llm.contamination import find_contamination
 from acequia.llm.encode import encode_corpus
 from acequia.llm.incremental_dedup import PostingHistory
+from acequia.llm.pii import detect, mask, surrogates
 from acequia.llm.residue import find_residue, without_residue
+from acequia.llm.scan_repair import find_damage, repair
 from acequia.session import scratch_path, table
 
 
@@ -19,6 +22,50 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.accept(table(spark, sf_dir, "jobs"))
 
 
+#: The fields of each problem: table and column.
+PERSONAL = [("person_profiles", "about"), ("posts_feed", "text"), ("job_details", "description")]
+PAGES = [("person_profiles", "text_ocr"), ("job_details", "text_ocr"), ("posts_companies", "text")]
+SCANS = [("job_details", "text_ocr"), ("person_profiles", "text_ocr"), ("company_profiles", "text_ocr")]
+#: The key of the surrogates; a deployment brings its own secret.
+SURROGATE_KEY = b"acequia"
+
+
+def _texts(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, ingest_seq, text) of several tables' fields."""
+    parts = [
+        table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), "ingest_seq", F.col(c).alias("text")) for t, c in fields
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(_texts(spark, sf_dir, PERSONAL))
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(_texts(spark, sf_dir, PERSONAL))
+
+
+def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(_texts(spark, sf_dir, PERSONAL), SURROGATE_KEY)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_boilerplate(_texts(spark, sf_dir, PAGES))
+
+
+def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(_texts(spark, sf_dir, PAGES))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_damage(_texts(spark, sf_dir, SCANS))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(_texts(spark, sf_dir, SCANS))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +86,13 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_masked": p3_masked,
+    "p3_surrogates": p3_surrogates,
+    "p4_found": p4_found,
+    "p4_body": p4_body,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from acequia.llm.boilerplate import find_boilerplate, main_body
 from acequia.llm.contamination import find_contamination
 from acequia.llm.encode import encode_corpus
+from acequia.llm.entity_match import match_entities
 from acequia.llm.incremental_dedup import PostingHistory
 from acequia.llm.pii import detect, mask, surrogates
 from acequia.llm.residue import find_residue, without_residue
@@ -66,6 +67,14 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(_texts(spark, sf_dir, SCANS))
 
 
+def p7_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_entities(table(spark, sf_dir, "listing_jobs"), table(spark, sf_dir, "jobs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_scored(spark, sf_dir).select("ingest_seq", "listing_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,6 +102,8 @@ QUERIES = {
     "p4_body": p4_body,
     "p6_found": p6_found,
     "p6_repaired": p6_repaired,
+    "p7_found": p7_found,
+    "p7_scored": p7_scored,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,

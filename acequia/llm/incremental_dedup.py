@@ -34,9 +34,9 @@ from pyspark.sql.types import BooleanType
 from acequia.session import settle
 
 WINDOW = 3
-DIVISOR = 6
+DIVISOR = 5
 SEEDS = (17, 91)
-COVERAGE = 0.35
+COVERAGE = 0.3
 SLACK = 3
 #: Boards by host (fixed values); relative addresses belong to the first.
 BOARDS = {"v": "vinculared.example", "t": "tablonlaboral.example"}
@@ -107,9 +107,10 @@ def chunks_of(slugs: DataFrame) -> DataFrame:
             f"filter(sequence(1, greatest(1, len - {WINDOW})), i -> pmod(xxhash64(substring(slug, i, {WINDOW}), {seed}), {DIVISOR}) = 0)"
         )
         bounds = F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.col("len")))
-        x = s.withColumn("b", F.array_distinct(bounds))
+        # a generator between the projections, else the bounds are worked out for every piece
+        x = s.where("len > 0").select("slug", "len", F.explode(F.array(F.array_distinct(bounds))).alias("b"))
         pieces = F.expr("transform(sequence(1, size(b) - 1), i -> substring(slug, b[i-1] + 1, b[i] - b[i-1]))")
-        sets.append(x.where("len > 0").select("slug", "len", F.explode(pieces).alias("piece")).withColumn("seed", F.lit(seed)))
+        sets.append(x.select("slug", "len", F.explode(pieces).alias("piece")).withColumn("seed", F.lit(seed)))
     return sets[0].unionByName(sets[1]).groupBy("slug", "len", "seed", "piece").agg(F.lit(1).alias("_")).select(
         "slug", "len", F.xxhash64("seed", "piece").alias("chunk"), F.length("piece").alias("bytes")
     )
@@ -159,7 +160,7 @@ def near_addresses(asked: DataFrame, known_chunks: DataFrame) -> DataFrame:
     q = q.join(weight, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     common_first = F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
     total = F.expr("sum(bytes) over (partition by slug)")
-    q = q.withColumn("left_out", common_first).withColumn("total", total)
+    q = settle(q.withColumn("left_out", common_first).withColumn("total", total), "p2-asked")
     need = F.col("total") * COVERAGE
     lookup = q.where((F.col("left_out") >= need) & (F.col("df") > 0)).select(
         "slug", "chunk", F.explode(F.sequence(F.col("len") - SLACK, F.col("len") + SLACK)).alias("len")

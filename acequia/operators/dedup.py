@@ -50,23 +50,28 @@ def similar(threshold: float):
 def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq", name: str = "name", rounds: int = 50) -> DataFrame:
     """A row goes if its name resembles that of an earlier row that stays.
 
-    Equal normalised names are settled first (lossless). Pairs of distinct names are found
-    by an exact filter on lengths and letter counts (both bound the ratio), blocked by
-    length; then rounds decide every name whose earlier neighbours are all decided.
-    Unnamed rows stay.
+    Equal normalised names are settled first (lossless). Pairs of distinct names come
+    from a lossless prefix filter on letters and lengths; then rounds decide every name
+    whose earlier neighbours are all decided. Unnamed rows stay.
     """
     keyed = df.withColumn("_n", name_key(F.coalesce(F.col(name), F.lit(""))))
     names = settle(keyed.where("_n <> ''").groupBy("_n").agg(F.min(order).alias("seq")).select(F.col("_n").alias("n"), "seq"), "d2-names")
-    # a ratio of t needs 2*min >= t*(sum of lengths): the longer is at most (2-t)/t times the shorter
-    a = names.select(F.col("n").alias("late"), F.col("seq").alias("ls"), F.length("n").alias("la"))
-    b = names.select(F.col("n").alias("early"), F.col("seq").alias("es"), F.length("n").alias("lb"))
-    reach = F.sequence(F.ceil(F.col("la") * threshold / (2 - threshold)).cast("int"), F.floor(F.col("la") * (2 - threshold) / threshold).cast("int"))
-    near = a.withColumn("lb", F.explode(reach)).join(b, "lb").where("es < ls")
-    shared = F.size(F.expr("array_intersect(split(late, ''), split(early, ''))"))
-    alphabet = F.greatest(F.size(F.expr("array_distinct(split(late, ''))")), F.size(F.expr("array_distinct(split(early, ''))")))
-    # letters that only one side has can't match: each costs at least one of the lengths' sum
-    bound = 2.0 * F.least("la", "lb") - 2 * F.greatest(F.lit(0), alphabet - shared - F.abs(F.col("la") - F.col("lb")))
-    near = near.where(bound >= threshold * (F.col("la") + F.col("lb")))
+    # Matching characters are at most the letters both names have (repeats counted), and a
+    # ratio of t asks for t/2 of both lengths together. So a name of length l needs at least
+    # l*t/(2-t) letters in common with any partner, and two partners share one of the
+    # rarest l - that + 1 letters of each: only names that do are paired, lossless.
+    share = threshold / (2 - threshold)
+    letters = names.select("n", "seq", F.length("n").alias("l"), F.posexplode(F.split("n", "")).alias("i", "c")).where("c <> ''")
+    nth = F.row_number().over(W.Window.partitionBy("n", "c").orderBy("i"))
+    letters = letters.withColumn("letter", F.concat("c", nth.cast("string"))).select("n", "seq", "l", "letter")
+    known = letters.groupBy("letter").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.Window.partitionBy("n").orderBy("df", "letter"))
+    rare = letters.join(known, "letter").withColumn("place", place).where(F.col("place") <= F.col("l") - F.ceil(F.col("l") * share - 1e-9) + 1)
+    rare = settle(rare.select("n", "seq", "l", "letter"), "d2-letters")
+    reach = F.sequence(F.ceil(F.col("l") * share - 1e-9).cast("int"), F.floor(F.col("l") / share + 1e-9).cast("int"))
+    later = rare.select(F.col("n").alias("late"), F.col("seq").alias("ls"), F.col("l").alias("la"), "letter", F.explode(reach).alias("l"))
+    earlier = rare.select(F.col("n").alias("early"), F.col("seq").alias("es"), "l", "letter")
+    near = later.join(earlier, ["letter", "l"]).where("es < ls").select("late", "early").distinct()
     pairs = settle(near.where(similar(threshold)("late", "early")).select("late", "early"), "d2-pairs")
 
     fate = settle(names.select("n", F.lit(None).cast("boolean").alias("stays")), "d2-fate")

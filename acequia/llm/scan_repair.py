@@ -38,6 +38,14 @@ LIKE, LEVEL = "ij1|!e0@†5$89q6€¢", "lllllcoatssbggbcc"
 #: Glyphs no word of these texts has between its letters.
 ODD_GLYPH = r"\p{L}(?:[@†|$¢€0158]|\\/|[ﬁﬂ])|(?:[@†|$¢€0158]|\\/)\p{L}|[ﬁﬂ]"
 
+#: Marks no word of these languages carries.
+ODD_MARK = "[ëåäïöèìòùûîÿ]"
+#: Shapes of a heading that stands on one page only (a two-page text may show it once):
+#: parts set apart, capitals throughout, or a word that opens headings (fixed values).
+HEADING_PARTS = r"\S\s+[·/—–|]\s+\S"
+HEADING_CAPITALS = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
+HEADING_WORDS = ["informe", "memoria anual", "perfil institucional", "company profile", "annual report", "report", "confidencial", "relatorio"]
+
 PAGE_NUMBER = (
     r"^\W*(?:(?i:p[áa]g(?:ina)?|page|p|folio|hoja)\.?\s*)?(?:\d{1,4}|(?i:[ivxl]{1,6}))(?:\s*(?i:de|of|/|-)\s*\d{1,4})?\W*$"
 )
@@ -56,7 +64,7 @@ def folded(c: Column) -> Column:
 
 def skeleton(c: Column) -> Column:
     """The strokes of a word: equal for words that differ by confusable glyphs only."""
-    s = folded(c)
+    s = folded(F.replace(F.lower(c), F.lit("ñ"), F.lit("fi")))
     for glyph, strokes in STROKES:
         s = F.replace(s, F.lit(glyph), F.lit(strokes))
     return F.translate(s, LIKE, LEVEL)
@@ -70,7 +78,7 @@ def scanned_lines(rows: DataFrame) -> DataFrame:
     number = F.col("t").rlike(PAGE_NUMBER) & ~F.col("t").rlike(SENTENCE_END_NUMBER) & (F.length("t") < 25)
     masked = F.regexp_replace("t", PAGE_PART, "")
     lines = lines.withColumn("blank", F.col("t") == "").withColumn("page", number & (F.col("t") != ""))
-    lines = lines.withColumn("hkey", F.when(~F.col("blank") & ~F.col("page"), F.regexp_replace(skeleton(masked), r"[^a-z]+", " ")))
+    lines = lines.withColumn("hkey", F.when(~F.col("blank") & ~F.col("page"), F.trim(F.regexp_replace(skeleton(masked), r"[^a-z]+", " "))))
     order = W.Window.partitionBy(*DOC).orderBy("line_no")
     said = F.when(F.col("hkey").isNotNull(), F.col("t"))
     before = F.last(said, True).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
@@ -83,7 +91,14 @@ def scanned_lines(rows: DataFrame) -> DataFrame:
     marked = lines.withColumn("before", before).withColumn("after", after).withColumn("stands", (~runs_on).cast("int"))
     same = W.Window.partitionBy(*DOC, "hkey")
     ends_sentence = F.col("t").rlike(r"\p{Ll}{2,}[.!?]$") & ~F.col("t").rlike(r"(?:Ltda|Inc|Cia|Ltd|Corp)\.$")
-    header = (
+    company = F.col("t").rlike(r"(?i)(?:\s\.|ltda\.|inc\.|s\.a\.(?:s\.)?)(?:\s+\d+)?$")
+    capitals = F.col("t").rlike(HEADING_CAPITALS) & (F.length(F.regexp_replace("t", r"[^\p{Lu}]", "")) >= 6) & (company | ~F.col("t").rlike(r"[.,;:!?]$"))
+    opens = F.lit(False)
+    for words in HEADING_WORDS:
+        opens = opens | F.regexp_replace(skeleton(F.col("t")), r"[^a-z]+", " ").startswith(F.concat(F.regexp_replace(skeleton(F.lit(words)), r"[^a-z]+", " "), F.lit(" ")))
+    short = F.size(F.split("t", " ")) <= 14
+    shaped = short & ~ends_sentence & (F.col("t").rlike(HEADING_PARTS) | capitals | (opens & F.col("t").rlike(r"^\p{Lu}")))
+    header = (F.col("hkey") != "") & F.coalesce(shaped, F.lit(False)) | (
         F.col("hkey").isNotNull() & (F.length("hkey") >= 3) & ~ends_sentence
         & (F.count("*").over(same) >= 2) & (F.sum("stands").over(same) * 2 > F.count("*").over(same))
     )
@@ -144,16 +159,22 @@ def supported_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     every = counts.unionByName(broken.select("form", F.lit(0).cast("bigint").alias("n"))).groupBy("form").agg(F.sum("n").alias("n"))
     every = every.withColumn("sk", skeleton(F.col("form"))).withColumn("plain", folded(F.col("form")))
+    # a 6 stands for b or for ó: forms with one are looked up both ways
+    six = F.when(F.col("form").rlike(r"\p{L}6|6\p{L}"), F.array("sk", skeleton(F.replace("form", F.lit("6"), F.lit("o"))))).otherwise(F.array("sk"))
     # of the forms of a skeleton the most frequent one, accents aside, is supported
     plain = every.groupBy("sk", "plain").agg(F.sum("n").alias("n"), F.max_by("form", "n").alias("top"))
     best = plain.groupBy("sk").agg(F.max_by(F.struct("plain", "n", "top"), F.struct("n", "plain")).alias("b"))
-    judged = every.join(plain.select("sk", "plain", F.col("n").alias("own")), ["sk", "plain"]).join(best, "sk")
+    owned = every.join(plain.select("sk", "plain", F.col("n").alias("own")), ["sk", "plain"])
+    looked = owned.select("form", "plain", "own", "n", F.explode(six).alias("sk")).join(best, "sk")
+    judged = looked.groupBy("form", "plain", "own", "n").agg(F.max_by("b", F.struct("b.n", "sk")).alias("b"))
     other = F.col("plain") != F.col("b.plain")
     odd = F.col("form").rlike(ODD_GLYPH) & ~F.col("b.plain").rlike(ODD_GLYPH)
     alone_odd = F.col("form").rlike(r"\p{L}(?:[@†]|\\/)\p{L}|^[@†]\p{L}|\p{L}[@†]$|[ﬁﬂ]")
-    misread = (other & ((F.col("b.n") >= RATIO * F.col("own")) | (odd & (F.col("b.n") >= F.col("own"))))) | alone_odd
+    marked = ~other & (F.col("form") != F.col("b.top")) & F.col("form").rlike(ODD_MARK) & ~F.col("b.top").rlike(ODD_MARK) & (F.col("b.n") >= RATIO * F.col("n"))
+    wordlike = F.col("form").rlike(r"[\p{L}@†]")  # numbers are never misread words
+    misread = wordlike & ((other & ((F.col("b.n") >= RATIO * F.col("own")) | (odd & (F.col("b.n") >= F.col("own"))))) | marked | alone_odd)
     # forms neither rare nor odd are left to their context
-    contested = other & ~misread & (F.col("b.n") >= 2 * F.col("own"))
+    contested = other & wordlike & ~misread & (F.col("b.n") >= 2 * F.col("own"))
     forms = judged.select("form", F.col("b.top").alias("best"), misread.alias("misread"), contested.alias("contested"))
     return settle(forms, "p6-judged"), broken
 
@@ -186,8 +207,8 @@ def find_damage(rows: DataFrame) -> DataFrame:
     w = judged_words(lines)
     splits = w.where("broken and split").select(*DOC, "line_no", F.lit("split_word").alias("kind"))
     # in a broken word the wrong glyphs are in the part the supported form doesn't have
-    right = folded(F.col("best"))
-    head_ok, tail_ok = right.startswith(folded(F.col("head"))), right.endswith(folded(F.col("tail")))
+    right = F.col("best")
+    head_ok, tail_ok = right.startswith(F.lower("head")), right.endswith(F.lower("tail"))
     at = F.when(~F.col("broken"), F.array("line_no")).when(head_ok & ~tail_ok, F.array("tail_line")).when(tail_ok & ~head_ok, F.array("line_no")).otherwise(F.array("line_no", "tail_line"))
     wrong = w.where("wrong").select(*DOC, F.explode(at).alias("line_no"), F.lit("misread").alias("kind"))
     every = marks.unionByName(splits).unionByName(wrong).distinct()

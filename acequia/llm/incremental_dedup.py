@@ -5,13 +5,13 @@ the addresses in all their notations. A row without any number is identified by
 readable address (the slug), small deviations allowed, by content-defined chunking:
 
 * a rolling hash over ``WINDOW`` characters puts chunk boundaries where it is 0 modulo
-  ``DIVISOR``, under two seeds, so a deviation touches only the chunks around it;
-* a persistent table holds the chunks (hash, bytes) of every accepted address;
+  ``DIVISOR``, under several seeds, so a deviation touches only the chunks around it;
+* a persistent table holds the chunks (hash, place, length) of every accepted address;
 * the chunks of a new address, rarest first, are looked up there; shared bytes over total
   bytes is the coverage. Rarest first is lossless: chunks are left out of the lookup only
   while all those left out together stay below the coverage asked for, so a pair that
-  reaches it shares a chunk that was looked up. The length of the known address is part
-  of the key (a match differs by at most ``SLACK`` characters), which splits hot chunks;
+  reaches it shares a chunk that was looked up. The place of the chunk is part of the key
+  (a deviation moves it by ``SHIFT`` at most), which splits hot chunks;
 * what passes is confirmed exactly: equal tokens but for one long token with one edit
   (or two neighbours swapped) or a cut-off end.
 
@@ -34,17 +34,19 @@ from pyspark.sql.types import BooleanType
 from acequia.session import settle
 
 WINDOW = 3
-DIVISOR = 5
-SEEDS = (17, 91)
+DIVISOR = 8
+SEEDS = (17, 91, 233, 577)
 COVERAGE = 0.3
 SLACK = 3
+#: Characters that a small deviation moves the text after it.
+SHIFT = 1
 #: Boards by host (fixed values); relative addresses belong to the first.
 BOARDS = {"v": "vinculared.example", "t": "tablonlaboral.example"}
 ADDRESSES = ("url", "job_url", "applyUrl")
 
 POSTINGS = "posting string, first_seq bigint"
 SLUGS = "slug string, posting string, first_seq bigint"
-CHUNKS = "chunk bigint, len int, slug string"
+CHUNKS = "chunk bigint, start int, len int, slug string"
 
 
 def _decoded(c: Column) -> Column:
@@ -99,8 +101,8 @@ def identify(jobs: DataFrame, key: str = "ingest_seq") -> DataFrame:
 
 
 def chunks_of(slugs: DataFrame) -> DataFrame:
-    """(slug, chunk, bytes, len): content-defined chunks of each distinct address."""
-    s = slugs.select("slug", F.length("slug").alias("len"))
+    """(slug, chunk, start, bytes, len): content-defined chunks of each distinct address."""
+    s = slugs.select("slug", F.length("slug").alias("len")).where("len > 0")
     sets = []
     for seed in SEEDS:
         cut = F.expr(
@@ -108,12 +110,15 @@ def chunks_of(slugs: DataFrame) -> DataFrame:
         )
         bounds = F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.col("len")))
         # a generator between the projections, else the bounds are worked out for every piece
-        x = s.where("len > 0").select("slug", "len", F.explode(F.array(F.array_distinct(bounds))).alias("b"))
-        pieces = F.expr("transform(sequence(1, size(b) - 1), i -> substring(slug, b[i-1] + 1, b[i] - b[i-1]))")
-        sets.append(x.select("slug", "len", F.explode(pieces).alias("piece")).withColumn("seed", F.lit(seed)))
-    return sets[0].unionByName(sets[1]).groupBy("slug", "len", "seed", "piece").agg(F.lit(1).alias("_")).select(
-        "slug", "len", F.xxhash64("seed", "piece").alias("chunk"), F.length("piece").alias("bytes")
-    )
+        x = s.select("slug", "len", F.explode(F.array(F.array_distinct(bounds))).alias("b"))
+        pieces = F.expr(
+            "transform(sequence(1, size(b) - 1), i -> struct(b[i-1] as start, substring(slug, b[i-1] + 1, b[i] - b[i-1]) as piece))"
+        )
+        sets.append(x.select("slug", "len", F.explode(pieces).alias("p")).select("slug", "len", "p.start", "p.piece", F.lit(seed).alias("seed")))
+    every = sets[0]
+    for more in sets[1:]:
+        every = every.unionByName(more)
+    return every.select("slug", "len", "start", F.xxhash64("seed", "piece").alias("chunk"), F.length("piece").alias("bytes"))
 
 
 def same_address(a: str, b: str) -> bool:
@@ -158,22 +163,26 @@ def near_addresses(asked: DataFrame, known_chunks: DataFrame) -> DataFrame:
     q = chunks_of(asked)
     weight = known_chunks.join(q.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
     q = q.join(weight, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    common_first = F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
+    common_first = F.expr("sum(bytes) over (partition by slug order by df desc, chunk, start)")
     total = F.expr("sum(bytes) over (partition by slug)")
     q = settle(q.withColumn("left_out", common_first).withColumn("total", total), "p2-asked")
     need = F.col("total") * COVERAGE
     lookup = q.where((F.col("left_out") >= need) & (F.col("df") > 0)).select(
-        "slug", "chunk", F.explode(F.sequence(F.col("len") - SLACK, F.col("len") + SLACK)).alias("len")
+        "slug", "chunk", F.col("len").alias("asked_len"), F.explode(F.sequence(F.col("start") - SHIFT, F.col("start") + SHIFT)).alias("start")
     )
     pairs = (
-        lookup.join(known_chunks.withColumnRenamed("slug", "match"), ["chunk", "len"])
-        .where("slug <> match and split_part(slug, ':', 1) = split_part(match, ':', 1)")
+        lookup.join(known_chunks.withColumnRenamed("slug", "match"), ["chunk", "start"])
+        .where(f"slug <> match and abs(len - asked_len) <= {SLACK} and split_part(slug, ':', 1) = split_part(match, ':', 1)")
+        # small deviations are within SLACK edits: told where the pair arises, so that pairs
+        # of mere resemblance are never shuffled
+        .where(F.levenshtein("slug", "match", SLACK) >= 0)
         .select("slug", "match")
         .distinct()
     )
+    pairs = settle(pairs, "p2-pairs")
     # coverage over all chunks, hot ones included, then the exact check
-    ca = chunks_of(pairs.select("slug").distinct())
-    cb = chunks_of(pairs.select(F.col("match").alias("slug")).distinct()).select(F.col("slug").alias("match"), "chunk")
+    ca = q.select("slug", "chunk", "bytes")
+    cb = known_chunks.select(F.col("slug").alias("match"), "chunk").join(pairs.select("match").distinct(), "match", "left_semi")
     shared = pairs.join(ca, "slug").join(cb, ["match", "chunk"], "left_semi")
     covered = shared.groupBy("slug", "match").agg(F.sum("bytes").alias("shared"))
     totals = q.select("slug", "total").distinct()
@@ -209,7 +218,7 @@ class PostingHistory:
 
         # near repeats of addresses with a posting; then of each other, the earliest leading
         fresh_slugs = numbered.select("slug").unionByName(open_.select("slug")).distinct()
-        fresh_chunks = settle(chunks_of(fresh_slugs).select("chunk", "len", "slug"), "p2-chunks")
+        fresh_chunks = settle(chunks_of(fresh_slugs).select("chunk", "start", "len", "slug"), "p2-chunks")
         near = settle(near_addresses(open_, chunks.unionByName(fresh_chunks)), "p2-near")
         known = table.select(F.col("slug").alias("match"), "posting")
         to_known = near.join(known, "match").groupBy("slug").agg(F.min("posting").alias("posting"))
@@ -248,7 +257,7 @@ class PostingHistory:
             .groupBy("slug").agg(F.min_by("posting", "first_seq").alias("posting"), F.min("first_seq").alias("first_seq"))
         )
         new_slugs = new_slugs.join(slugs.select("slug", "posting").distinct(), ["slug", "posting"], "left_anti")
-        new_chunks = fresh_chunks.join(slugs.select("slug").distinct(), "slug", "left_anti").select("chunk", "len", "slug")
+        new_chunks = fresh_chunks.join(slugs.select("slug").distinct(), "slug", "left_anti").select("chunk", "start", "len", "slug")
         for frame, name in ((known_postings, "postings"), (new_slugs, "slugs"), (new_chunks, "chunks")):
             settle(frame, f"p2-new-{name}").write.mode("append").parquet(f"{self.path}/{name}")
         return found

@@ -82,7 +82,7 @@ def test_near_addresses_recall_against_brute_force(spark):
     known = sorted(set(slugs(400)))
     asked = sorted({deviate(random.choice(known)) for _ in range(120)} - set(known))
     want = {(a, k) for a in asked for k in known if same_address(a, k)}
-    table = chunks_of(spark.createDataFrame([(k,) for k in known], "slug string")).select("chunk", "len", "slug")
+    table = chunks_of(spark.createDataFrame([(k,) for k in known], "slug string")).select("chunk", "start", "len", "slug")
     got = {(r.slug, r.match) for r in near_addresses(spark.createDataFrame([(a,) for a in asked], "slug string"), table).collect()}
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 

@@ -5,7 +5,7 @@ the addresses in all their notations. A row without any number is identified by
 readable address (the slug), small deviations allowed, by content-defined chunking:
 
 * a rolling hash over ``WINDOW`` characters puts chunk boundaries where it is 0 modulo
-  ``DIVISOR``, under several seeds, so a deviation touches only the chunks around it;
+  ``DIVISOR``, in several ways, so a deviation touches only the chunks around it;
 * a persistent table holds the chunks (hash, place, length) of every accepted address;
 * the chunks of a new address, rarest first, are looked up there; shared bytes over total
   bytes is the coverage. Rarest first is lossless: chunks are left out of the lookup only
@@ -35,7 +35,8 @@ from acequia.session import settle
 
 WINDOW = 3
 DIVISOR = 8
-SEEDS = (17, 91, 233, 577)
+#: Chunkings of each address, independent of each other.
+WAYS = 4
 COVERAGE = 0.3
 SLACK = 3
 #: Characters that a small deviation moves the text after it.
@@ -103,22 +104,20 @@ def identify(jobs: DataFrame, key: str = "ingest_seq") -> DataFrame:
 def chunks_of(slugs: DataFrame) -> DataFrame:
     """(slug, chunk, start, bytes, len): content-defined chunks of each distinct address."""
     s = slugs.select("slug", F.length("slug").alias("len")).where("len > 0")
-    sets = []
-    for seed in SEEDS:
-        cut = F.expr(
-            f"filter(sequence(1, greatest(1, len - {WINDOW})), i -> pmod(xxhash64(substring(slug, i, {WINDOW}), {seed}), {DIVISOR}) = 0)"
-        )
-        bounds = F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.col("len")))
-        # a generator between the projections, else the bounds are worked out for every piece
-        x = s.select("slug", "len", F.explode(F.array(F.array_distinct(bounds))).alias("b"))
-        pieces = F.expr(
-            "transform(sequence(1, size(b) - 1), i -> struct(b[i-1] as start, substring(slug, b[i-1] + 1, b[i] - b[i-1]) as piece))"
-        )
-        sets.append(x.select("slug", "len", F.explode(pieces).alias("p")).select("slug", "len", "p.start", "p.piece", F.lit(seed).alias("seed")))
-    every = sets[0]
-    for more in sets[1:]:
-        every = every.unionByName(more)
-    return every.select("slug", "len", "start", F.xxhash64("seed", "piece").alias("chunk"), F.length("piece").alias("bytes"))
+    # one hash per place serves all chunkings, each by bits of its own; the generators keep
+    # what lies before them from being worked out again for every piece
+    hashed = s.select(
+        "slug", "len", F.explode(F.array(F.expr(f"transform(sequence(1, greatest(1, len - {WINDOW})), i -> xxhash64(substring(slug, i, {WINDOW})))"))).alias("h")
+    )
+    ways = []
+    for way in range(WAYS):
+        cut = F.expr(f"filter(sequence(1, size(h)), i -> pmod(shiftrightunsigned(h[i - 1], {13 * way}), {DIVISOR}) = 0)")
+        bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.col("len"))))
+        ways.append(F.struct(F.lit(way).alias("way"), bounds.alias("b")))
+    cuts = hashed.select("slug", "len", F.explode(F.array(*ways)).alias("w")).select("slug", "len", "w.way", "w.b")
+    pieces = F.expr("transform(sequence(1, size(b) - 1), i -> struct(b[i-1] as start, substring(slug, b[i-1] + 1, b[i] - b[i-1]) as piece))")
+    every = cuts.select("slug", "len", "way", F.explode(pieces).alias("p"))
+    return every.select("slug", "len", "p.start", F.xxhash64("way", "p.piece").alias("chunk"), F.length("p.piece").alias("bytes"))
 
 
 def same_address(a: str, b: str) -> bool:

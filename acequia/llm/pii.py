@@ -7,11 +7,14 @@ closing punctuation stay outside the spans.
 
 ``mask_spans`` puts typed placeholders there. ``surrogates`` generates keyed, type-consistent
 replacements instead: a dictionary of all distinct parts (given names, surnames, mailbox
-names, digits of numbers, streets) is built over the corpus, each part gets a replacement
-from HMAC(key, kind, part, attempt) that keeps gender, script, length of digit runs and
+names, streets, and phones and ids as a whole) is built over the corpus, each part gets a
+replacement from HMAC(key, kind, part, attempt) that keeps gender, length of numbers and
 punctuation; parts whose replacement is already another part's (or a real part) move on to
 the next attempt until all are distinct. As parts are replaced one by one, "Ruiz, Ana",
-"ANA RUIZ" and "Ana Ruiz" stay the same person, and different people stay different.
+"ANA RUIZ" and "Ana Ruiz" stay the same person, and different people stay different. Phones
+and ids are keyed by all their digits and letters, however these are grouped. Digits inside
+mail and street addresses and initials are too short for a draw; a keyed permutation of
+equal length keeps them apart, and the words beside them keep the whole from being real.
 
 Detection needs no shuffle. The dictionary is a distributed table, joined back by part.
 
@@ -225,7 +228,10 @@ def mask(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- surrogates
 
 _SYLLABLES = [c + v for c in "b c d f g l m n p r s t v".split() for v in "aeiou"]
+#: Dictionaries whose replacements are distinct by construction.
+PERMUTED = ("digits", "initial")
 _PARTS = regex.compile(r"\p{L}[\p{L}']*|\d+")
+_CONNECTORS = frozenset("arroba at punto dot ponto".split())
 _KEEP_WORDS = frozenset("de del la los las el calle avenida av avda pje bv c rua piso dpto depto n nro street ave lane road izq dcha arroba at punto dot ponto example test invalid com org net".split())
 
 
@@ -238,9 +244,35 @@ def _part_kind(kind: str, part: str) -> str | None:
         return "initial" if len(part) == 1 else f"given_{GIVEN[low]}" if low in GIVEN else "surname"
     if kind == "address":
         return None if low in _KEEP_WORDS or len(part) < 3 else "street"
-    if kind == "email":
-        return None if low in _KEEP_WORDS else "mail"
-    return "letters"
+    return None if low in _KEEP_WORDS else "mail"
+
+
+def _plain(c: str) -> str:
+    return str(unicodedata.decimal(c)) if c.isdecimal() else (_fold(c) or c)[0]
+
+
+def entity_parts(kind: str, text: str, a: int, b: int) -> list[tuple[int, int, str, str, int]]:
+    """(start, stop, dictionary, part, offset) of what is replaced in an entity.
+
+    ``offset`` is the place in the replacement of a number, which is keyed as a whole; -1
+    if the replacement of a part is taken whole.
+    """
+    runs = list(_PARTS.finditer(text, a, b))
+    if kind in ("phone", "id_number"):
+        whole = "".join(_plain(c) for m in runs for c in m.group())
+        out, at = [], 0
+        for m in runs:
+            out.append((m.start(), m.end(), "number", whole, at))
+            at += m.end() - m.start()
+        return out
+    kinds = [_part_kind(kind, m.group()) for m in runs]
+    if kind != "person_name" and not {"mail", "street"} & set(kinds):
+        # nothing but common words and digits: the words are replaced too, else the whole
+        # could be another real one
+        word = "mail" if kind == "email" else "street"
+        kinds = [k or (word if _fold(m.group()) not in _CONNECTORS else None) for k, m in zip(kinds, runs)]
+    same = {"digits": lambda p: "".join(map(_plain, p))}
+    return [(m.start(), m.end(), k, same.get(k, _fold)(m.group()), -1) for k, m in zip(kinds, runs) if k]
 
 
 def _draw(secret: bytes, kind: str, part: str, attempt: int) -> Iterator[int]:
@@ -250,17 +282,51 @@ def _draw(secret: bytes, kind: str, part: str, attempt: int) -> Iterator[int]:
         block += 1
 
 
+@lru_cache(maxsize=1_000)
+def _script(page: int) -> tuple[str, ...]:
+    """Small letters of a page of Unicode (but a to z) that fold to themselves."""
+    cs = map(chr, range(page << 8, (page + 1) << 8))
+    return tuple(c for c in cs if not "a" <= c <= "z" and c.isalpha() and _fold(c) == c and len(c.upper()) == 1 and c.upper().lower() == c)
+
+
+def _alphabet(c: str, first: bool) -> tuple[str, ...]:
+    """The characters that may stand for c; the alphabets don't overlap."""
+    if c.isdigit():
+        return ("0",) if first and c == "0" else tuple("123456789") if first else tuple("0123456789")
+    if "a" <= c <= "z":
+        return tuple("abcdefghijklmnopqrstuvwxyz")
+    letters = _script(ord(c) >> 8)
+    return letters if c in letters else (c,)
+
+
+def permuted(secret: bytes, kind: str, part: str) -> str:
+    """A keyed permutation of the strings of one length: different parts stay different.
+
+    Every step exchanges one character by a permutation that the others choose.
+    """
+    out = list(part)
+    for step in range(3):
+        for i, c in enumerate(out):
+            signs = _alphabet(c, i == 0)
+            rest = f"{kind}|{step}|{i}|{''.join(out[:i])}|{''.join(out[i + 1 :])}"
+            order = sorted(signs, key=lambda x: hmac.new(secret, f"{rest}|{x}".encode(), hashlib.sha256).digest())
+            out[i] = order[signs.index(c)]
+    return "".join(out)
+
+
 @lru_cache(maxsize=100_000)
 def surrogate_part(secret: bytes, kind: str, part: str, attempt: int) -> str:
     """A keyed replacement of one folded part, in lower case."""
+    if kind in PERMUTED:
+        return permuted(secret, kind, part)
     rnd = _draw(secret, kind, part, attempt)
-    if kind == "digits":
-        first = "123456789"[next(rnd) % 9] if part[0] != "0" else "0"
-        return first + "".join(str(next(rnd) % 10) for _ in part[1:])
-    if kind in ("letters", "initial"):
-        return "".join(chr(97 + next(rnd) % 26) for _ in part)
+    if kind == "number":
+        first = "123456789"[next(rnd) % 9] if part[0] in "123456789" else part[0] if part[0] == "0" else chr(97 + next(rnd) % 26)
+        return first + "".join(str(next(rnd) % 10) if c.isdigit() else chr(97 + next(rnd) % 26) for c in part[1:])
     ending = {"given_f": "a", "given_m": "o"}.get(kind, "")
-    body = "".join(_SYLLABLES[next(rnd) % len(_SYLLABLES)] for _ in range(max(3, min(5, len(part) // 2))))
+    # longer after some attempts, so that there is always room
+    size = max(3, min(5, len(part) // 2)) + attempt // 4
+    body = "".join(_SYLLABLES[next(rnd) % len(_SYLLABLES)] for _ in range(size))
     return body[:-1] + ending if ending else body + "rnlsz"[next(rnd) % 5]
 
 
@@ -271,8 +337,8 @@ def _dress(like: str, plain: str) -> str:
 def surrogates(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
     """(table_name, ingest_seq, text) with keyed surrogates instead of personal details.
 
-    Rounds of the collision check end when all replacements are distinct; short digit
-    runs and single letters are exempt, as their space is too small to keep them apart.
+    The collision check goes on until all replacements are distinct and none is real, and
+    raises if ``rounds`` rounds in a row get no nearer (numbers that leave no room).
     """
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,10 +346,7 @@ def surrogates(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
             seen = set()
             for x in pdf.text:
                 for kind, a, b in find_spans(x):
-                    for m in _PARTS.finditer(x[a:b]):
-                        pk = _part_kind(kind, m.group())
-                        if pk:
-                            seen.add((pk, _fold(m.group())))
+                    seen.update((pk, part) for _, _, pk, part, _ in entity_parts(kind, x, a, b))
             yield pd.DataFrame(sorted(seen), columns=["kind", "part"])
 
     @F.pandas_udf("string")
@@ -292,34 +355,37 @@ def surrogates(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
 
     spread = rows.select("table_name", "ingest_seq", "text").where("text is not null")
     todo = settle(spread.mapInPandas(parts, "kind string, part string").distinct().withColumn("attempt", F.lit(0)), "p3-parts")
-    exempt = "(kind = 'initial' or (kind in ('digits', 'letters') and length(part) < 7))"
-    for _ in range(rounds):
+    fewest, idle = None, 0
+    while True:
         named = settle(todo.withColumn("new", drawn("kind", "part", "attempt")), "p3-named")
         rank = F.expr("row_number() over (partition by kind, new order by part)")
         real = named.select("kind", F.col("part").alias("new")).withColumn("taken", F.lit(True))
         judged = named.withColumn("rank", rank).join(real, ["kind", "new"], "left")
+        drawn_kind = ~F.col("kind").isin(*PERMUTED)
         again = settle(
-            judged.select("kind", "part", "attempt", "new", (~F.expr(exempt) & ((F.col("rank") > 1) | F.col("taken").isNotNull())).alias("clash")), "p3-judged"
+            judged.select("kind", "part", "attempt", "new", (drawn_kind & ((F.col("rank") > 1) | F.col("taken").isNotNull())).alias("clash")), "p3-judged"
         )
-        if again.where("clash").isEmpty():
+        clashes = again.where("clash").count()
+        if not clashes:
             break
+        fewest, idle = (clashes, 0) if fewest is None or clashes < fewest else (fewest, idle + 1)
+        if idle >= rounds:
+            raise ValueError(f"{clashes} personal details have no distinct surrogate")
         todo = again.select("kind", "part", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
     final = named.select("kind", "part", "new")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["table_name", "ingest_seq", "start", "stop", "kind", "part", "like"]
+        cols = ["table_name", "ingest_seq", "start", "stop", "kind", "part", "offset", "like"]
         for pdf in batches:
             out = []
             for t, s, x in zip(pdf.table_name, pdf.ingest_seq, pdf.text):
                 for kind, a, b in find_spans(x):
-                    for m in _PARTS.finditer(x[a:b]):
-                        pk = _part_kind(kind, m.group())
-                        if pk:
-                            out.append((t, s, a + m.start(), a + m.end(), pk, _fold(m.group()), m.group()))
+                    out += [(t, s, i, j, pk, part, at, x[i:j]) for i, j, pk, part, at in entity_parts(kind, x, a, b)]
             yield pd.DataFrame(out, columns=cols)
 
-    pieces = spread.mapInPandas(cut, "table_name string, ingest_seq bigint, start int, stop int, kind string, part string, like string")
-    per_row = pieces.join(final, ["kind", "part"]).groupBy("table_name", "ingest_seq").agg(F.collect_list(F.struct("start", "stop", "like", "new")).alias("swaps"))
+    pieces = spread.mapInPandas(cut, "table_name string, ingest_seq bigint, start int, stop int, kind string, part string, offset int, like string")
+    new = F.expr("if(offset < 0, new, substring(new, offset + 1, stop - start))").alias("new")
+    per_row = pieces.join(final, ["kind", "part"]).groupBy("table_name", "ingest_seq").agg(F.collect_list(F.struct("start", "stop", "like", new)).alias("swaps"))
 
     @F.pandas_udf("string")
     def rebuilt(texts: pd.Series, swaps: pd.Series) -> pd.Series:

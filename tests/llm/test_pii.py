@@ -69,3 +69,26 @@ def test_surrogates_keep_people_apart_and_together(spark, rows):
     assert all(len(x) == len("91.195.290.") and x[2] == x[6] == "." for x in ids) and ids[0] != ids[1]
     assert out[6].split()[1].rstrip(".") != given
     assert surrogates(rows.where(F.lit(False)), b"k").collect() == []
+
+
+def test_surrogates_of_short_runs_are_distinct_and_not_real(spark):
+    phones = [f"(011) 5550-{n}" for n in range(1000, 2500)] + [f"+54 9 11 5551-{n}" for n in range(1000, 1500)]
+    ids = [f"91.195.{n}" for n in range(100, 999)]
+    mails = [f"elena{n}@buzon.example" for n in range(10, 100)] + ["90@example.com", "test@example.com"]
+    streets = [f"Calle Hollin {n}" for n in range(100, 900)]
+    names = [f"{c}. Belmarín" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    groups = {"Mi celular es {}.": phones, "Firmado: DNI {}.": ids, "Escribime a {} hoy": mails, "Vivo en {}.": streets, "Firmado: {}, hoy": names}
+    texts = [(group, value, group.format(value)) for group, values in groups.items() for value in values]
+    rows = spark.createDataFrame([("t", i, x[2]) for i, x in enumerate(texts)], "table_name string, ingest_seq bigint, text string")
+    out = {r.ingest_seq: r.text for r in surrogates(rows, b"secret").collect()}
+    for group, values in groups.items():
+        new = {out[i] for i, x in enumerate(texts) if x[0] == group}
+        assert len(new) == len(values), group
+        assert not new & {group.format(v) for v in values}, group
+
+
+def test_a_number_is_the_same_however_it_is_grouped(spark):
+    texts = ["Firmado: DNI 91.195.290.", "Firmado: DNI 91195290."]
+    rows = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "table_name string, ingest_seq bigint, text string")
+    a, b = [r.text for r in surrogates(rows, b"secret").orderBy("ingest_seq").collect()]
+    assert a != texts[0] and a.replace(".", "") == b.replace(".", "")

@@ -17,7 +17,7 @@ from pyspark.sql.types import BooleanType
 
 from acequia.functions.predicates import is_junk_title
 from acequia.functions.scalars import name_key, truthy, url_key
-from acequia.session import settle
+from acequia.session import scratch_path, settle
 
 
 def first_seen(df: DataFrame, key: Column, order: str = "ingest_seq") -> DataFrame:
@@ -47,12 +47,53 @@ def similar(threshold: float):
     return judge
 
 
-def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq", name: str = "name", rounds: int = 50) -> DataFrame:
+#: Pairs that one task may scan in order; while more are undecided, rounds decide them.
+SCAN_PAIRS = 1 << 18
+
+
+def _scan(edges: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule over all edges, in order of arrival."""
+    gone: set = set()
+    for _, late, earlier in sorted((seq, late, list(g)) for (seq, late), g in edges.groupby(["ls", "late"])["early"]):
+        if any(e not in gone for e in earlier):
+            gone.add(late)
+    return pd.DataFrame({"late": sorted(gone)})
+
+
+def refused(pairs: DataFrame, scan_pairs: int = SCAN_PAIRS) -> DataFrame:
+    """(late): what a greedy scan refuses, each for an earlier neighbour that stays.
+
+    ``pairs`` (late, early, ls) holds every neighbour that came before ``late``, whose
+    place is ``ls``. A round settles all whose earlier neighbours are decided, at least the
+    earliest, and drops the edges of the decided; a remainder of ``scan_pairs`` edges is
+    scanned in one task. It goes on until nothing is undecided, however long the chains.
+    """
+    spark = pairs.sparkSession
+    kind = pairs.schema["late"].dataType.simpleString()
+    path = scratch_path(spark, "refused")
+    pairs.select("late").limit(0).write.parquet(path)
+    edges, before = pairs, None
+    while left := edges.count():
+        if left <= scan_pairs:
+            edges.groupBy().applyInPandas(_scan, f"late {kind}").write.mode("append").parquet(path)
+            break
+        if before is not None and left >= before:
+            raise RuntimeError(f"{left} pairs stay undecided")
+        before = left
+        firm = edges.select("early").join(edges.select(F.col("late").alias("early")), "early", "left_anti").distinct()
+        hit = settle(edges.join(firm, "early", "left_semi").select("late").distinct(), "refused-hit")
+        hit.write.mode("append").parquet(path)
+        rest = edges.join(hit, "late", "left_anti").join(hit.select(F.col("late").alias("early")), "early", "left_anti")
+        edges = settle(rest.select("late", "early", "ls"), "refused-edges")
+    return spark.read.schema(f"late {kind}").parquet(path)
+
+
+def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq", name: str = "name", scan_pairs: int = SCAN_PAIRS) -> DataFrame:
     """A row goes if its name resembles that of an earlier row that stays.
 
     Equal normalised names are settled first (lossless). Pairs of distinct names come
-    from a lossless prefix filter on letters and lengths; then rounds decide every name
-    whose earlier neighbours are all decided. Unnamed rows stay.
+    from a lossless prefix filter on letters and lengths; ``refused`` decides them. Unnamed
+    rows stay.
     """
     keyed = df.withColumn("_n", name_key(F.coalesce(F.col(name), F.lit(""))))
     names = settle(keyed.where("_n <> ''").groupBy("_n").agg(F.min(order).alias("seq")).select(F.col("_n").alias("n"), "seq"), "d2-names")
@@ -71,26 +112,14 @@ def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq
     reach = F.sequence(F.ceil(F.col("l") * share - 1e-9).cast("int"), F.floor(F.col("l") / share + 1e-9).cast("int"))
     later = rare.select(F.col("n").alias("late"), F.col("seq").alias("ls"), F.col("l").alias("la"), "letter", F.explode(reach).alias("l"))
     earlier = rare.select(F.col("n").alias("early"), F.col("seq").alias("es"), "l", "letter")
-    near = later.join(earlier, ["letter", "l"]).where("es < ls").select("late", "early").distinct()
-    pairs = settle(near.where(similar(threshold)("late", "early")).select("late", "early"), "d2-pairs")
-
-    fate = settle(names.select("n", F.lit(None).cast("boolean").alias("stays")), "d2-fate")
-    for _ in range(rounds):
-        e = fate.select(F.col("n").alias("early"), F.col("stays").alias("es"))
-        seen = pairs.join(e, "early").groupBy("late").agg(
-            F.max(F.coalesce("es", F.lit(False))).alias("hit"), F.min(F.col("es").isNotNull()).alias("known")
-        )
-        step = fate.join(seen, F.col("n") == F.col("late"), "left").select(
-            "n",
-            F.coalesce(
-                "stays",
-                F.when(F.col("late").isNull(), F.lit(True)).when(F.col("hit"), F.lit(False)).when(F.col("known"), F.lit(True)),
-            ).alias("stays"),
-        )
-        fate = settle(step, "d2-fate")
-        if fate.where("stays is null").isEmpty():
-            break
-    stays = names.join(fate.where("stays"), "n").select(F.col("n").alias("_n"), F.col("seq").alias("_first"))
+    near = later.join(earlier, ["letter", "l"]).where("es < ls").select("late", "early", "ls").distinct()
+    # written and spread first: the ratio is worked out once a pair, and not in a few tasks
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = settle(near.repartition(spread, "late", "early"), "d2-near")
+    pairs = settle(near.where(similar(threshold)("late", "early")), "d2-pairs")
+
+    gone = refused(pairs, scan_pairs).select(F.col("late").alias("n"))
+    stays = names.join(gone, "n", "left_anti").select(F.col("n").alias("_n"), F.col("seq").alias("_first"))
     named = keyed.where("_n <> ''").join(stays, "_n").where(F.col(order) == F.col("_first")).drop("_first")
     return keyed.where("_n = ''").unionByName(named).drop("_n")
 

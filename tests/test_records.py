@@ -241,6 +241,28 @@ def test_dedup_names_is_the_greedy_scan(spark):
     assert got == greedy([n.strip() for n in names])
 
 
+def test_dedup_names_decides_chains_of_any_length(spark):
+    random.seed(11)
+    name, names = list("".join(random.choice("abcdefghijklmnop") for _ in range(20))), []
+    for _ in range(240):  # each name resembles only the ones just before it
+        names.append("".join(name))
+        name[random.randrange(20)] = random.choice("abcdefghijklmnop")
+    df = spark.createDataFrame(list(enumerate(names)), "ingest_seq bigint, name string")
+    assert [r.name for r in D.dedup_names(df).orderBy("ingest_seq").collect()] == greedy(names)
+
+
+def test_greedy_rounds_equal_the_scan(spark):
+    random.seed(3)
+    edges = sorted({(b, a, b) for a, b in (sorted(random.sample(range(40), 2)) for _ in range(60))} | {(i, i - 1, i) for i in range(50, 60)})
+    gone: set = set()
+    for late in range(60):
+        if any(b == late and a not in gone for b, a, _ in edges):
+            gone.add(late)
+    pairs = spark.createDataFrame(edges, "late bigint, early bigint, ls bigint")
+    for limit in (0, 12, 1000):
+        assert sorted(r.late for r in D.refused(pairs, limit).collect()) == sorted(gone)
+
+
 def test_dedup_jobs_golden(spark):
     rows = [(1, None, "Publicidad", "", ""), (2, 7, "", "", ""), (3, None, "Dev", "Acme", "Argentina"), (4, 7, "Dev", "Acme", "")]
     df = spark.createDataFrame(rows, "ingest_seq bigint, jobId bigint, title string, companyName string, location string").withColumn("postedDate", F.lit("")).withColumn("applyUrl", F.lit(None).cast("string"))

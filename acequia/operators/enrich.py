@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from acequia.functions.scalars import truthy
 from acequia.operators.aggregate import cap
-from acequia.operators.dedup import first_seen
+from acequia.operators.dedup import first_seen, refused
+from acequia.session import settle
 
 
 def detail_lookup(rows: DataFrame, details: DataFrame, key: str, n: int, order: str) -> DataFrame:
@@ -46,7 +47,7 @@ def fan_out(searches: DataFrame, posts: DataFrame, n: int, order: str) -> DataFr
 
 
 def not_contained(rows: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
-    """Rows whose name neither holds nor is held by any name of ``others``.
+    """The static part of J5: rows whose name neither holds nor is held by any of ``others``.
 
     A theta join: ``others`` must be small. Distinct names meet, not rows; the empty name
     is held by every name.
@@ -57,6 +58,46 @@ def not_contained(rows: DataFrame, others: DataFrame, name: str, other: str) ->
     return rows.join(free, F.col(name) == F.col("_a")).drop("_a")
 
 
+#: Length of the pieces by which names that hold each other are found.
+GRAM = 3
+
+
+def holding(names: DataFrame) -> DataFrame:
+    """(big, bs, small, ss) for distinct names (t, s): each that holds another, lossless.
+
+    A name holds another only if it has that one's rarest piece of GRAM letters. Names
+    shorter than a piece meet all others.
+    """
+    cut = F.expr(f"array_distinct(transform(sequence(1, length(t) - {GRAM - 1}), i -> substring(t, i, {GRAM})))")
+    grams = settle(names.where(F.length("t") >= GRAM).select("t", "s", F.explode(cut).alias("gram")), "j5-grams")
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(df, "gram").groupBy("t", "s").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    small = rarest.select(F.col("t").alias("small"), F.col("s").alias("ss"), "gram")
+    big = grams.select(F.col("t").alias("big"), F.col("s").alias("bs"), "gram")
+    long = big.join(small, "gram").select("big", "bs", "small", "ss")
+    short = names.where(F.length("t") < GRAM).select(F.col("t").alias("small"), F.col("s").alias("ss"))
+    brief = names.select(F.col("t").alias("big"), F.col("s").alias("bs")).crossJoin(short)
+    return long.unionByName(brief).where((F.col("big") != F.col("small")) & F.col("big").contains(F.col("small")))
+
+
+def references_added(people: DataFrame, references: DataFrame, name: str = "name", order: str = "ingest_seq") -> DataFrame:
+    """The references that join the parsed people, taken in order of arrival.
+
+    A reference is added if its name neither holds nor is held by a parsed name or by an
+    earlier reference that was added. A missing name is empty, which every name holds.
+    """
+    said = references.withColumn("_t", F.coalesce(name, F.lit("")))
+    texts = said.groupBy("_t").agg(F.min(F.col(order).cast("bigint")).alias("s")).withColumnRenamed("_t", "t")
+    parsed = people.select(F.coalesce(name, F.lit("")).alias("t")).distinct()
+    fresh = settle(texts.join(parsed, "t", "left_anti"), "j5-fresh")
+    pairs = holding(settle(parsed.withColumn("s", F.lit(None).cast("bigint")).unionByName(fresh), "j5-names"))
+    a = pairs.where("bs is not null and (ss is null or ss < bs)").selectExpr("big as late", "small as early", "bs as ls")
+    b = pairs.where("ss is not null and (bs is null or bs < ss)").selectExpr("small as late", "big as early", "ss as ls")
+    gone = refused(settle(a.unionByName(b), "j5-pairs")).withColumnRenamed("late", "t")
+    first = fresh.join(gone, "t", "left_anti")
+    return said.join(first, (F.col("_t") == F.col("t")) & (F.col(order) == F.col("s"))).drop("_t", "t", "s")
+
+
 def keyword_hits(texts: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
     """(key, keyword) for each keyword (a table kw) a text contains; for long lists."""
     k = F.broadcast(keywords.select("kw"))

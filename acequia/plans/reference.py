@@ -530,6 +530,14 @@ def _listing_texts(spark, d):
     return A.joined_text(rows, "kw", "listing_id", "x").select("kw", F.concat("joined", F.lit("\n-\n")).alias("text"))
 
 
+@query()
+def references_added(spark, d):
+    """J5 whole: all reference names, in order, against all names parsed from texts."""
+    profiles = table(spark, d, "person_profiles")
+    people = profiles.select(F.explode(L.people_of_text(F.col("text_ocr"))).alias("name"))
+    return E.references_added(people, profiles).select("ingest_seq", "name")
+
+
 @query()
 def listing_parse(spark, d):
     return L.listing_records(_listing_texts(spark, d), "kw", "text")

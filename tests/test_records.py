@@ -296,6 +296,25 @@ def test_empty_name_holds_everything(spark):
     assert E.not_contained(a, b, "a", "b").count() == 0
 
 
+def test_references_are_added_in_order(spark):
+    def added(parsed, refs):
+        names, kept = list(parsed), []
+        for i, t in enumerate(refs):
+            if not any(n in t or t in n for n in names):
+                names.append(t)
+                kept.append(i)
+        return kept
+
+    random.seed(2)
+    word = lambda: "".join(random.choice("abc") for _ in range(random.randint(1, 6)))
+    cases = [([], ["Ana Ruiz", "Ana Ruiz Paz", "Ana Ruiz", "Leo"]), ([], ["", "Ana"]), ([""], ["Ana"]), (["Ana Ruiz"], ["Ruiz", "Paz", "Ana Ruiz"])]
+    cases.append(([word() + "x" for _ in range(5)], [word() for _ in range(80)]))
+    for parsed, refs in cases:
+        people = spark.createDataFrame([(n,) for n in parsed], "name string")
+        got = E.references_added(people, spark.createDataFrame(list(enumerate(refs)), "ingest_seq bigint, name string"))
+        assert sorted(r.ingest_seq for r in got.collect()) == added(parsed, refs)
+
+
 def test_rates_and_pages(spark):
     ev = spark.createDataFrame([("k", dt.datetime(2025, 1, 1, 0, 0, s)) for s in (0, 30, 59)] + [("k", dt.datetime(2025, 1, 1, 0, 1, 1))], "k string, ts timestamp")
     assert sorted((r.calls, round(r.per_minute, 2)) for r in A.rolling_calls(ev, "k", "ts").collect()) == [(1, 1.0), (2, 4.0), (3, 3.05), (3, 5.81)]

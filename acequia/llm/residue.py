@@ -4,7 +4,8 @@ Texts are cut into messages (sentences and lines) with their digits masked. Dist
 messages are sorted into a prefix tree of fixed depth: first the number of tokens, then
 the first ``DEPTH`` tokens. Within a leaf a token stays constant at a position if it makes
 up ``KEEP_SHARE`` of the leaf's messages there, else it becomes a wildcard; messages equal
-after that are one template. Each template is classified once; verdicts go back to the
+after that are one template. Each template is classified once, and messages that lost a word to a
+wildcard once more by their own words; verdicts go back to the
 messages of the template and from there to the documents that hold one. Unfilled slots
 inside ordinary records are found separately, in the raw messages.
 
@@ -50,10 +51,15 @@ ABOUT_SLOTS = (
     r"|plantillas? (?:de \w+ )?(?:saluda|imprime|muestra)n?|sintaxis|syntax|tests? cover|we (?:print|render|use|test|write))\b"
 )
 
+# Fixed value: "we" and "our" open a sentence that explains, unless it reports a failure itself.
+_TELLING = (
+    r"we (?!could ?n[o'’]|can ?n[o'’]|can['’]t|are (?:sorry|unable|having|experiencing|currently)|were |did ?n[o'’]|do ?n[o'’]|have (?:encountered|run into)|encountered|['’])"
+    r"|our (?!(?:\S+ )?(?:servers?|sites?|websites?|services?|systems?|pages?) (?:is|are|has|have|was|were|could|can)\b)"
+)
 # Wording of the classes, matched on lower-case templates without accents.
 CLASSES = {
     "about": (
-        r"^(?:disenamos|bajamos|reemplazamos|buscamos|reducimos|medimos|hacemos|we |you will|our |no more|voce vai|vas a|criamos|desenhamos)"
+        r"^(?:disenamos|bajamos|reemplazamos|buscamos|reducimos|medimos|hacemos|" + _TELLING + r"|you will|no more|voce vai|vas a|criamos|desenhamos)"
         r"|\b(?:are part of|is part of|design brief|domine|how often|per day|por dia|nunca queda|prototipos|mock-ups|friendly pages|error pages for)\b"
     ),
     "script": (
@@ -92,7 +98,10 @@ def messages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def mine_templates(msgs: DataFrame) -> DataFrame:
-    """(message, n, template): every distinct message with the template it belongs to."""
+    """(message, n, template, lost): every distinct message with the template it belongs to.
+
+    ``lost`` tells that a word of the message became a wildcard there.
+    """
     counted = msgs.groupBy("message").agg(F.count("*").alias("n"))
     tokens = F.split("message", " ")
     wild = lambda t: F.when(~t.rlike(r"\p{L}"), F.lit(WILD)).otherwise(t)
@@ -105,11 +114,12 @@ def mine_templates(msgs: DataFrame) -> DataFrame:
     kept = share.join(whole, "path").where((F.col("pos") < DEPTH) | (F.col("k") >= KEEP_SHARE * F.col("total"))).select("path", "pos", "token", F.lit(True).alias("keep"))
     built = (
         at.join(kept, ["path", "pos", "token"], "left")
+        .withColumn("starred", F.col("keep").isNull() & (F.col("token") != WILD))
         .withColumn("token", F.when(F.col("keep"), F.col("token")).otherwise(WILD))
         .groupBy("message", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"), F.max("starred").alias("lost"))
     )
-    return built.select("message", "n", F.array_join("parts.token", " ").alias("template"))
+    return built.select("message", "n", F.array_join("parts.token", " ").alias("template"), "lost")
 
 
 def classify_templates(mined: DataFrame) -> DataFrame:
@@ -133,7 +143,9 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     msgs = messages(docs, key, text)
     mined = mine_templates(msgs)
     bad = classify_templates(mined).where(~F.col("verdict").isin("ordinary", "about"))
-    condemned = mined.join(bad, "template").select("message", "verdict")
+    by_own = classify_templates(mined.where("lost").select(F.col("message").alias("template"))).where(~F.col("verdict").isin("ordinary", "about"))
+    condemned = mined.join(bad, "template").select("message", "verdict").unionByName(by_own.withColumnRenamed("template", "message"))
+    condemned = condemned.groupBy("message").agg(F.min("verdict").alias("verdict"))
     by_template = msgs.join(broadcast_if_small(condemned), "message").select("doc", F.col("verdict").alias("reason"))
     by_slot = msgs.where(unresolved_slot(F.col("raw"))).select("doc", F.lit("slot").alias("reason"))
     both = by_template.unionByName(by_slot)

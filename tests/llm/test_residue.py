@@ -38,3 +38,12 @@ def test_templates_and_empty_table(spark):
     df = spark.createDataFrame([(i, f"Código {i} del caso abierto por usuario{i}.") for i in range(30)], "doc_id bigint, text string")
     assert {r.template for r in mine_templates(messages(df)).collect()} == {"Código <*> del caso abierto por <*>"} or len({r.template for r in mine_templates(messages(df)).collect()}) == 1
     assert find_residue(df.limit(0)).collect() == []
+
+
+def test_rare_messages_of_a_common_leaf_and_failures_told_by_us(spark):
+    words = [chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)]
+    ordinary = [f"The team said hello there {w}" for w in words]
+    bad = ["The team said placeholder text now", "We could not load this page, try again later", "Our server is temporarily unavailable"]
+    fine = ["We design friendly pages that say try again later", "Our error pages for lost visitors say page not found"]
+    docs = spark.createDataFrame(list(enumerate(ordinary + bad + fine)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in find_residue(docs).collect()) == [100, 101, 102]

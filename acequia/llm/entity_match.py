@@ -1,18 +1,20 @@
 """The same openings matched across sources that share no key, each pair with a confidence.
 
-Titles are parsed into role, technology and seniority (synonyms and translations level out,
-single typing errors are corrected against the vocabulary), company names lose legal and
-market suffixes, places become a city and a country. Distinct openings and listings of
-equal content are matched once; members come back at the end.
-
-Candidates share the parsed title and the beginning or the end of the company's core name
-(a single error leaves one of them whole), or the company and all of the title but the
-seniority. Each pair has a similarity vector. A mixture of two Gaussians, matched and
-unmatched, with regularised covariance is fitted to the vectors by expectation-
-maximisation without any labels; in each E-step transitivity is enforced: a listing that
-matched two openings would make these the same, which they aren't, so the posteriors of a
-listing's pairs may not add up to more than one. Pairs stay distributed; the driver sees the
-sums of the M-step only. An exact check on the best pair of each listing follows.
+Titles become words: synonyms, translations and seniorities of the lexicon level out and
+single typing errors against it are corrected; words the lexicon lacks stand for
+themselves. Company names lose legal suffixes, places become a city and a country. Distinct
+openings and listings of equal content are matched once; members come back at the end.
+
+Candidates share the beginning or the end of the company's core name and one word of the
+title, or the whole company and the place; no key fixes the title. Each pair has a vector
+of graded similarities. A mixture of two Gaussians, matched and unmatched, with regularised
+covariance is fitted to the vectors by expectation-maximisation until it stands still,
+without any labels. Similarities lie on a grid, so the fit itself needs only the number of
+pairs at each of its points, at most a few thousand rows whatever the corpus. Transitivity
+is enforced in the E-step: a listing that matched two openings, or an opening two listings,
+would make these the same, which distinct contents aren't, so the posteriors of the pairs
+of either may not add up to more than one. A pair is a match if its posterior is at least
+``ACCEPT``; nothing else decides.
 
 Defined results: a null, empty or blank title or company matches nothing; a missing place
 contradicts nothing; of openings with equal content the row that arrived first stands for
@@ -28,14 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from acequia.session import settle
 
-# Roles with their words, technologies, seniorities (accents removed).
+# A lexicon of roles with their words, technologies, seniorities (accents
+# removed). It levels synonyms out; words that it lacks are compared as they stand.
 ROLES = {
     "developer": ["desarrollador", "desarrolladora", "developer", "dev", "desenvolvedor", "programador"],
     "engineer": ["engineer", "ingeniero", "ingeniera", "engenheiro"],
@@ -88,9 +90,20 @@ COUNTRIES = {
 }
 
 FEATURES = ["company", "level", "place", "title"]
-ITERATIONS = 8
+#: Steps of the title's similarity; the other features have fewer values.
+GRID = 20
 RIDGE = 0.01
+#: Candidates' companies resemble at least so much (three edits); else nothing links them.
+RESEMBLES = 0.01
+#: EM begins with the pairs whose similarities are all at least these, in the order of FEATURES.
+START = [0.5, 0.75, 0.5, 0.75]
 ACCEPT = 0.5
+#: EM ends when the posteriors of all pairs together move by less than this share of the pairs.
+STILL = 1e-6
+MOST_ROUNDS = 1_000
+#: Posterior below which a pair can't bear on the constraints.
+ALIVE = 1e-6
+POINT = "company double, level double, place double, title double, point int, raw double"
 
 
 def fold(s: str) -> str:
@@ -138,6 +151,19 @@ def _find(words: list[str], vocabulary: dict[str, str]) -> str:
     return vocabulary[max(inside, key=len)] if inside else ""
 
 
+_LEVEL_WORDS = {"trainee": "trainee", "junior": "junior", "jr": "junior", "senior": "senior", "sr": "senior", "ssr": "semi", "semisenior": "semi", "semisr": "semi"}
+
+
+def _left_over(words: list[str], *known: str) -> str:
+    """The letters of a title without the words of its role and technology."""
+    run = re.sub(r"[^a-z0-9.+#]", "", "".join(words))
+    for k in known:
+        forms = [v for group in (ROLES, TECHNOLOGIES) for v in group.get(k, ())]
+        hit = max((v for v in forms if v in run), key=len, default="")
+        run = run.replace(hit, "", 1) if hit else run
+    return re.sub(r"[^a-z]", "", run)
+
+
 @lru_cache(maxsize=200_000)
 def parse_title(title: str) -> tuple[str, str, str]:
     """(role, technology, seniority); what can't be told is ''."""
@@ -158,7 +184,21 @@ def parse_title(title: str) -> tuple[str, str, str]:
             rest = rest.replace(w, "", 1)
         near = sorted((edits(rest, v, 2), v) for v in _TECH)
         tech = _TECH[near[0][1]] if rest and near[0][0] <= 1 else ""
-    return _find(words, _ROLE), tech, level
+    role = _find(words, _ROLE)
+    if level in ("", "senior") and role and tech:  # a seniority with an error, or run into its neighbours
+        rest = _left_over(words, role, tech)
+        near = sorted((edits(rest, v, 2), -len(v), v) for v in _LEVEL_WORDS if len(rest) >= 2 and (len(v) > 3 or v == rest))
+        level = _LEVEL_WORDS[near[0][2]] if near and near[0][0] <= 1 else level
+    return role, tech, level
+
+
+def title_words(title: str, role: str, tech: str) -> list[str]:
+    """What a title is compared by: role and technology, else its words but the seniority."""
+    if role and tech:
+        return sorted({role, tech})
+    words = re.findall(r"[\w+#]+", TITLE_NOISE.sub(" ", fold(title)))
+    own = {_ROLE.get(w) or _TECH.get(w) or w for w in words if w not in _LEVEL_WORDS and w not in ("semi", "de", "of", "en", "in", "a", "e", "y", "and")}
+    return sorted(own | {w for w in (role, tech) if w})
 
 
 @lru_cache(maxsize=200_000)
@@ -187,7 +227,8 @@ def parse_place(place: str | None) -> tuple[str, str]:
     return rest, country
 
 
-PARSED = "title string, name string, place string, role string, tech string, level string, whole string, core string, line string, city string, country string"
+PARSED = "title string, name string, place string, words array<string>, level string, whole string, core string, line string, city string, country string"
+CONTENT = ["words", "level", "whole", "core", "line", "city", "country"]
 
 
 def parsed(records: DataFrame, key: str, title: str, company, location: str) -> tuple[DataFrame, DataFrame]:
@@ -200,115 +241,121 @@ def parsed(records: DataFrame, key: str, title: str, company, location: str) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(t, n, p, *parse_title(t), *parse_company(n), *parse_place(p)) for t, n, p in zip(pdf.title, pdf.name, pdf.place)]
+            out = []
+            for t, n, p in zip(pdf.title, pdf.name, pdf.place):
+                role, tech, level = parse_title(t)
+                out.append((t, n, p, title_words(t, role, tech), level, *parse_company(n), *parse_place(p)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     forms = raw.select("title", "name", "place").distinct().mapInPandas(run, PARSED)
-    # a title outside the vocabulary stands for itself, by its sorted words
-    words = F.array_join(F.array_sort(F.split(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", " "), " ")), " ")
-    named = F.when((F.col("role") != "") & (F.col("tech") != ""), F.concat_ws("|", "role", "tech")).otherwise(words)
-    forms = forms.withColumn("job", named)
-    content = ["job", "level", "whole", "core", "line", "city", "country"]
-    rows = raw.join(forms, ["title", "name", "place"]).select("row", *content)
-    rows = rows.withColumn("id", F.xxhash64(*content))
-    contents = rows.groupBy("id").agg(F.min("row").alias("first"), *[F.first(c).alias(c) for c in content], F.count("*").alias("copies"))
-    return settle(contents, f"p7-{key}"), rows.select("id", "row")
+    rows = raw.join(forms, ["title", "name", "place"]).select("row", *CONTENT)
+    rows = settle(rows.withColumn("id", F.xxhash64(*CONTENT)), f"p7-{key}")
+    contents = rows.groupBy("id").agg(F.min("row").alias("first"), *[F.first(c).alias(c) for c in CONTENT])
+    return contents, rows.select("id", "row")
 
 
 def _keys(c: DataFrame) -> DataFrame:
-    k = lambda tag, *cols: F.concat_ws("\x01", F.lit(tag), *cols)
+    """A row for each key of a content; hot companies are split by word and by place."""
+    k = lambda tag, *cols: F.xxhash64(F.lit(tag), *cols)
     begin, end = F.substring("core", 1, 4), F.expr("right(core, 4)")
-    keys = F.array(
-        k("b", "job", "level", begin), k("e", "job", "level", end), k("w", "whole", "job"),
-    )
+    by_word = F.transform("words", lambda w: F.array(k("b", begin, w), k("e", end, w)))
+    by_place = F.when((F.col("city") != "") | (F.col("country") != ""), F.array(k("p", "whole", "city", "country")))
+    keys = F.array_distinct(F.concat(F.flatten(by_word), F.coalesce(by_place, F.array().cast("array<bigint>"))))
     return c.withColumn("key", F.explode(keys))
 
 
-def company_similarity(a: tuple[str, str, str], b: tuple[str, str, str]) -> int:
-    """Edits between two company names; one may leave its line of business out."""
-    best = edits(a[0], b[0])
-    if best and (not a[2] or not b[2]):
-        best = min(best, edits(a[1], b[1]) if not a[2] and not b[2] else 0 if a[1] == b[1] else 4)
-    return best
-
-
-def place_similarity(a: tuple[str, str], b: tuple[str, str]) -> float:
-    if not any(a) or not any(b):
-        return 0.5
-    if a[0] and b[0]:
-        return 1.0 if a[0] == b[0] else 0.0
-    return 0.75 if a[1] and a[1] == b[1] else 0.0 if a[1] and b[1] else 0.5
+def _gap(a: str, b: str) -> str:
+    """SQL of the edits between two names, up to 4, a swap of neighbours counted once."""
+    letters = lambda c: f"array_join(array_sort(split({c}, '')), '')"
+    d = f"levenshtein({a}, {b}, 4)"
+    return f"case when {a} = {b} then 0 when {d} = 2 and length({a}) = length({b}) and {letters(a)} = {letters(b)} then 1 when {d} < 0 then 4 else {d} end"
+
+
+def similarities() -> dict[str, Column]:
+    """FEATURES of a pair whose sides are prefixed l and o, each on a grid."""
+    gap = F.expr(
+        f"case when lwhole = owhole then 0 when lline = '' and oline = '' then {_gap('lwhole', 'owhole')}"
+        f" when lline = '' or oline = '' then least({_gap('lwhole', 'owhole')}, if(lcore = ocore, 0, 4)) else {_gap('lwhole', 'owhole')} end"
+    )
+    place = F.expr(
+        "case when (lcity = '' and lcountry = '') or (ocity = '' and ocountry = '') then 0.5"
+        " when lcity <> '' and ocity <> '' then if(lcity = ocity, 1.0, 0.0)"
+        " when lcountry <> '' and ocountry <> '' then if(lcountry = ocountry, 0.75, 0.0) else 0.5 end"
+    )
+    rank = lambda c: f"array_position(array('trainee', 'junior', 'semi', 'senior'), {c})"
+    level = F.expr(f"case when llevel = olevel then 1.0 when llevel = '' or olevel = '' then 0.25 else 0.5 - 0.25 * (abs({rank('llevel')} - {rank('olevel')}) - 1) end")
+    both = F.size(F.array_intersect("lwords", "owords"))
+    mine, theirs = F.array_join(F.array_except("lwords", "owords"), ""), F.array_join(F.array_except("owords", "lwords"), "")
+    rest = F.size("lwords") + F.size("owords") - 2 * both
+    near = F.greatest(F.lit(0.0), 1 - 2.0 * F.levenshtein(mine, theirs) / F.greatest(F.length(mine), F.length(theirs), F.lit(1)))
+    title = F.when(rest == 0, 1.0).otherwise((2 * both + rest * near) / (F.size("lwords") + F.size("owords")))
+    on = {"company": F.round(1 / (1 + F.exp(3 * (gap - 1.5))), 2), "level": level, "place": place, "title": F.round(title * GRID) / GRID}
+    return {f: c.cast("double") for f, c in on.items()}
 
 
 def candidate_pairs(listings: DataFrame, openings: DataFrame) -> DataFrame:
-    """(lid, oid, ofirst, FEATURES, gap): candidates with their similarity vectors."""
-    cols = ["job", "level", "whole", "core", "line", "city", "country"]
-    side = lambda d, p: _keys(d).select("key", F.col("id").alias(f"{p}id"), F.col("first").alias(f"{p}first"), *[F.col(c).alias(f"{p}{c}") for c in cols])
-    pairs = side(listings, "l").join(side(openings, "o"), "key").drop("key").dropDuplicates(["lid", "oid"])
-
-    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("gap", "place")]))
-    def compare(lw: pd.Series, lc: pd.Series, ll: pd.Series, lci: pd.Series, lco: pd.Series, ow: pd.Series, oc: pd.Series, ol: pd.Series, oci: pd.Series, oco: pd.Series) -> pd.DataFrame:
-        rows = [
-            (company_similarity((a, b, c), (f, g, h)), place_similarity((d, e), (i, j)))
-            for a, b, c, d, e, f, g, h, i, j in zip(lw, lc, ll, lci, lco, ow, oc, ol, oci, oco)
-        ]
-        return pd.DataFrame(rows, columns=["gap", "place"], dtype=float)
-
-    sims = compare("lwhole", "lcore", "lline", "lcity", "lcountry", "owhole", "ocore", "oline", "ocity", "ocountry")
-    p = pairs.withColumn("s", sims)
-    level = F.when(F.col("llevel") == F.col("olevel"), 1.0).otherwise(0.0)
-    title = F.when(F.col("ljob") == F.col("ojob"), 1.0).otherwise(0.0)
-    company = 1 / (1 + F.exp(3 * (F.col("s.gap") - 1.5)))
-    return p.select("lid", "oid", "ofirst", company.alias("company"), level.alias("level"), F.col("s.place").alias("place"), title.alias("title"), F.col("s.gap").alias("gap"))
-
-
-def _log_density(mean: np.ndarray, cov: np.ndarray, weight: float):
-    """log(weight * N(x; mean, cov)) as a column expression over FEATURES."""
-    inv, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-    x = [F.col(f) - float(m) for f, m in zip(FEATURES, mean)]
-    quad = sum((float(inv[i][j]) * x[i] * x[j] for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
-    return F.lit(float(np.log(max(weight, 1e-12)) - 0.5 * logdet)) - 0.5 * quad
-
-
-def _moments(pairs: DataFrame) -> tuple[np.ndarray, ...]:
-    """Weighted sums of both components: the M-step's sufficient statistics."""
-    n = len(FEATURES)
-    aggs = [F.sum(F.lit(1.0)).alias("n"), F.sum("g").alias("g")]
-    for i, a in enumerate(FEATURES):
-        aggs += [F.sum(F.col(a)).alias(f"x{i}"), F.sum(F.col("g") * F.col(a)).alias(f"gx{i}")]
-        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}") for j, b in enumerate(FEATURES)]
-        aggs += [F.sum(F.col("g") * F.col(a) * F.col(b)).alias(f"gxx{i}_{j}") for j, b in enumerate(FEATURES)]
-    r = pairs.agg(*aggs).first()
-    total, g = r["n"] or 0.0, r["g"] or 0.0
-    x = np.array([r[f"x{i}"] or 0.0 for i in range(n)])
-    gx = np.array([r[f"gx{i}"] or 0.0 for i in range(n)])
-    xx = np.array([[r[f"xx{i}_{j}"] or 0.0 for j in range(n)] for i in range(n)])
-    gxx = np.array([[r[f"gxx{i}_{j}"] or 0.0 for j in range(n)] for i in range(n)])
-    return total, g, x, gx, xx, gxx
-
-
-def _component(weight: float, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mean = s1 / max(weight, 1e-9)
-    cov = s2 / max(weight, 1e-9) - np.outer(mean, mean)
-    return mean, cov + RIDGE * np.eye(len(mean))
-
-
-def fit_posteriors(pairs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """pairs with column g, the posterior of a match, after EM with transitivity."""
-    mean_of = sum(F.col(f) for f in FEATURES) / len(FEATURES)
-    now = pairs.withColumn("g", F.when((mean_of > 0.8) & (F.col("company") > 0.5), 0.95).otherwise(0.05))
-    per_listing = W.Window.partitionBy("lid")
-    for _ in range(iterations):
-        total, g, x, gx, xx, gxx = _moments(now)
-        if not total:
+    """(lid, oid, ofirst, FEATURES): candidates with their similarity vectors."""
+    side = lambda d, p: _keys(d).select("key", F.col("id").alias(f"{p}id"), F.col("first").alias(f"{p}first"), *[F.col(c).alias(f"{p}{c}") for c in CONTENT])
+    pairs = side(listings, "l").join(side(openings, "o"), "key")
+    # the vector where the pair arises, so that only numbers are shuffled
+    near = pairs.select("lid", "oid", "ofirst", *[c.alias(f) for f, c in similarities().items()])
+    return near.where(F.col("company") >= RESEMBLES).dropDuplicates(["lid", "oid"])
+
+
+class Mixture:
+    """Two Gaussians over the grid points ``x`` with ``n`` pairs at each."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray):
+        self.x, self.n = x, n
+        self.total = n.sum()
+
+    def m_step(self, g: np.ndarray) -> None:
+        """Weights, means and covariances from ``g``, the matched pairs at each point."""
+        self.parts = []
+        for w in (g, self.n - g):
+            k = max(w.sum(), 1e-9)
+            mean = w @ self.x / k
+            d = self.x - mean
+            self.parts.append((k / self.total, mean, (d * w[:, None]).T @ d / k + RIDGE * np.eye(self.x.shape[1])))
+
+    def posterior(self) -> np.ndarray:
+        """The posterior of a match at each point."""
+        logs = []
+        for weight, mean, cov in self.parts:
+            d = self.x - mean
+            logs.append(np.log(max(weight, 1e-12)) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
+        return 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
+
+
+def fit_posteriors(pairs: DataFrame) -> DataFrame:
+    """pairs that may match with column g, the posterior after EM with transitivity."""
+    points = pairs.groupBy(*FEATURES).agg(F.count("*").alias("n")).toPandas()  # bounded by the grid
+    if not len(points):
+        return pairs.withColumn("g", F.lit(0.0))
+    points = points.sort_values(FEATURES).reset_index(drop=True)
+    x, n = points[FEATURES].to_numpy(float), points.n.to_numpy(float)
+    mixture = Mixture(x, n)
+    # matched pairs resemble each other throughout; the constraints hold from the first round
+    raw = np.where((x >= START).all(axis=1), 0.95, 0.0)
+    spark, live, alive = pairs.sparkSession, None, np.zeros(len(x), dtype=bool)
+    told = lambda v: spark.createDataFrame(pd.DataFrame(x, columns=FEATURES).assign(point=range(len(x)), raw=v)[v >= ALIVE], POINT)
+    for _ in range(MOST_ROUNDS):
+        if live is None or (raw[~alive] >= ALIVE).any():
+            # only pairs with some posterior bear on the constraints
+            alive = raw >= ALIVE
+            live = settle(pairs.join(F.broadcast(told(raw).drop("raw")), FEATURES), "p7-live")
+        per = lambda side: F.sum("raw").over(W.Window.partitionBy(side))
+        now = live.join(F.broadcast(told(raw).select("point", "raw")), "point")
+        now = now.withColumn("g", F.col("raw") / F.greatest(F.lit(1.0), per("lid"), per("oid")))
+        sums = now.groupBy("point").agg(F.sum("g").alias("g")).toPandas()
+        g = np.zeros(len(x))
+        g[sums.point.to_numpy(int)] = sums.g
+        mixture.m_step(g)
+        new = mixture.posterior()
+        if np.abs((new - raw) * n).sum() <= STILL * n.sum():
             return now
-        m1, c1 = _component(g, gx, gxx)
-        m0, c0 = _component(total - g, x - gx, xx - gxx)
-        odds = _log_density(m1, c1, g / total) - _log_density(m0, c0, 1 - g / total)
-        raw = pairs.withColumn("raw", 1 / (1 + F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), -odds)))))
-        whole = F.sum("raw").over(per_listing)
-        now = raw.withColumn("g", F.col("raw") / F.greatest(F.lit(1.0), whole)).drop("raw")
-    return now
+        raw = new
+    raise RuntimeError("the mixture doesn't settle")
 
 
 def match_entities(listings: DataFrame, openings: DataFrame, opening_key: str = "ingest_seq", listing_key: str = "listing_id") -> DataFrame:
@@ -317,9 +364,7 @@ def match_entities(listings: DataFrame, openings: DataFrame, opening_key: str =
     company = F.coalesce(F.when(F.trim("company") != "", F.col("company")), F.col("companyName"))
     oc, _ = parsed(openings, opening_key, "title", company, "location")
     pairs = settle(candidate_pairs(lc, oc), "p7-pairs")
-    scored = fit_posteriors(pairs).where(F.col("g") >= ACCEPT)
-    # the exact check: one error at most in the company, the same post, no other place
-    sure = scored.where("gap <= 1 and level = 1 and title = 1 and place > 0")
-    best = sure.groupBy("lid").agg(F.max_by(F.struct("ofirst", "g"), F.struct("g", -F.col("ofirst"))).alias("b"))
+    matched = fit_posteriors(pairs).where(F.col("g") >= ACCEPT)
+    best = matched.groupBy("lid").agg(F.max_by(F.struct("ofirst", "g"), F.struct("g", -F.col("ofirst"))).alias("b"))
     out = best.join(lm, F.col("lid") == F.col("id"))
     return out.select(F.col("b.ofirst").alias(opening_key), F.col("row").alias(listing_key), F.col("b.g").alias("confidence"))

@@ -3,7 +3,10 @@
 import itertools
 import random
 
-from acequia.llm.entity_match import company_similarity, edits, match_entities, parse_company, parse_place, parse_title, place_similarity
+from pyspark.sql import functions as F
+
+from acequia.llm import entity_match as em
+from acequia.llm.entity_match import candidate_pairs, edits, match_entities, parse_company, parse_place, parse_title, parsed, similarities, title_words
 
 
 def osa(a, b):
@@ -29,13 +32,69 @@ def test_titles():
     assert parse_title("Sr. PythonSoporte") == ("support", "python", "senior") and parse_title("Writer Pythoon Jr") == ("writer", "python", "junior") and parse_title("Manage rVue") == ("manager", "vue", "")
 
 
-def test_companies_and_places():
-    c = lambda a, b: company_similarity(parse_company(a), parse_company(b))
-    assert c("LetenomavikSistemas", "Letenomavik Sistemas S.A.") == 0 and c("Bubepifos", "Bubepifos Labs S.A.") == 0 and c("Padulesin oSftware", "Padulesin Software SL") == 1
-    assert c("Lulolulax Sistemas", "Luladulax Sistemas") >= 2 and c("Fulasefos Labs", "Fulasefos Software") >= 2
-    p = lambda a, b: place_similarity(parse_place(a), parse_place(b))
+def test_titles_outside_the_lexicon():
+    assert title_words("Florist (Weekend)", *parse_title("Florist (Weekend)")[:2]) == ["florist", "weekend"]
+    assert parse_title("Kotlin - especialista ssemi-sr")[2] == "semi" and parse_title("Especialista AngularJ r.")[2] == "junior"
+
+
+def _vector(spark, a, b):
+    """FEATURES of two (title, company, place)."""
+    def row(t, n, p):
+        role, tech, level = parse_title(t)
+        return (title_words(t, role, tech), level, *parse_company(n), *parse_place(p))
+
+    cols = lambda p: ", ".join(f"{p}{c} {'array<string>' if c == 'words' else 'string'}" for c in em.CONTENT)
+    df = spark.createDataFrame([row(*a) + row(*b)], cols("l") + ", " + cols("o"))
+    return df.select(*[c.alias(f) for f, c in similarities().items()]).first()
+
+
+def test_similarities(spark):
+    t = "Java Analyst"
+    c = lambda a, b: _vector(spark, (t, a, ""), (t, b, "")).company
+    assert c("LetenomavikSistemas", "Letenomavik Sistemas S.A.") == c("Bubepifos", "Bubepifos Labs S.A.") == 0.99 and c("Padulesin oSftware", "Padulesin Software SL") == 0.82
+    assert c("Lulolulax Sistemas", "Luladulax Sistemas") < 0.5 and c("Fulasefos Labs", "Fulasefos Software") < 0.5
+    p = lambda a, b: _vector(spark, (t, "Xyz", a), (t, "Xyz", b)).place
     assert p("CABA (Híbrido)", "Buenos Aires, Argentina") == 1 and p("La Plata", "Buenos Aires, Argentina") == 0 and p("Argentina", "Rosario, Santa Fe, Argentina") == 0.75
     assert p(None, "Lima, Perú") == p("", "Lima") == 0.5 and p("Chile", "Lima, Perú") == 0
+    w = lambda a, b: _vector(spark, (a, "Xyz", ""), (b, "Xyz", "")).title
+    assert w("Florist weekend", "Weekend florist") == 1 and w("Florist weekend", "Weekend flrist") > 0.8 and w("Florist weekend", "Weekend baker") < 0.6
+
+
+def _openings(n, roles, seed):
+    """(openings, listings, true pairs): listings with a typing error, another order or no place."""
+    rnd = random.Random(seed)
+    syl = lambda: "".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(4)).capitalize()
+    places = ["Ulverton, Northmark", "Sedgeby", "Castro Alto", "Pelham Cross"]
+    openings, listings, want = [], [], set()
+    for i in range(n):
+        co, r, x, p = syl() + " " + rnd.choice(["Freight", "Foods", "Clinics"]), rnd.choice(roles), rnd.choice(["night", "harbour", "retail"]), rnd.choice(places)
+        openings.append((i, f"Senior {r} {x}", co, None, p, "x"))
+        if i % 2 == 0:
+            t = f"{x} {r} Sr"
+            if i % 4 == 0:
+                k = rnd.randrange(len(r) - 1)
+                t = f"{x} {r[:k] + r[k + 1:]} sr."
+            elif i % 6 == 0:
+                k = rnd.randrange(1, 5)
+                co = co[:k] + co[k + 1] + co[k] + co[k + 2 :]
+            listings.append((i, t, co, p if i % 10 else None, 0))
+            want.add((i, i))
+        else:  # another post of the company
+            listings.append((i, f"{x} {rnd.choice([q for q in roles if q != r])} Sr", co, p, 0))
+    return openings, listings, want
+
+
+def test_mixture_decides_on_words_it_never_saw(spark):
+    """Roles, places and businesses that no list holds; the blocking loses under 5 %."""
+    openings, listings, want = _openings(300, ["machinist", "florist", "paramedic", "surveyor", "upholsterer"], 5)
+    o = spark.createDataFrame(openings, "ingest_seq bigint, title string, company string, companyName string, location string, confidence string")
+    s = spark.createDataFrame(listings, "listing_id bigint, title string, companyName string, location string, line_no int")
+    lc, _ = parsed(s, "listing_id", "title", F.col("companyName"), "location")
+    oc, _ = parsed(o, "ingest_seq", "title", F.col("company"), "location")
+    blocked = {(r.ofirst, r.lfirst) for r in candidate_pairs(lc, oc).join(lc.selectExpr("id as lid", "first as lfirst"), "lid").collect()}
+    assert len(want & blocked) >= 0.95 * len(want)
+    got = {(r.ingest_seq, r.listing_id) for r in match_entities(s, o).collect()}
+    assert len(want & got) >= 0.93 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
 def test_pairs(spark):

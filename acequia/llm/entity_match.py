@@ -278,9 +278,9 @@ def similarities() -> dict[str, Column]:
         f" when lline = '' or oline = '' then least({_gap('lwhole', 'owhole')}, if(lcore = ocore, 0, 4)) else {_gap('lwhole', 'owhole')} end"
     )
     place = F.expr(
-        "case when (lcity = '' and lcountry = '') or (ocity = '' and ocountry = '') then 0.5"
+        "case when (lcity = '' and lcountry = '') or (ocity = '' and ocountry = '') then 0.8"
         " when lcity <> '' and ocity <> '' then if(lcity = ocity, 1.0, 0.0)"
-        " when lcountry <> '' and ocountry <> '' then if(lcountry = ocountry, 0.75, 0.0) else 0.5 end"
+        " when lcountry <> '' and ocountry <> '' then if(lcountry = ocountry, 0.9, 0.0) else 0.8 end"  # what isn't said contradicts nothing
     )
     rank = lambda c: f"array_position(array('trainee', 'junior', 'semi', 'senior'), {c})"
     level = F.expr(f"case when llevel = olevel then 1.0 when llevel = '' or olevel = '' then 0.25 else 0.5 - 0.25 * (abs({rank('llevel')} - {rank('olevel')}) - 1) end")
@@ -297,6 +297,8 @@ def candidate_pairs(listings: DataFrame, openings: DataFrame) -> DataFrame:
     """(lid, oid, ofirst, FEATURES): candidates with their similarity vectors."""
     side = lambda d, p: _keys(d).select("key", F.col("id").alias(f"{p}id"), F.col("first").alias(f"{p}first"), *[F.col(c).alias(f"{p}{c}") for c in CONTENT])
     pairs = side(listings, "l").join(side(openings, "o"), "key")
+    # what can't resemble goes by the cheapest test first
+    pairs = pairs.where("lwhole = owhole or lcore = ocore or (abs(length(lwhole) - length(owhole)) <= 3 and levenshtein(lwhole, owhole, 3) >= 0)")
     # the vector where the pair arises, so that only numbers are shuffled
     near = pairs.select("lid", "oid", "ofirst", *[c.alias(f) for f, c in similarities().items()])
     return near.where(F.col("company") >= RESEMBLES).dropDuplicates(["lid", "oid"])

@@ -54,8 +54,8 @@ def test_similarities(spark):
     assert c("LetenomavikSistemas", "Letenomavik Sistemas S.A.") == c("Bubepifos", "Bubepifos Labs S.A.") == 0.99 and c("Padulesin oSftware", "Padulesin Software SL") == 0.82
     assert c("Lulolulax Sistemas", "Luladulax Sistemas") < 0.5 and c("Fulasefos Labs", "Fulasefos Software") < 0.5
     p = lambda a, b: _vector(spark, (t, "Xyz", a), (t, "Xyz", b)).place
-    assert p("CABA (Híbrido)", "Buenos Aires, Argentina") == 1 and p("La Plata", "Buenos Aires, Argentina") == 0 and p("Argentina", "Rosario, Santa Fe, Argentina") == 0.75
-    assert p(None, "Lima, Perú") == p("", "Lima") == 0.5 and p("Chile", "Lima, Perú") == 0
+    assert p("CABA (Híbrido)", "Buenos Aires, Argentina") == 1 and p("La Plata", "Buenos Aires, Argentina") == 0 and p("Argentina", "Rosario, Santa Fe, Argentina") == 0.9
+    assert p(None, "Lima, Perú") == p("", "Lima") == 0.8 and p("Chile", "Lima, Perú") == 0
     w = lambda a, b: _vector(spark, (a, "Xyz", ""), (b, "Xyz", "")).title
     assert w("Florist weekend", "Weekend florist") == 1 and w("Florist weekend", "Weekend flrist") > 0.8 and w("Florist weekend", "Weekend baker") < 0.6
 

@@ -52,6 +52,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/acequia/{label}-{uuid.uuid4().hex}"
 
 
+def state_path(spark: SparkSession, label: str, *tables: DataFrame) -> str:
+    """The path under the shared folder where what was learned of ``tables`` stays.
+
+    It is named after their files (path, size, time of change): the same tables find their
+    state again, changed ones begin anew.
+    """
+    import hashlib
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    said = []
+    for name in sorted({f for t in tables for f in t.inputFiles()}):
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        said.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    mark = hashlib.sha256("\n".join(said).encode()).hexdigest()[:24]
+    return f"{shared_dir(spark).rstrip('/')}/acequia/{label}-{mark}"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a result that is used more than once to the shared folder and read it back.
 

@@ -4,24 +4,31 @@ Identity of a posting: its number on its board. Numbers come from the id fields
 the addresses in all their notations. A row without any number is identified by its
 readable address (the slug), small deviations allowed, by content-defined chunking:
 
-* a rolling hash over ``WINDOW`` characters puts chunk boundaries where it is 0 modulo
-  ``DIVISOR``, in several ways, so a deviation touches only the chunks around it;
-* a persistent table holds the chunks (hash, place, length) of every accepted address;
-* the chunks of a new address, rarest first, are looked up there; shared bytes over total
-  bytes is the coverage. Rarest first is lossless: chunks are left out of the lookup only
-  while all those left out together stay below the coverage asked for, so a pair that
-  reaches it shares a chunk that was looked up. The place of the chunk is part of the key
-  (a deviation moves it by ``SHIFT`` at most), which splits hot chunks;
-* what passes is confirmed exactly: equal tokens but for one long token with one edit
-  (or two neighbours swapped) or a cut-off end.
-
-State (under one folder of the shared file system, appended per batch): postings
-(posting, first row), addresses (slug, posting, first row), chunks (key, slug). A batch
-costs its own size plus the lookups; history isn't reprocessed.
+* a rolling hash over ``WINDOW`` characters puts a chunk boundary where it is 0 modulo
+  ``DIVISOR``, so a deviation touches only the chunks around it;
+* a persistent table holds the chunks (hash and bytes) of every accepted address;
+* the chunks of an address without number, rarest first, are looked up there; the bytes of
+  the chunks that both addresses have over all its bytes is the coverage, and ``COVERAGE``
+  decides. Rarest first is lossless: chunks are left out of the lookup only while all those
+  left out together stay below the coverage asked for, so a pair that reaches it shares a
+  chunk that was looked up;
+* an exact check follows: equal tokens but for one long token with one edit (or two
+  neighbours swapped) or a cut-off end.
+
+Addresses without number that deviate from each other are one posting (connected, however
+long the chain), which is the earliest numbered one that any of them deviates from. Only
+facts are stored (identities, chunks, near pairs), so the repeats over all accepted rows
+are the same however the rows were cut into batches.
+
+State (one folder per batch, in one folder of the shared file system): rows (seq,
+number_key, slug_key), chunks (slug, owned, hashes, sizes), near (slug, match). A batch is written whole and
+counts once its marker is there. It costs its own size plus the lookups; history isn't
+chunked or compared again.
 
 Defined results: rows without number and readable address have no posting and are never
 repeats; null, empty, "None" and unreadable ids count as no number; an address that
-several postings share belongs to the one seen first; repeated rows are repeats.
+several postings share belongs to the one seen first; repeated rows are repeats; a batch
+accepted before under its name isn't accepted again.
 """
 
 from __future__ import annotations
@@ -31,29 +38,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from acequia.session import settle
+from acequia.session import broadcast_if_small, settle
 
 WINDOW = 3
-DIVISOR = 8
-#: Chunkings of each address, independent of each other.
-WAYS = 4
+DIVISOR = 6
 COVERAGE = 0.3
 SLACK = 3
-#: Characters that a small deviation moves the text after it.
-SHIFT = 1
 #: Boards by host (fixed values); relative addresses belong to the first.
 BOARDS = {"v": "vinculared.example", "t": "tablonlaboral.example"}
 ADDRESSES = ("url", "job_url", "applyUrl")
 
-POSTINGS = "posting string, first_seq bigint"
-SLUGS = "slug string, posting string, first_seq bigint"
-CHUNKS = "chunk bigint, start int, len int, slug string"
+ROWS = "seq bigint, number_key string, slug_key string"
+CHUNKS = "slug string, owned boolean, hashes array<bigint>, sizes array<int>"
+NEAR = "slug string, match string"
+MARKER = "_ACCEPTED"
 
 
 def _decoded(c: Column) -> Column:
     """Lower case, and the percent signs of an address carried by a redirect resolved."""
-    low = F.lower(F.trim(c))
-    return F.replace(F.replace(F.replace(low, F.lit("%3a"), F.lit(":")), F.lit("%2f"), F.lit("/")), F.lit("%3f"), F.lit("?"))
+    low = F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return F.when(~low.contains("%"), low).otherwise(F.replace(F.replace(F.replace(low, F.lit("%3a"), F.lit(":")), F.lit("%2f"), F.lit("/")), F.lit("%3f"), F.lit("?")))
 
 
 def _number_in_address(a: Column) -> Column:
@@ -82,42 +86,34 @@ def _slug(a: Column) -> Column:
 
 def identify(jobs: DataFrame, key: str = "ingest_seq") -> DataFrame:
     """(seq, number_key, slug_key): what a row says about its posting, or nulls."""
-    given = F.filter(F.array(*ADDRESSES), lambda c: c.isNotNull() & (F.trim(c) != ""))
-    parts = F.transform(
-        F.transform(given, _decoded),
-        lambda a: F.struct(_board(a).alias("board"), _number_in_address(a).alias("number"), F.nullif(_slug(a), F.lit("")).alias("slug")),
-    )
-    first = lambda f: F.get(F.filter(F.col(f"parts.{f}"), lambda x: x.isNotNull()), F.lit(0))
-    split = jobs.select(
+    said = jobs.select(
         F.col(key).alias("seq"),
         F.when(F.col("source") == "serper", F.lit("t")).otherwise(F.lit("v")).alias("home"),
         F.coalesce(_number_in_id(F.col("external_id")), F.col("jobId").cast("string")).alias("id"),
-        parts.alias("parts"),
+        *[_decoded(F.col(a)).alias(a) for a in ADDRESSES],
     )
-    named = split.select(
-        "seq", F.coalesce(first("board"), F.col("home")).alias("board"), F.coalesce("id", first("number")).alias("number"), first("slug").alias("slug")
+    first = lambda f: F.coalesce(*[f(F.col(a)) for a in ADDRESSES])
+    # a later address is looked at only where those before it say nothing
+    named = said.select(
+        "seq",
+        F.coalesce(first(_board), F.col("home")).alias("board"),
+        F.coalesce("id", first(_number_in_address)).alias("number"),
+        first(lambda a: F.when(a.contains("/view/"), F.nullif(_slug(a), F.lit("")))).alias("slug"),
     )
     keyed = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", "board", c))
     return named.select("seq", keyed("number").alias("number_key"), keyed("slug").alias("slug_key"))
 
 
 def chunks_of(slugs: DataFrame) -> DataFrame:
-    """(slug, chunk, start, bytes, len): content-defined chunks of each distinct address."""
-    s = slugs.select("slug", F.length("slug").alias("len")).where("len > 0")
-    # one hash per place serves all chunkings, each by bits of its own; the generators keep
-    # what lies before them from being worked out again for every piece
-    hashed = s.select(
-        "slug", "len", F.explode(F.array(F.expr(f"transform(sequence(1, greatest(1, len - {WINDOW})), i -> xxhash64(substring(slug, i, {WINDOW})))"))).alias("h")
-    )
-    ways = []
-    for way in range(WAYS):
-        cut = F.expr(f"filter(sequence(1, size(h)), i -> pmod(shiftrightunsigned(h[i - 1], {13 * way}), {DIVISOR}) = 0)")
-        bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.col("len"))))
-        ways.append(F.struct(F.lit(way).alias("way"), bounds.alias("b")))
-    cuts = hashed.select("slug", "len", F.explode(F.array(*ways)).alias("w")).select("slug", "len", "w.way", "w.b")
-    pieces = F.expr("transform(sequence(1, size(b) - 1), i -> struct(b[i-1] as start, substring(slug, b[i-1] + 1, b[i] - b[i-1]) as piece))")
-    every = cuts.select("slug", "len", "way", F.explode(pieces).alias("p"))
-    return every.select("slug", "len", "p.start", F.xxhash64("way", "p.piece").alias("chunk"), F.length("p.piece").alias("bytes"))
+    """``slugs`` with the hashes and sizes of the content-defined chunks of each."""
+    s = slugs.where("length(slug) > 0")
+    cut = F.expr(f"filter(sequence(1, greatest(1, length(slug) - {WINDOW})), i -> pmod(xxhash64(substring(slug, i, {WINDOW})), {DIVISOR}) = 0)")
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.length("slug"))))
+    # the generator keeps the bounds from being worked out again for every piece
+    cuts = s.withColumn("b", F.explode(F.array(bounds)))
+    hashes = F.expr("transform(sequence(1, size(b) - 1), i -> xxhash64(substring(slug, b[i-1] + 1, b[i] - b[i-1])))")
+    sizes = F.expr("transform(sequence(1, size(b) - 1), i -> b[i] - b[i-1])")
+    return cuts.withColumn("hashes", hashes).withColumn("sizes", sizes).drop("b")
 
 
 def same_address(a: str, b: str) -> bool:
@@ -157,106 +153,120 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_address(p, q) for p, q in zip(a, b)], dtype=bool)
 
 
-def near_addresses(asked: DataFrame, known_chunks: DataFrame) -> DataFrame:
-    """(slug, match): known addresses that each asked address (slug) deviates little from."""
-    q = chunks_of(asked)
-    weight = known_chunks.join(q.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
-    q = q.join(weight, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    common_first = F.expr("sum(bytes) over (partition by slug order by df desc, chunk, start)")
-    total = F.expr("sum(bytes) over (partition by slug)")
-    q = settle(q.withColumn("left_out", common_first).withColumn("total", total), "p2-asked")
-    need = F.col("total") * COVERAGE
-    lookup = q.where((F.col("left_out") >= need) & (F.col("df") > 0)).select(
-        "slug", "chunk", F.col("len").alias("asked_len"), F.explode(F.sequence(F.col("start") - SHIFT, F.col("start") + SHIFT)).alias("start")
-    )
-    pairs = (
-        lookup.join(known_chunks.withColumnRenamed("slug", "match"), ["chunk", "start"])
-        .where(f"slug <> match and abs(len - asked_len) <= {SLACK} and split_part(slug, ':', 1) = split_part(match, ':', 1)")
-        # small deviations are within SLACK edits: told where the pair arises, so that pairs
-        # of mere resemblance are never shuffled
-        .where(F.levenshtein("slug", "match", SLACK) >= 0)
-        .select("slug", "match")
-        .distinct()
-    )
-    pairs = settle(pairs, "p2-pairs")
-    # coverage over all chunks, hot ones included, then the exact check
-    ca = q.select("slug", "chunk", "bytes")
-    cb = known_chunks.select(F.col("slug").alias("match"), "chunk").join(pairs.select("match").distinct(), "match", "left_semi")
-    shared = pairs.join(ca, "slug").join(cb, ["match", "chunk"], "left_semi")
-    covered = shared.groupBy("slug", "match").agg(F.sum("bytes").alias("shared"))
-    totals = q.select("slug", "total").distinct()
-    ok = covered.join(totals, "slug").where(F.col("shared") >= COVERAGE * F.col("total"))
-    return ok.where(_confirmed("slug", "match")).select("slug", "match")
+def near_addresses(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(slug, match): known addresses that each asked one deviates little from.
+
+    Both hold slug, hashes and sizes. The asked ones (without number) are few; the known ones
+    are streamed past them where the lookups are small enough to broadcast.
+    """
+    pieces = asked.select("slug", F.explode(F.arrays_zip("hashes", "sizes")).alias("p")).select("slug", F.col("p.hashes").alias("chunk"), F.col("p.sizes").alias("bytes"))
+    pieces = pieces.groupBy("slug", "chunk").agg(F.sum("bytes").alias("bytes"))
+    heads = known.select(F.explode(F.array_distinct("hashes")).alias("chunk"))
+    asked_chunks = broadcast_if_small(pieces.select("chunk").distinct())
+    df = heads.join(asked_chunks, "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
+    weighed = pieces.join(df, "chunk")
+    total = F.expr("length(slug)")
+    left_out = F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
+    unknown = F.expr("length(slug) - sum(bytes) over (partition by slug)")  # bytes that nothing known has
+    lookup = weighed.withColumn("left_out", left_out).withColumn("unknown", unknown).where((F.col("left_out") >= total * COVERAGE) & (F.col("unknown") <= total * (1 - COVERAGE)))
+    lookup = settle(lookup.select("chunk", "slug").join(asked.select("slug", F.col("hashes").alias("own"), "sizes"), "slug"), "p2-lookup")
+    found = known.select(F.col("slug").alias("match"), "hashes", F.explode(F.array_distinct("hashes")).alias("chunk")).join(broadcast_if_small(lookup), "chunk")
+    found = found.where(f"slug <> match and abs(length(match) - length(slug)) <= {SLACK} and left(slug, 2) = left(match, 2)")
+    shared = F.expr("aggregate(arrays_zip(own, sizes), 0, (n, x) -> n + if(array_contains(hashes, x.own), x.sizes, 0))")
+    covered = found.where(shared >= F.length("slug") * COVERAGE).select("slug", "match").distinct()
+    return covered.where(_confirmed("slug", "match"))
 
 
 class PostingHistory:
-    """The accepted postings, their addresses and the chunk table, in one folder."""
+    """The identities, chunks and near pairs of all accepted rows, in one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], schema)
-
-    def accept(self, batch: DataFrame, key: str = "ingest_seq") -> DataFrame:
-        """(seq_a, seq_b): the batch's repeats with the row accepted first; updates the state."""
-        rows = settle(identify(batch, key).where("number_key is not null or slug_key is not null"), "p2-rows")
-        postings, slugs, chunks = self._read("postings", POSTINGS), self._read("slugs", SLUGS), self._read("chunks", CHUNKS)
-
-        # addresses of the batch that come with a number, and those that history knows
-        numbered = rows.where("number_key is not null and slug_key is not null").groupBy("slug_key").agg(
-            F.min_by("number_key", "seq").alias("posting"), F.min("seq").alias("first_seq")
-        ).select(F.col("slug_key").alias("slug"), "posting", "first_seq")
-        table = slugs.unionByName(numbered).groupBy("slug").agg(F.min_by("posting", "first_seq").alias("posting"))
-        bare = rows.where("number_key is null").groupBy(F.col("slug_key").alias("slug")).agg(F.min("seq").alias("first_seq"))
-        exact = bare.join(table, "slug", "left")
-        open_ = settle(exact.where("posting is null").select("slug", "first_seq"), "p2-open")
-
-        # near repeats of addresses with a posting; then of each other, the earliest leading
-        fresh_slugs = numbered.select("slug").unionByName(open_.select("slug")).distinct()
-        fresh_chunks = settle(chunks_of(fresh_slugs).select("chunk", "start", "len", "slug"), "p2-chunks")
-        near = settle(near_addresses(open_, chunks.unionByName(fresh_chunks)), "p2-near")
-        known = table.select(F.col("slug").alias("match"), "posting")
-        to_known = near.join(known, "match").groupBy("slug").agg(F.min("posting").alias("posting"))
-        free = open_.join(to_known, "slug", "left_anti")
-        leads = (
-            near.join(free, "slug", "left_semi")
-            .join(free.select(F.col("slug").alias("match"), F.col("first_seq").alias("match_seq")), "match")
-            .groupBy("slug")
-            .agg(F.min_by("match", "match_seq").alias("lead"), F.min("match_seq").alias("lead_seq"))
-        )
-        own = free.join(leads, "slug", "left").select(
-            "slug", F.concat(F.lit("slug:"), F.when(F.col("lead_seq") < F.col("first_seq"), F.col("lead")).otherwise(F.col("slug"))).alias("posting")
-        )
-        bare_posting = exact.where("posting is not null").select("slug", "posting").unionByName(to_known).unionByName(own)
-
-        assigned = rows.join(bare_posting.withColumnRenamed("slug", "slug_key"), "slug_key", "left").select(
-            "seq", "slug_key", F.coalesce("number_key", "posting").alias("posting")
-        )
-        # a number met for the first time whose address was accepted without one continues that posting
-        adopted = slugs.where("posting like 'slug:%'").select("slug", "posting").join(
-            numbered.select("slug", F.col("posting").alias("number")), "slug"
-        ).groupBy("number").agg(F.min("posting").alias("earlier"))
-        earlier = adopted.join(postings, F.col("earlier") == F.col("posting")).select(F.col("number").alias("posting"), "first_seq")
-        seen = postings.unionByName(earlier)
-        batch_first = assigned.groupBy("posting").agg(F.min("seq").alias("first_seq"))
-        first = settle(
-            batch_first.unionByName(seen.join(batch_first.select("posting"), "posting", "left_semi")).groupBy("posting").agg(F.min("first_seq").alias("first_seq")), "p2-first"
-        )
-        found = assigned.join(first, "posting").where("seq > first_seq").select(F.col("first_seq").alias("seq_a"), F.col("seq").alias("seq_b"))
-        found = settle(found, "p2-found")
-
-        known_postings = first.join(postings.select("posting"), "posting", "left_anti")
-        new_slugs = (
-            numbered.select("slug", "posting", "first_seq")
-            .unionByName(bare.join(bare_posting, "slug").select("slug", "posting", "first_seq"))
-            .groupBy("slug").agg(F.min_by("posting", "first_seq").alias("posting"), F.min("first_seq").alias("first_seq"))
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def batches(self) -> list[str]:
+        """Names of the accepted batches, in order."""
+        p = self._jpath(f"{self.path}/*/{MARKER}")
+        return sorted(x.getPath().getParent().getName() for x in p.getFileSystem(self._conf).globStatus(p) or [])
+
+    def _read(self, name: str, schema: str, batches: list[str]) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{b}/{name}" for b in batches])
+
+    def accept(self, batch: DataFrame, key: str = "ingest_seq", name: str | None = None) -> DataFrame:
+        """(seq_a, seq_b): the batch's repeats as known now; stores the batch unless it is there."""
+        rows = self._read("rows", ROWS, [self.add(batch, key, name)])
+        return self.repeats().join(rows.select(F.col("seq").alias("seq_b")), "seq_b", "left_semi").select("seq_a", "seq_b")
+
+    def add(self, batch: DataFrame, key: str = "ingest_seq", name: str | None = None) -> str:
+        """Stores the batch unless it is there; gives its name."""
+        before = self.batches()
+        name = name or f"{len(before):08d}"
+        if name not in before:
+            self._store(batch, key, name, before)
+        return name
+
+    def _store(self, batch: DataFrame, key: str, name: str, before: list[str]) -> None:
+        write = lambda df, part: df.write.mode("overwrite").parquet(f"{self.path}/{name}/{part}")
+        write(identify(batch, key).where("number_key is not null or slug_key is not null"), "rows")
+        rows = self._read("rows", ROWS, [name])
+        said = rows.where("slug_key is not null").groupBy(F.col("slug_key").alias("slug")).agg(F.max(F.col("number_key").isNotNull()).alias("owned"))
+        old = self._read("chunks", CHUNKS, before)
+        if before:  # an address is chunked once, and comes again only with its first number
+            had = old.groupBy("slug").agg(F.max("owned").alias("had"))
+            said = said.join(had, "slug", "left").where("had is null or (owned and not had)").drop("had")
+        write(chunks_of(said), "chunks")
+        new = self._read("chunks", CHUNKS, [name])
+        known = old.unionByName(new)
+        open_slugs = lambda c: c.groupBy("slug").agg(F.max("owned").alias("owned"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes")).where("not owned")
+        near = near_addresses(open_slugs(new), known)
+        if before:
+            near = near.unionByName(near_addresses(open_slugs(old), new))
+        write(near, "near")
+        done = self._jpath(f"{self.path}/{name}/{MARKER}")
+        done.getFileSystem(self._conf).create(done, True).close()
+
+    def repeats(self) -> DataFrame:
+        """(seq_a, seq_b): every accepted row whose posting is on an earlier one, with the first."""
+        every = self.batches()
+        rows, chunks = self._read("rows", ROWS, every), self._read("chunks", CHUNKS, every)
+        bare = settle(
+            chunks.groupBy("slug").agg(F.max("owned").alias("owned")).where("not owned").select("slug")
+            .join(rows.where("number_key is null").groupBy(F.col("slug_key").alias("slug")).agg(F.min("seq").alias("first_seq")), "slug"), "p2-open",
+        )
+        near = settle(self._read("near", NEAR, every).distinct().join(bare.select("slug"), "slug", "left_semi"), "p2-edges")
+        label = self._components(bare, near)
+        # the earliest numbered posting that a component deviates from
+        numbered = rows.where("number_key is not null")
+        to_owned = near.join(bare.select(F.col("slug").alias("match")), "match", "left_anti")
+        owners = numbered.where("slug_key is not null").select(F.col("slug_key").alias("match"), "number_key", "seq")
+        owners = owners.join(broadcast_if_small(to_owned.select("match").distinct()), "match", "left_semi").groupBy("match").agg(F.min_by("number_key", "seq").alias("number_key"))
+        reached = to_owned.join(label, "slug").join(owners, "match").select("label", "number_key").distinct()
+        starts = numbered.join(broadcast_if_small(reached.select("number_key").distinct()), "number_key", "left_semi").groupBy("number_key").agg(F.min("seq").alias("seq"))
+        joined = reached.join(starts, "number_key").groupBy("label").agg(F.min_by("number_key", F.struct("seq", "number_key")).alias("posting"))
+        of_open = label.join(joined, "label", "left").select("slug", F.coalesce("posting", F.concat(F.lit("slug:"), "label")).alias("posting"))
+        # an address repeated exactly belongs to the earliest number it came with
+        exact = rows.where("number_key is null").select(F.col("slug_key").alias("slug")).distinct().join(bare, "slug", "left_anti")
+        of_exact = numbered.select(F.col("slug_key").alias("slug"), "number_key", "seq").join(broadcast_if_small(exact), "slug", "left_semi").groupBy("slug").agg(F.min_by("number_key", "seq").alias("posting"))
+        known = settle(of_exact.unionByName(of_open), "p2-postings")
+        named = numbered.select("seq", F.col("number_key").alias("posting")).unionByName(
+            rows.where("number_key is null").join(broadcast_if_small(known.withColumnRenamed("slug", "slug_key")), "slug_key").select("seq", "posting")
         )
-        new_slugs = new_slugs.join(slugs.select("slug", "posting").distinct(), ["slug", "posting"], "left_anti")
-        new_chunks = fresh_chunks.join(slugs.select("slug").distinct(), "slug", "left_anti").select("chunk", "start", "len", "slug")
-        for frame, name in ((known_postings, "postings"), (new_slugs, "slugs"), (new_chunks, "chunks")):
-            settle(frame, f"p2-new-{name}").write.mode("append").parquet(f"{self.path}/{name}")
-        return found
+        first = named.groupBy("posting").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n")).where("n > 1")
+        return named.join(first, "posting").where("seq > first_seq").select(F.col("first_seq").alias("seq_a"), F.col("seq").alias("seq_b"))
+
+    def _components(self, bare: DataFrame, near: DataFrame) -> DataFrame:
+        """(slug, label): open addresses with the smallest one they are connected to."""
+        label = bare.select("slug", F.col("slug").alias("label"))
+        links = near.join(bare.select(F.col("slug").alias("match")), "match", "left_semi").select("slug", "match")
+        both = settle(links.unionByName(links.select(F.col("match").alias("slug"), F.col("slug").alias("match"))).distinct(), "p2-links")
+        if both.isEmpty():
+            return label
+        while True:
+            reached = both.join(label.withColumnRenamed("slug", "match"), "match").groupBy("slug").agg(F.min("label").alias("least"))
+            new = settle(label.join(reached, "slug", "left").select("slug", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved")), "p2-label")
+            label = new.select("slug", "label")
+            if new.where("moved").isEmpty():
+                return label

@@ -82,8 +82,8 @@ def test_near_addresses_recall_against_brute_force(spark):
     known = sorted(set(slugs(400)))
     asked = sorted({deviate(random.choice(known)) for _ in range(120)} - set(known))
     want = {(a, k) for a in asked for k in known if same_address(a, k)}
-    table = chunks_of(spark.createDataFrame([(k,) for k in known], "slug string")).select("chunk", "start", "len", "slug")
-    got = {(r.slug, r.match) for r in near_addresses(spark.createDataFrame([(a,) for a in asked], "slug string"), table).collect()}
+    chunked = lambda xs: chunks_of(spark.createDataFrame([(x,) for x in xs], "slug string"))
+    got = {(r.slug, r.match) for r in near_addresses(chunked(asked), chunked(known)).collect()}
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
@@ -96,3 +96,28 @@ def test_batches_equal_one_run_and_empty_batches(spark, sf):
     for i in range(3):
         parts += [(r.seq_a, r.seq_b) for r in h.accept(df.where(f"ingest_seq > {i * n // 3} and ingest_seq <= {(i + 1) * n // 3}")).collect()]
     assert h.accept(df.limit(0)).collect() == [] and sorted(parts) == whole and len(whole) > 10
+
+
+def _files(spark, h, df, parts):
+    """All repeats after the rows came in so many batches."""
+    n = df.count()
+    for i in range(parts):
+        h.add(df.where(f"ingest_seq > {i * n // parts} and ingest_seq <= {(i + 1) * n // parts}"))
+    return sorted((r.seq_a, r.seq_b) for r in h.repeats().collect())
+
+
+def test_chains_and_later_numbers_are_the_same_in_any_batches(spark):
+    a = H + "tester-vue-en-acmesurlabs-villaserena"
+    chain = jobs(spark, {"job_url": a}, {"job_url": a + "z"}, {"job_url": a + "zz"}, {"job_url": a + "zzz"}, {"job_url": a + "zzzzzz"})
+    number = jobs(spark, {"job_url": a + "z"}, {"job_url": H + "dev-go-en-otramarca-lima"}, {"job_url": a + "-4000000007"}, {"job_url": a + "zz"}, {"external_id": "4000000007"})
+    for df, want in ((chain, [(1, 2), (1, 3), (1, 4), (1, 5)]), (number, [(1, 3), (1, 4), (1, 5)])):
+        for parts in (1, 3, 5):
+            assert _files(spark, PostingHistory(spark, scratch_path(spark, "h")), df, parts) == want, parts
+
+
+def test_accepted_batches_are_not_accepted_again_and_half_written_ones_are(spark):
+    h = PostingHistory(spark, scratch_path(spark, "h"))
+    df = jobs(spark, {"external_id": "4000000001"}, {"external_id": "4000000001"})
+    df.limit(0).write.parquet(f"{h.path}/first/rows")  # an attempt that failed before its marker
+    assert h.batches() == [] and h.add(df, name="first") == "first" and h.add(df, name="first") == "first"
+    assert h.batches() == ["first"] and [(r.seq_a, r.seq_b) for r in h.repeats().collect()] == [(1, 2)]

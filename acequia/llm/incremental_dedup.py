@@ -21,7 +21,7 @@ facts are stored (identities, chunks, near pairs), so the repeats over all accep
 are the same however the rows were cut into batches.
 
 State (one folder per batch, in one folder of the shared file system): rows (seq,
-number_key, slug_key), chunks (slug, owned, hashes, sizes), near (slug, match). A batch is written whole and
+number_key, slug_key), chunks (slug, owned, chunks), near (slug, match). A batch is written whole and
 counts once its marker is there. It costs its own size plus the lookups; history isn't
 chunked or compared again.
 
@@ -41,15 +41,17 @@ from pyspark.sql.types import BooleanType
 from acequia.session import broadcast_if_small, settle
 
 WINDOW = 3
-DIVISOR = 6
-COVERAGE = 0.3
+DIVISOR = 4
+COVERAGE = 0.45
+#: Low bits of a chunk that hold its bytes; the others are its hash.
+SIZE_BITS = 20
 SLACK = 3
 #: Boards by host (fixed values); relative addresses belong to the first.
 BOARDS = {"v": "vinculared.example", "t": "tablonlaboral.example"}
 ADDRESSES = ("url", "job_url", "applyUrl")
 
 ROWS = "seq bigint, number_key string, slug_key string"
-CHUNKS = "slug string, owned boolean, hashes array<bigint>, sizes array<int>"
+CHUNKS = "slug string, owned boolean, chunks array<bigint>"
 NEAR = "slug string, match string"
 MARKER = "_ACCEPTED"
 
@@ -105,15 +107,19 @@ def identify(jobs: DataFrame, key: str = "ingest_seq") -> DataFrame:
 
 
 def chunks_of(slugs: DataFrame) -> DataFrame:
-    """``slugs`` with the hashes and sizes of the content-defined chunks of each."""
+    """``slugs`` with the distinct content-defined chunks of each."""
     s = slugs.where("length(slug) > 0")
     cut = F.expr(f"filter(sequence(1, greatest(1, length(slug) - {WINDOW})), i -> pmod(xxhash64(substring(slug, i, {WINDOW})), {DIVISOR}) = 0)")
     bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(cut, lambda i: i + WINDOW - 1), F.array(F.length("slug"))))
     # the generator keeps the bounds from being worked out again for every piece
     cuts = s.withColumn("b", F.explode(F.array(bounds)))
-    hashes = F.expr("transform(sequence(1, size(b) - 1), i -> xxhash64(substring(slug, b[i-1] + 1, b[i] - b[i-1])))")
-    sizes = F.expr("transform(sequence(1, size(b) - 1), i -> b[i] - b[i-1])")
-    return cuts.withColumn("hashes", hashes).withColumn("sizes", sizes).drop("b")
+    piece = "substring(slug, b[i-1] + 1, b[i] - b[i-1])"
+    chunk = F.expr(f"transform(sequence(1, size(b) - 1), i -> shiftleft(xxhash64({piece}), {SIZE_BITS}) | cast(b[i] - b[i-1] as bigint))")
+    return cuts.withColumn("chunks", F.array_distinct(chunk)).drop("b")
+
+
+def _bytes(chunk: str) -> str:
+    return f"({chunk} & {(1 << SIZE_BITS) - 1})"
 
 
 def same_address(a: str, b: str) -> bool:
@@ -156,24 +162,23 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_addresses(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(slug, match): known addresses that each asked one deviates little from.
 
-    Both hold slug, hashes and sizes. The asked ones (without number) are few; the known ones
-    are streamed past them where the lookups are small enough to broadcast.
+    Both hold slug and chunks. The asked ones (without number) are few; the known ones are
+    streamed past them where the lookups are small enough to broadcast.
     """
-    pieces = asked.select("slug", F.explode(F.arrays_zip("hashes", "sizes")).alias("p")).select("slug", F.col("p.hashes").alias("chunk"), F.col("p.sizes").alias("bytes"))
-    pieces = pieces.groupBy("slug", "chunk").agg(F.sum("bytes").alias("bytes"))
-    heads = known.select(F.explode(F.array_distinct("hashes")).alias("chunk"))
-    asked_chunks = broadcast_if_small(pieces.select("chunk").distinct())
-    df = heads.join(asked_chunks, "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
-    weighed = pieces.join(df, "chunk")
-    total = F.expr("length(slug)")
-    left_out = F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
-    unknown = F.expr("length(slug) - sum(bytes) over (partition by slug)")  # bytes that nothing known has
-    lookup = weighed.withColumn("left_out", left_out).withColumn("unknown", unknown).where((F.col("left_out") >= total * COVERAGE) & (F.col("unknown") <= total * (1 - COVERAGE)))
-    lookup = settle(lookup.select("chunk", "slug").join(asked.select("slug", F.col("hashes").alias("own"), "sizes"), "slug"), "p2-lookup")
-    found = known.select(F.col("slug").alias("match"), "hashes", F.explode(F.array_distinct("hashes")).alias("chunk")).join(broadcast_if_small(lookup), "chunk")
-    found = found.where(f"slug <> match and abs(length(match) - length(slug)) <= {SLACK} and left(slug, 2) = left(match, 2)")
-    shared = F.expr("aggregate(arrays_zip(own, sizes), 0, (n, x) -> n + if(array_contains(hashes, x.own), x.sizes, 0))")
-    covered = found.where(shared >= F.length("slug") * COVERAGE).select("slug", "match").distinct()
+    pieces = asked.select("slug", F.explode("chunks").alias("chunk")).withColumn("bytes", F.expr(_bytes("chunk")))
+    heads = known.select(F.explode("chunks").alias("chunk"))
+    df = heads.join(broadcast_if_small(pieces.select("chunk").distinct()), "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
+    weighed = pieces.join(df, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    total, left_out = F.expr("sum(bytes) over (partition by slug)"), F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
+    weighed = weighed.withColumn("total", total).withColumn("left_out", left_out).where((F.col("left_out") >= F.col("total") * COVERAGE) & (F.col("df") > 0))
+    # the length goes into the key: a small deviation changes it by SLACK at most
+    near_length = F.explode(F.sequence(F.length("slug") - SLACK, F.length("slug") + SLACK))
+    lookup = weighed.join(asked.select("slug", F.col("chunks").alias("own")), "slug").select("slug", "own", "total", "chunk", F.substring("slug", 1, 2).alias("board"), near_length.alias("len"))
+    lookup = settle(lookup, "p2-lookup")
+    heads = known.select(F.col("slug").alias("match"), "chunks", F.explode("chunks").alias("chunk"), F.length("slug").alias("len"), F.substring("slug", 1, 2).alias("board"))
+    found = heads.join(broadcast_if_small(lookup), ["chunk", "len", "board"]).where("slug <> match")
+    shared = F.expr(f"aggregate(array_intersect(own, chunks), 0L, (n, x) -> n + {_bytes('x')})")
+    covered = found.where(shared >= F.col("total") * COVERAGE).select("slug", "match").distinct()
     return covered.where(_confirmed("slug", "match"))
 
 
@@ -220,7 +225,7 @@ class PostingHistory:
         write(chunks_of(said), "chunks")
         new = self._read("chunks", CHUNKS, [name])
         known = old.unionByName(new)
-        open_slugs = lambda c: c.groupBy("slug").agg(F.max("owned").alias("owned"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes")).where("not owned")
+        open_slugs = lambda c: c.groupBy("slug").agg(F.max("owned").alias("owned"), F.first("chunks").alias("chunks")).where("not owned")
         near = near_addresses(open_slugs(new), known)
         if before:
             near = near.unionByName(near_addresses(open_slugs(old), new))

@@ -13,7 +13,9 @@
   and closes up the lines of a paragraph, by SQL windows over (document, line).
 
 Lines and words are rows; the counts are aggregations over the whole corpus with map-side
-combine, joined back by form. Windows are per document. No vocabulary goes to the driver.
+combine. All windows are per document and share one exchange of the lines. Only forms that
+are wrong or contested are joined back to the words, broadcast where their size allows. No
+vocabulary goes to the driver.
 
 Defined results: null, empty and blank texts and page text (see ``textkind``) give no rows
 and come out of the repair as they are; lines count from 0.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from acequia.session import settle
+from acequia.session import broadcast_if_small, settle
 
 RATIO = 8
 DOC = ["table_name", "ingest_seq"]
@@ -33,6 +35,8 @@ HYPHENS = "-‐‑¬­"
 
 # Accents, and glyphs brought to strokes so that confusable strings meet.
 ACCENTED, PLAIN = "áéíóúàèìòùâêîôûäëïöüãõñçå", "aeiouaeiouaeiouaeiouaonca"
+#: Accents that stand apart from their letter (they go).
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 STROKES = [("\\/", "v"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("m", "rrl"), ("n", "rl"), ("u", "ll"), ("h", "ll"), ("d", "cl"), ("w", "vv")]
 LIKE, LEVEL = "ij1|!e0@†5$89q6€¢", "lllllcoatssbggbcc"
 #: Glyphs no word of these texts has between its letters.
@@ -59,7 +63,7 @@ OPEN_END = "[^.!?:…\"'»)\\]\\s][\"'»)\\]]*\\s*$"
 
 def folded(c: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}", ""), ACCENTED, PLAIN)
+    return F.translate(F.lower(c), ACCENTED + MARKS, PLAIN)
 
 
 def skeleton(c: Column) -> Column:
@@ -70,74 +74,87 @@ def skeleton(c: Column) -> Column:
     return F.translate(s, LIKE, LEVEL)
 
 
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(skeleton(c), r"[^a-z]+", " ")
+
+
+def _plain_skeleton(text: str) -> str:
+    """``skeleton`` of a word in plain letters, for the words that open headings."""
+    for glyph, strokes in STROKES:
+        text = text.replace(glyph, strokes)
+    return text.translate(str.maketrans(LIKE, LEVEL))
+
+
 def scanned_lines(rows: DataFrame) -> DataFrame:
-    """(table_name, ingest_seq, line_no, line, role): role is body, blank, header or page."""
+    """(table_name, ingest_seq, line_no, t, role, cuts, continues, next_first, next_line).
+
+    role is body, blank, header or page. The others are of body lines: whether a word breaks
+    off at the end, whether the line begins with the rest of one, and the body line after it.
+    """
     scanned = rows.select(*DOC, "text").where(F.col("text").rlike(SCANNED))
     lines = scanned.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("t", F.trim(F.regexp_replace("line", r"[\s ]+", " ")))
-    number = F.col("t").rlike(PAGE_NUMBER) & ~F.col("t").rlike(SENTENCE_END_NUMBER) & (F.length("t") < 25)
-    masked = F.regexp_replace("t", PAGE_PART, "")
-    lines = lines.withColumn("blank", F.col("t") == "").withColumn("page", number & (F.col("t") != ""))
-    lines = lines.withColumn("hkey", F.when(~F.col("blank") & ~F.col("page"), F.trim(F.regexp_replace(skeleton(masked), r"[^a-z]+", " "))))
+    lines = lines.select(*DOC, "line_no", F.trim(F.regexp_replace("line", r"[\s\u00a0]+", " ")).alias("t"))
+    number = (F.length("t") < 25) & F.col("t").rlike(PAGE_NUMBER) & ~F.col("t").rlike(SENTENCE_END_NUMBER)
+    lines = lines.withColumn("blank", F.col("t") == "").withColumn("page", ~F.col("blank") & number)
+    masked = F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", PAGE_PART, "")).otherwise(F.col("t"))
+    lines = lines.withColumn("hkey", F.when(~F.col("blank") & ~F.col("page"), F.trim(_letters(masked))))
     order = W.Window.partitionBy(*DOC).orderBy("line_no")
+    back = W.Window.partitionBy(*DOC).orderBy(F.desc("line_no"))
     said = F.when(F.col("hkey").isNotNull(), F.col("t"))
-    before = F.last(said, True).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
-    after = F.first(said, True).over(order.rowsBetween(1, W.Window.unboundedFollowing))
+    seen = W.Window.unboundedPreceding
+    marked = lines.withColumn("before", F.last(said, True).over(order.rowsBetween(seen, -1))).withColumn("after", F.last(said, True).over(back.rowsBetween(seen, -1)))
     # a line that itself continues, or whose sentence the next line continues, is text
     runs_on = F.col("t").rlike(r"^[a-zà-öø-ÿ]") | (
-        (F.col("before").isNull() | ~F.col("before").rlike(OPEN_END)) & F.coalesce(F.col("after").rlike("^[a-zà-öø-ÿ]"), F.lit(False))
-        & F.col("t").rlike(OPEN_END)
+        F.coalesce(F.col("after").rlike("^[a-zà-öø-ÿ]"), F.lit(False)) & (F.col("before").isNull() | ~F.col("before").rlike(OPEN_END)) & F.col("t").rlike(OPEN_END)
     )
-    marked = lines.withColumn("before", before).withColumn("after", after).withColumn("stands", (~runs_on).cast("int"))
+    marked = marked.withColumn("stands", (~runs_on).cast("int"))
     same = W.Window.partitionBy(*DOC, "hkey")
+    marked = marked.withColumn("alike", F.count("*").over(same)).withColumn("standing", F.sum("stands").over(same))
     ends_sentence = F.col("t").rlike(r"\p{Ll}{2,}[.!?]$") & ~F.col("t").rlike(r"(?:Ltda|Inc|Cia|Ltd|Corp)\.$")
     company = F.col("t").rlike(r"(?i)(?:\s\.|ltda\.|inc\.|s\.a\.(?:s\.)?)(?:\s+\d+)?$")
     capitals = F.col("t").rlike(HEADING_CAPITALS) & (F.length(F.regexp_replace("t", r"[^\p{Lu}]", "")) >= 6) & (company | ~F.col("t").rlike(r"[.,;:!?]$"))
-    opens = F.lit(False)
-    for words in HEADING_WORDS:
-        opens = opens | F.regexp_replace(skeleton(F.col("t")), r"[^a-z]+", " ").startswith(F.concat(F.regexp_replace(skeleton(F.lit(words)), r"[^a-z]+", " "), F.lit(" ")))
+    first_letters = F.when(F.col("t").rlike(r"^\p{Lu}"), _letters(F.col("t")))
+    opens = first_letters.rlike("^(?:" + "|".join(_plain_skeleton(w) for w in HEADING_WORDS) + ") ")
     short = F.size(F.split("t", " ")) <= 14
-    shaped = short & ~ends_sentence & (F.col("t").rlike(HEADING_PARTS) | capitals | (opens & F.col("t").rlike(r"^\p{Lu}")))
-    header = (F.col("hkey") != "") & F.coalesce(shaped, F.lit(False)) | (
-        F.col("hkey").isNotNull() & (F.length("hkey") >= 3) & ~ends_sentence
-        & (F.count("*").over(same) >= 2) & (F.sum("stands").over(same) * 2 > F.count("*").over(same))
-    )
+    shaped = short & ~ends_sentence & (F.col("t").rlike(HEADING_PARTS) | capitals | opens)
+    repeated = (F.col("alike") >= 2) & (F.length("hkey") >= 3) & (F.col("standing") * 2 > F.col("alike")) & ~ends_sentence
+    header = (F.col("hkey") != "") & (repeated | F.coalesce(shaped, F.lit(False)))
     role = F.when(F.col("blank"), "blank").when(F.col("page"), "page").when(header, "header").otherwise("body")
-    return marked.select(*DOC, "line_no", "t", role.alias("role"))
+    told = marked.select(*DOC, "line_no", "t", role.alias("role")).withColumn("toks", F.split("t", " "))
+    among = W.Window.partitionBy(*DOC, "role").orderBy("line_no")
+    told = told.withColumn("next_first", F.lead(F.col("toks")[0]).over(among)).withColumn("next_line", F.lead("line_no").over(among))
+    breaks = F.element_at("toks", -1).rlike(rf"[\p{{L}}@†01][{HYPHENS}]$") & F.col("next_first").rlike(r"^[\p{Ll}@†01\\]")
+    told = told.withColumn("cuts", F.coalesce((F.col("role") == "body") & breaks, F.lit(False)))
+    told = told.withColumn("continues", F.coalesce(F.lag("cuts").over(among), F.lit(False))).withColumn("last_tok", F.lag(F.element_at("toks", -1)).over(among))
+    return told.drop("toks")
 
 
 CORE = r"^([^\p{L}\p{N}@†$|\\]*)(.*?)([^\p{L}\p{N}@†$|ﬁﬂ]*)$"
 
 
 def body_words(lines: DataFrame) -> DataFrame:
-    """The words of body lines in order, broken ones joined.
+    """The words of body lines, broken ones joined.
 
-    (table_name, ingest_seq, line_no, idx, pre, word, post, broken, head, tail, tail_line):
-    for a word broken at the line end ``word`` is the joined form, ``compound`` the one with
-    the hyphen kept; pre and post are its punctuation.
+    (table_name, ingest_seq, line_no, idx, tok, word, broken, head, tail, tail_line, left): for
+    a word broken at the line end ``word`` is the joined form; ``tok`` holds its punctuation;
+    ``left`` is the word before it.
     """
-    body = lines.where("role = 'body'")
-    order = W.Window.partitionBy(*DOC).orderBy("line_no")
-    toks = F.split("t", " ")
-    body = body.withColumn("toks", toks).withColumn("n", F.size("toks"))
-    body = body.withColumn("next_first", F.lead(F.col("toks")[0]).over(order)).withColumn("next_line", F.lead("line_no").over(order))
-    cuts = F.element_at("toks", -1).rlike(rf"[\p{{L}}@†01][{HYPHENS}]$") & F.col("next_first").rlike(r"^[\p{Ll}@†01\\]")
-    body = body.withColumn("cuts", F.coalesce(cuts, F.lit(False)))
-    body = body.withColumn("continues", F.coalesce(F.lag("cuts").over(order), F.lit(False)))
-    words = body.select(*DOC, "line_no", "n", "cuts", "continues", "next_first", "next_line", F.posexplode("toks").alias("idx", "tok"))
+    body = lines.where("role = 'body'").withColumn("toks", F.split("t", " ")).withColumn("n", F.size("toks"))
+    words = body.select(*DOC, "line_no", "n", "cuts", "continues", "next_first", "next_line", "last_tok", "toks", F.posexplode("toks").alias("idx", "tok"))
     # a continuation's first word belongs to the line before, unless that one-word line goes on itself
     words = words.where(~(F.col("continues") & (F.col("idx") == 0)))
     broken = F.col("cuts") & (F.col("idx") == F.col("n") - 1)
     head = F.regexp_replace("tok", rf"[{HYPHENS}]$", "")
-    whole = F.when(broken, F.concat(head, F.col("next_first"))).otherwise(F.col("tok"))
-    part = lambda i: F.regexp_extract("whole", CORE, i)
-    return words.withColumn("broken", broken).withColumn("whole", whole).select(
-        *DOC, "line_no", "idx", "broken",
-        part(1).alias("pre"), part(2).alias("word"), part(3).alias("post"),
-        F.when(broken, F.regexp_extract(head, CORE, 2)).alias("head"),
-        F.when(broken, F.regexp_extract("next_first", CORE, 2)).alias("tail"),
+    core = lambda c: F.regexp_extract(c, CORE, 2)
+    before = F.when(F.col("idx") == 0, F.col("last_tok")).otherwise(F.get("toks", F.col("idx") - 1))
+    told = words.select(
+        *DOC, "line_no", "idx", broken.alias("broken"), before.alias("left"),
+        F.when(broken, F.concat(head, F.col("next_first"))).otherwise(F.col("tok")).alias("tok"),
+        F.when(broken, core(head)).alias("head"),
+        F.when(broken, core(F.col("next_first"))).alias("tail"),
         F.when(broken, F.col("next_line")).alias("tail_line"),
-    ).where("word <> ''")
+    )
+    return told.withColumn("word", core(F.col("tok"))).where("word <> ''")
 
 
 def supported_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -179,23 +196,25 @@ def supported_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(forms, "p6-judged"), broken
 
 
-def judged_words(lines: DataFrame) -> DataFrame:
-    """body_words with form, best, split and wrong (whether the word is misread)."""
+def judged_words(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, wrong): body_words with form and split, and those of them that are misread, with best."""
     words = settle(body_words(lines), "p6-words")
-    forms, broken = supported_forms(words)
-    b = broken.select(F.col("head").alias("bh"), F.col("tail").alias("bt"), "split", F.col("form").alias("joined"))
-    w = words.join(b, (F.lower("head") == F.col("bh")) & (F.lower("tail") == F.col("bt")), "left")
-    w = w.withColumn("form", F.coalesce("joined", F.lower("word"))).drop("bh", "bt", "joined")
-    order = W.Window.partitionBy(*DOC).orderBy("line_no", "idx")
-    w = w.withColumn("left", F.lag("form").over(order))
-    contested = forms.where("contested").select("form", "best")
-    both = contested.select(F.col("form")).unionByName(contested.select(F.col("best").alias("form"))).distinct()
-    seen = w.join(both, "form").where("left is not null").groupBy("left", "form").agg(F.count("*").alias("k"))
+    forms, pairs = supported_forms(words)
+    b = pairs.select(F.col("head").alias("bh"), F.col("tail").alias("bt"), "split", F.col("form").alias("joined"))
+    joined = words.where("broken").join(b, (F.lower("head") == F.col("bh")) & (F.lower("tail") == F.col("bt"))).withColumnRenamed("joined", "form").drop("bh", "bt")
+    w = words.where("not broken").withColumn("split", F.lit(False)).withColumn("form", F.lower("word")).unionByName(joined)
+    contested = settle(forms.where("contested").select("form", "best"), "p6-contested")
+    both = contested.select("form").unionByName(contested.select(F.col("best").alias("form"))).distinct()
+    left = F.lower(F.regexp_extract("left", CORE, 2)).alias("left")
+    seen = w.join(broadcast_if_small(both), "form").where("left is not null").select("form", left).groupBy("left", "form").agg(F.count("*").alias("k"))
+    seen = settle(seen, "p6-contexts")
     mine = seen.join(contested, "form").select("left", "form", "best", "k")
     theirs = seen.select("left", F.col("form").alias("best"), F.col("k").alias("best_k"))
-    in_context = mine.join(theirs, ["left", "best"]).where(F.col("best_k") >= RATIO * F.col("k")).select("left", "form", F.lit(True).alias("out_of_context"))
-    w = w.join(forms.select("form", "best", "misread"), "form", "left").join(in_context, ["left", "form"], "left")
-    return w.withColumn("wrong", F.coalesce(F.col("misread"), F.lit(False)) | F.coalesce(F.col("out_of_context"), F.lit(False)))
+    out_of_context = mine.join(theirs, ["left", "best"]).where(F.col("best_k") >= RATIO * F.col("k")).select("left", "form", "best")
+    misread = forms.where("misread").select("form", "best")
+    wrong = w.join(broadcast_if_small(misread), "form")
+    contextual = w.withColumn("left", left).join(broadcast_if_small(out_of_context), ["left", "form"])
+    return w, wrong.unionByName(contextual.select(wrong.columns))
 
 
 def find_damage(rows: DataFrame) -> DataFrame:
@@ -204,13 +223,13 @@ def find_damage(rows: DataFrame) -> DataFrame:
     marks = lines.where("role in ('header', 'page')").select(
         *DOC, "line_no", F.when(F.col("role") == "header", "running_header").otherwise("page_number").alias("kind")
     )
-    w = judged_words(lines)
+    w, bad = judged_words(lines)
     splits = w.where("broken and split").select(*DOC, "line_no", F.lit("split_word").alias("kind"))
     # in a broken word the wrong glyphs are in the part the supported form doesn't have
     right = F.col("best")
     head_ok, tail_ok = right.startswith(F.lower("head")), right.endswith(F.lower("tail"))
     at = F.when(~F.col("broken"), F.array("line_no")).when(head_ok & ~tail_ok, F.array("tail_line")).when(tail_ok & ~head_ok, F.array("line_no")).otherwise(F.array("line_no", "tail_line"))
-    wrong = w.where("wrong").select(*DOC, F.explode(at).alias("line_no"), F.lit("misread").alias("kind"))
+    wrong = bad.select(*DOC, F.explode(at).alias("line_no"), F.lit("misread").alias("kind"))
     every = marks.unionByName(splits).unionByName(wrong).distinct()
     return every.select(*DOC, F.col("line_no").cast("bigint").alias("line_no"), "kind")
 
@@ -225,10 +244,12 @@ def repair(rows: DataFrame) -> DataFrame:
     closed = ~F.col("prev.t").rlike(OPEN_END)
     starts = F.coalesce(closed & (F.col("gap") | (F.length("prev.t") < 0.75 * F.col("width"))), F.lit(True))
     para = shaped.where("role = 'body'").withColumn("para", F.sum(starts.cast("int")).over(order)).select(*DOC, "line_no", "para")
-    w = judged_words(lines)
+    w, bad = judged_words(lines)
+    at = [*DOC, "line_no", "idx"]
+    w = w.join(bad.select(*at, "best"), at, "left")
     best = F.when(F.col("word").rlike(r"^\p{Lu}[^\p{Ll}]+$"), F.upper("best")).when(F.col("word").rlike(r"^\p{Lu}"), F.initcap("best")).otherwise(F.col("best"))
     kept = F.when(F.col("broken") & ~F.col("split"), F.concat_ws("-", "head", "tail")).otherwise(F.col("word"))
-    word = F.concat("pre", F.when(F.col("wrong"), best).otherwise(kept), "post")
+    word = F.concat(F.expr("left(tok, instr(tok, word) - 1)"), F.coalesce(best, kept), F.expr("substring(tok, instr(tok, word) + length(word))"))
     flow = w.join(para, [*DOC, "line_no"]).groupBy(*DOC, "para").agg(F.array_sort(F.collect_list(F.struct("line_no", "idx", word.alias("word")))).alias("ws"))
     text = flow.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("para", F.array_join("ws.word", " ").alias("p")))).alias("ps"))
     fixed = text.select(*DOC, F.array_join("ps.p", "\n\n").alias("fixed"))

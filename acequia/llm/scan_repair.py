@@ -129,7 +129,8 @@ def scanned_lines(rows: DataFrame) -> DataFrame:
     return told.drop("toks")
 
 
-CORE = r"^([^\p{L}\p{N}@†$|\\]*)(.*?)([^\p{L}\p{N}@†$|ﬁﬂ]*)$"
+#: A word without the punctuation around it.
+CORE = r"[\p{L}\p{N}@†$|\\].*[\p{L}\p{N}@†$|]|[\p{L}\p{N}@†$|]"
 
 
 def body_words(lines: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def body_words(lines: DataFrame) -> DataFrame:
     words = words.where(~(F.col("continues") & (F.col("idx") == 0)))
     broken = F.col("cuts") & (F.col("idx") == F.col("n") - 1)
     head = F.regexp_replace("tok", rf"[{HYPHENS}]$", "")
-    core = lambda c: F.regexp_extract(c, CORE, 2)
+    core = lambda c: F.regexp_extract(c, CORE, 0)
     before = F.when(F.col("idx") == 0, F.col("last_tok")).otherwise(F.get("toks", F.col("idx") - 1))
     told = words.select(
         *DOC, "line_no", "idx", broken.alias("broken"), before.alias("left"),
@@ -205,7 +206,7 @@ def judged_words(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = words.where("not broken").withColumn("split", F.lit(False)).withColumn("form", F.lower("word")).unionByName(joined)
     contested = settle(forms.where("contested").select("form", "best"), "p6-contested")
     both = contested.select("form").unionByName(contested.select(F.col("best").alias("form"))).distinct()
-    left = F.lower(F.regexp_extract("left", CORE, 2)).alias("left")
+    left = F.lower(F.regexp_extract("left", CORE, 0)).alias("left")
     seen = w.join(broadcast_if_small(both), "form").where("left is not null").select("form", left).groupBy("left", "form").agg(F.count("*").alias("k"))
     seen = settle(seen, "p6-contexts")
     mine = seen.join(contested, "form").select("left", "form", "best", "k")

@@ -47,3 +47,31 @@ def test_rare_messages_of_a_common_leaf_and_failures_told_by_us(spark):
     fine = ["We design friendly pages that say try again later", "Our error pages for lost visitors say page not found"]
     docs = spark.createDataFrame(list(enumerate(ordinary + bad + fine)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in find_residue(docs).collect()) == [100, 101, 102]
+
+
+#: Wording of other sites, in neither the rules nor the labelled table.
+UNSEEN_BAD = [
+    "404 Not Found", "Just a moment...", "The requested URL was not found on this server", "Error establishing a database connection", "Please enable cookies to continue",
+    "This page could not be found", "An internal error occurred, try again in a moment", "Please turn on JavaScript to use this site", "Verify that you are a person to continue",
+    "La página pedida no existe", "Tu sesión expiró, volvé a iniciar", "Activá JavaScript en tu navegador", "Ocorreu um erro ao carregar a página", "Insert your summary here",
+]
+UNSEEN_GOOD = [
+    "page not found rates fell by a third after the redesign", "internal server error rates fell in march", "The session on accessibility lasts an hour", "Our browser extension has a million users",
+    "Buscamos quien escriba pruebas y cuide los errores del portal", "La sesión de fotos es el martes", "A equipe reduziu os erros do site", "We train people who never wrote JavaScript",
+]
+
+
+def test_messages_never_seen(spark):
+    docs = spark.createDataFrame(list(enumerate(UNSEEN_BAD + UNSEEN_GOOD)), "doc_id bigint, text string")
+    got = {r.doc_id for r in find_residue(docs).collect()}
+    bad = set(range(len(UNSEEN_BAD)))
+    assert len(got & bad) >= 0.9 * len(bad) and not got - bad
+
+
+def test_a_verdict_reaches_every_message_of_its_template(spark):
+    """Alone, these names outweigh the words of the failure; as one template they don't."""
+    names = [chr(97 + i) + "rel" + chr(97 + j) for i in range(8) for j in range(8)]
+    texts = [f"No pudimos cargar la vista del equipo {n}" for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len({r.template for r in mine_templates(messages(docs)).collect()}) == 1
+    assert {r.doc_id for r in find_residue(docs).collect()} == set(range(len(texts)))

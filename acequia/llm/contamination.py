@@ -8,12 +8,15 @@ words, and a slot counts as equal if the text fills it as the item does or, in a
 re-parameterised copy, always with one same other value. A document holds an item if a
 stretch is ``MIN_WORDS`` long, or the whole item if that is shorter.
 
-The evaluation set doesn't grow with the corpus; its windows are broadcast if their size
-is within the limit, else joined by a shuffle. The corpus isn't shuffled: only documents
-with candidates are looked at again.
+The windows of the items are a table like any other; it is broadcast if its size is within
+the limit, else joined by a shuffle. Items and texts are never gathered: each candidate
+alignment is one row that holds the item's words and only the words of the text beside
+them. Texts are read twice, the second time only those with candidates (a broadcast of
+their ids, if small enough, keeps the corpus from being shuffled).
 
 Defined results: null, empty and blank texts or items match nothing; repeated documents
-are reported for each of their ids; a document and an item come out once.
+are reported for each of their ids; a document and an item come out once. An item of fewer
+words than a window is held by texts that have all its words in a row.
 """
 
 from __future__ import annotations
@@ -24,17 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acequia.session import broadcast_if_small
+from acequia.session import broadcast_if_small, settle
 
 WINDOW = 5
 MIN_WORDS = 15
-#: Seeds on one alignment (or its neighbours) before the words are compared.
+#: Seeds on one alignment before the words are compared; of an item so short that one
+#: changed word may leave it a single whole window, one is enough.
 MIN_SEEDS = 2
+SHORT_ITEM = 2 * WINDOW + MIN_SEEDS
 #: Of a stretch's words so many at least are equal as they stand, refilled slots not counted.
 MIN_EQUAL = 0.87
-#: The items must be few enough to be held by every task.
-MAX_ITEMS = 100_000
-
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 # Words for units of measure.
 UNITS = ["km", "kg", "cm", "mm", "ml", "mg", "mb", "gb", "usd", "eur", "ars", "euros", "euro", "pesos", "dolares", "dollars", "percent", "metros", "meters"]
@@ -50,7 +52,7 @@ def words_of(c: Column) -> Column:
 def item_names(items: DataFrame, text: str = "text") -> list[str]:
     """Names the items use: words always capitalised in them, also inside sentences.
 
-    Collected to the driver; bounded by the evaluation set's vocabulary.
+    The vocabulary of names of the evaluation set is the one thing that goes to the driver.
     """
     raw = items.select(F.explode(F.split(F.col(text), r"(?<=[.!?:;])\s+")).alias("s"))
     w = raw.select(F.posexplode(F.split("s", r"[^\p{L}\p{N}]+")).alias("pos", "w")).where("w <> ''")
@@ -60,22 +62,36 @@ def item_names(items: DataFrame, text: str = "text") -> list[str]:
     return sorted(r.k for r in stats.where("always and inside and k is not null").collect())
 
 
+def _is_number(w: Column) -> Column:
+    return F.translate(w, "0123456789", "") == ""
+
+
 def template_of(words: Column, names: list[str]) -> Column:
+    """The template's words as hashes; all fillings of a slot have one."""
+
     def slot(w: Column) -> Column:
         named = w.isin(names) if names else F.lit(False)
-        return F.when(w.rlike(r"^\p{N}+$"), NUM).when(w.isin(UNITS), UNIT).when(named, NAME).otherwise(w)
+        return F.when(_is_number(w), F.xxhash64(F.lit(NUM))).when(w.isin(UNITS), F.xxhash64(F.lit(UNIT))).when(named, F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(w))
 
     return F.transform(words, slot)
 
 
-def windows_of(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, h): the hashes of all template windows of column ``template``."""
-    hashes = F.expr(f"transform(sequence(1, size(template) - {WINDOW} + 1), i -> xxhash64(array_join(slice(template, i, {WINDOW}), ' ')))")
-    return df.where(f"size(template) >= {WINDOW}").select(key, F.posexplode(hashes).alias("pos", "h"))
+def windows_of(df: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """(key, pos, h): the hashes of all windows of ``size`` words of column ``template``."""
+    parts = ", ".join(f"template[i + {k}]" for k in range(size))
+    hashes = F.expr(f"transform(sequence(0, size(template) - {size}), i -> xxhash64({parts}))")
+    return df.where(f"size(template) >= {size}").select(key, F.posexplode(hashes).alias("pos", "h"))
+
+
+def window_of(n_words: str) -> Column:
+    """Words of the windows of an item: whatever MIN_EQUAL lets change, one window stays whole."""
+    n = F.col(n_words)
+    changes = F.floor(n * (1 - MIN_EQUAL) + 1e-9)
+    return F.when(n < WINDOW, n).otherwise(F.least(F.lit(WINDOW), F.ceil((n - changes) / (changes + 1)))).cast("int")
 
 
 def _slot_kind(word: str, names: frozenset) -> str:
-    if word.isnumeric():
+    if word.isascii() and word.isdigit():
         return NUM
     return NAME if word in names else ""
 
@@ -114,35 +130,38 @@ def find_contamination(
 ) -> DataFrame:
     """(doc_id, item_id): the items whose passages a document contains."""
     held = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("words"))
-    rows = held.limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items; split the set")
     names = item_names(items, text)
-    item_words = {r["item"]: list(r["words"]) for r in rows}
-    name_set = frozenset(names)
-
-    item_windows = windows_of(held.withColumn("template", template_of(F.col("words"), names)), "item")
-    item_windows = broadcast_if_small(item_windows.select("item", F.col("pos").alias("ipos"), "h"))
+    held = settle(held.where("size(words) > 0").withColumn("template", template_of(F.col("words"), names)).withColumn("n_words", F.size("words")).withColumn("window", window_of("n_words")), "p9-items")
     base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), words_of(F.col(text)).alias("words"))
-    hits = windows_of(base.withColumn("template", template_of(F.col("words"), names)), "doc").join(item_windows, "h")
-    seeds = hits.groupBy("doc", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.count("*").alias("n"))
-    short = sorted(i for i, w in item_words.items() if len(w) < WINDOW + MIN_SEEDS)
-    enough = F.col("n") >= MIN_SEEDS
-    if short:
-        enough = enough | F.col("item").isin(short)
-    candidates = seeds.where(enough).groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal")).alias("tries"))
+    texts = base.select("doc", template_of(F.col("words"), names).alias("template"))
+
+    def seeds(size: int, own: DataFrame) -> DataFrame:
+        windows = windows_of(own, "item", size).join(own.select("item", "n_words"), "item").select("item", "n_words", F.col("pos").alias("ipos"), "h")
+        hits = windows_of(texts, "doc", size).join(broadcast_if_small(settle(windows, "p9-windows")), "h")
+        return hits.groupBy("doc", "item", "n_words", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.count("*").alias("n"))
+
+    found = seeds(WINDOW, held.where(f"window = {WINDOW}")).where(f"n >= {MIN_SEEDS} or n_words < {SHORT_ITEM}")
+    for size in range(1, WINDOW):
+        brief = held.where(f"window = {size}")
+        if not brief.isEmpty():
+            found = found.unionByName(seeds(size, brief))
+    found = settle(found.select("doc", "item", "diagonal"), "p9-seeds")
+    wanted = base.join(broadcast_if_small(found.select("doc").distinct()), "doc", "left_semi")
+    tries = wanted.join(broadcast_if_small(found), "doc").join(broadcast_if_small(held.select("item", F.col("words").alias("iwords"))), "item")
+    # the words of the text beside the item's, from the first that both have
+    low = F.greatest(F.lit(0), F.col("diagonal"))
+    beside = F.slice("words", low + 1, F.greatest(F.lit(0), F.col("diagonal") + F.size("iwords") - low))
+    rows = tries.select("doc", "item", beside.alias("words"), "iwords", (F.col("diagonal") - low).alias("diagonal"))
+    name_set = frozenset(names)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = set()
-            for doc, words, tries in zip(pdf.doc, pdf.words, pdf.tries):
-                words = list(words)
-                for t in tries:
-                    item = item_words[t["item"]]
-                    if (doc, t["item"]) not in out and longest_stretch(words, item, t["diagonal"], name_set) >= min(MIN_WORDS, len(item)):
-                        out.add((doc, t["item"]))
-            yield pd.DataFrame(sorted(out), columns=[doc_id, item_id])
+            out = [
+                (doc, item)
+                for doc, item, words, own, d in zip(pdf.doc, pdf.item, pdf.words, pdf.iwords, pdf.diagonal)
+                if longest_stretch(list(words), list(own), d, name_set) >= min(MIN_WORDS, len(own))
+            ]
+            yield pd.DataFrame(out, columns=[doc_id, item_id])
 
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    found = candidates.join(base, "doc").select("doc", "words", "tries").mapInPandas(compare, f"{doc_id} {kinds[0]}, {item_id} {kinds[1]}")
-    return found.distinct()
+    return rows.mapInPandas(compare, f"{doc_id} {kinds[0]}, {item_id} {kinds[1]}").distinct()

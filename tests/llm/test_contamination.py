@@ -45,3 +45,21 @@ def test_refilled_slots_must_be_consistent():
     item = ["ana" if i % 8 == 0 else f"w{i}" for i in range(32)]
     same = ["leo" if w == "ana" else w for w in item]
     assert longest_stretch(same, item, 0, names) == 32
+
+
+def test_short_items_and_changed_words_against_brute_force(spark):
+    """Every item of 1 to 24 words with every one word changed, against comparing all alignments."""
+    rnd = random.Random(3)
+    items = {n: [f"q{n}w{i}{rnd.randrange(99)}x" for i in range(n)] for n in range(1, 25)}
+    texts, k = {}, 0
+    for n, own in items.items():
+        for i in range(-1, n):
+            k += 1
+            texts[k] = ["aa", "bb"] + [w if j != i else "otra" for j, w in enumerate(own)] + ["cc"]
+    want = {
+        (d, n) for d, t in texts.items() for n, own in items.items()
+        if any(longest_stretch(t, own, g) >= min(MIN_WORDS, n) for g in range(-n, len(t)))
+    }
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    e = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in find_contamination(d, e).collect()} == want and len(want) > 100

@@ -42,11 +42,14 @@ NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = ["km", "kg", "cm", "mm", "ml", "mg", "mb", "gb", "usd", "eur", "ars", "euros", "euro", "pesos", "dolares", "dollars", "percent", "metros", "meters"]
 
 
+#: Accents that stand apart from their letter (they go).
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 def words_of(c: Column) -> Column:
     """Lower-case words without accents; punctuation and quoting are gaps."""
-    low = F.regexp_replace(F.lower(c), r"\p{M}", "")
-    low = F.translate(low, "áéíóúàèìòùâêîôûäëïöüãõñçå", "aeiouaeiouaeiouaeiouaonca")
-    return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    low = F.translate(F.lower(c), "áéíóúàèìòùâêîôûäëïöüãõñçå" + MARKS, "aeiouaeiouaeiouaeiouaonca")
+    return F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), "")
 
 
 def item_names(items: DataFrame, text: str = "text") -> list[str]:
@@ -63,7 +66,7 @@ def item_names(items: DataFrame, text: str = "text") -> list[str]:
 
 
 def _is_number(w: Column) -> Column:
-    return F.translate(w, "0123456789", "") == ""
+    return (w < ":") & w.rlike("^[0-9]+$")
 
 
 def template_of(words: Column, names: list[str]) -> Column:
@@ -132,8 +135,8 @@ def find_contamination(
     held = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("words"))
     names = item_names(items, text)
     held = settle(held.where("size(words) > 0").withColumn("template", template_of(F.col("words"), names)).withColumn("n_words", F.size("words")).withColumn("window", window_of("n_words")), "p9-items")
-    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), words_of(F.col(text)).alias("words"))
-    texts = base.select("doc", template_of(F.col("words"), names).alias("template"))
+    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    texts = base.select("doc", template_of(words_of(F.col("text")), names).alias("template"))
 
     def seeds(size: int, own: DataFrame) -> DataFrame:
         windows = windows_of(own, "item", size).join(own.select("item", "n_words"), "item").select("item", "n_words", F.col("pos").alias("ipos"), "h")
@@ -146,7 +149,7 @@ def find_contamination(
         if not brief.isEmpty():
             found = found.unionByName(seeds(size, brief))
     found = settle(found.select("doc", "item", "diagonal"), "p9-seeds")
-    wanted = base.join(broadcast_if_small(found.select("doc").distinct()), "doc", "left_semi")
+    wanted = base.join(broadcast_if_small(found.select("doc").distinct()), "doc", "left_semi").select("doc", words_of(F.col("text")).alias("words"))
     tries = wanted.join(broadcast_if_small(found), "doc").join(broadcast_if_small(held.select("item", F.col("words").alias("iwords"))), "item")
     # the words of the text beside the item's, from the first that both have
     low = F.greatest(F.lit(0), F.col("diagonal"))

@@ -3,8 +3,8 @@
 Each partition opens an in-process DuckDB with the merge table. Text is cut into words by
 the vocabulary's pre-tokenizer pattern; the words a task hasn't met yet become rows
 (word, position, token). A recursive query joins every pair of neighbouring tokens with
-the merge table and contracts, in each word, the leftmost pair of the lowest rank, until no
-word has a pair left. An ordered aggregation then puts the words' ids together by document.
+the merge table and contracts, in each word, the pairs of the lowest rank from the left,
+until no word has a pair left; words of any length take the same way. An ordered aggregation then puts the words' ids together by document.
 
 No shuffle takes place and nothing grows with the corpus: the broadcast holds the merge
 table (its size is the vocabulary's), a task holds one slice of its partition and the words
@@ -31,35 +31,32 @@ PATTERN = (
 )
 #: Characters of text that a task encodes at once.
 SLICE_CHARS = 1_500_000
-#: Words of more bytes are contracted by repeated statements, which keep no history.
-LONG_WORD = 256
 WORDS_KEPT = 400_000
 
-# One round on rows t(w, step, pos, tok): all pairs with their merges, the best pair of
-# each word, and the word with that pair contracted. Words without a pair drop out.
-_ROUND = """
-with sided as (
-  select w, step, pos, tok,
-         lead(tok) over (partition by w order by pos) as tok2,
-         lead(pos) over (partition by w order by pos) as pos2
-  from t),
-paired as (
-  select s.*, m.rank, m.merged from sided s left join merges m on m.l = s.tok and m.r = s.tok2),
-best as (
-  select w, min({'rank': rank, 'pos': pos, 'pos2': pos2, 'merged': merged}) as b
-  from paired where rank is not null group by w)
-select p.w, p.step + 1 as step, p.pos, case when p.pos = b.b.pos then b.b.merged else p.tok end as tok
-from paired p join best b on b.w = p.w
-where p.pos <> b.b.pos2
-"""
-_ENCODE = f"""
+# The recursion keeps one state of each (word, position): a token, or -1 where a merge ate it.
+# A round looks at the words that changed in the last one and contracts the pair of lowest
+# rank wherever it stands in a word, from the left; of adjoining places (a run of one token)
+# every other one contracts. That equals one leftmost pair after the other, since a merge
+# only makes pairs of higher rank.
+_ENCODE = """
 insert into words
-with recursive t as (
-  select w, 0 as step, pos, tok from fresh
-  union all
-  ({_ROUND})
-), last as (select w, max(step) as step from t group by w)
-select t.w, list(t.tok order by t.pos) from t join last using (w, step) group by t.w
+with recursive t(w, pos, tok) using key (w, pos) as (
+  select w, pos, tok from fresh
+  union
+  (with live as (
+     select r.w, r.pos, r.tok from recurring.t r where r.tok >= 0 and r.w in (select w from t)),
+   sided as (
+     select w, pos, tok, lead(tok) over (partition by w order by pos) as tok2, lead(pos) over (partition by w order by pos) as pos2 from live),
+   paired as (
+     select s.w, s.pos, s.pos2, m.merged, m.rank, min(m.rank) over (partition by s.w) as low
+     from sided s join merges m on m.l = s.tok and m.r = s.tok2),
+   hits as (select w, pos, pos2, merged, lag(pos2) over (partition by w order by pos) as before from paired where rank = low),
+   runs as (
+     select *, sum(case when before = pos then 0 else 1 end) over (partition by w order by pos rows unbounded preceding) as run from hits),
+   now as (select *, row_number() over (partition by w, run order by pos) % 2 = 1 as contracts from runs)
+   select w, unnest([pos, pos2]) as pos, unnest([merged, -1]) as tok from now where contracts)
+)
+select w, list(tok order by pos) from t where tok >= 0 group by w
 """
 _DECODE = """
 select d.doc, flatten(list(words.ids order by d.pos)) as ids
@@ -97,6 +94,7 @@ class Encoder:
 
         self.find = regex.compile(PATTERN).findall
         self.first = vocabulary["bytes"]
+        # no spill to a folder of the machine: the state is one slice's words, SLICE_CHARS bounds it
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "900MB", "temp_directory": ""})
         table = pa.table({k: pa.array(vocabulary[k], pa.int32()) for k in ("l", "r", "rank", "merged")})
         self.con.register("merge_rows", table)
@@ -105,45 +103,19 @@ class Encoder:
         self.known: dict[str, int] = {}
 
     def _learn(self, fresh: list[str]) -> None:
-        short, long = [], []
-        for w in fresh:
-            k = self.known[w] = len(self.known)
-            data = w.encode("utf-8", "surrogatepass")
-            (short if len(data) <= LONG_WORD else long).append((k, data))
-        for part in (short, *([x] for x in long)):
-            if not part:
-                continue
-            n = [len(b) for _, b in part]
-            rows = pa.table({
-                "w": pa.array([k for (k, _), m in zip(part, n) for _ in range(m)], pa.int64()),
-                "pos": pa.array([i for m in n for i in range(m)], pa.int32()),
-                "tok": pa.array([self.first[c] for _, b in part for c in b], pa.int32()),
-            })
-            self.con.register("fresh", rows)
-            if part is short:
-                self.con.execute(_ENCODE)
-            else:
-                self._contract_long()
-            self.con.unregister("fresh")
-
-    def _contract_long(self) -> None:
-        """One long word, by statement after statement; runs of the best pair in one go."""
-        c = self.con
-        c.execute("create or replace temp table t as select w, pos, tok from fresh")
-        while True:
-            c.execute("""
-                create or replace temp table u as
-                with sided as (select w, pos, tok, lead(tok) over (order by pos) as tok2, lead(pos) over (order by pos) as pos2 from t),
-                paired as (select s.*, m.rank, m.merged from sided s left join merges m on m.l = s.tok and m.r = s.tok2),
-                best as (select *, rank is not null and rank = min(rank) over () as hit from paired),
-                -- of adjoining hits (a run of one token) the first contracts now
-                begun as (select *, hit and not coalesce(lag(hit) over (order by pos), false) as now from best)
-                select w, pos, case when now then merged else tok end as tok, now,
-                       coalesce(lag(now) over (order by pos), false) as eaten from begun""")
-            if not c.execute("select coalesce(bool_or(now), false) from u").fetchall()[0][0]:
-                break
-            c.execute("create or replace temp table t as select w, pos, tok from u where not eaten")
-        c.execute("insert into words select w, list(tok order by pos) from t group by w")
+        if not fresh:
+            return
+        data = [w.encode("utf-8", "surrogatepass") for w in fresh]
+        keys = range(len(self.known), len(self.known) + len(fresh))
+        self.known.update(zip(fresh, keys))
+        rows = pa.table({
+            "w": pa.array([k for k, d in zip(keys, data) for _ in d], pa.int64()),
+            "pos": pa.array([i for d in data for i in range(len(d))], pa.int32()),
+            "tok": pa.array([self.first[c] for d in data for c in d], pa.int32()),
+        })
+        self.con.register("fresh", rows)
+        self.con.execute(_ENCODE)
+        self.con.unregister("fresh")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         if len(self.known) > WORDS_KEPT:

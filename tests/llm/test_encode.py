@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from acequia.llm.encode import LONG_WORD, Encoder, encode_corpus, load_vocabulary
+from acequia.llm.encode import Encoder, encode_corpus, load_vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -24,11 +24,17 @@ def encoder():
 
 
 def test_texts_of_all_sorts(encoder, reference):
-    texts = [" ", "\n\n ", "don't we'll", "naïve café — ½ día", "日本語テスト", "👩‍💻 + ☕", "<|endoftext|>", "a\x85b\xa0c​d　e", "x" * (LONG_WORD + 44), "ab" * 300, "é" * 10]
+    texts = [" ", "\n\n ", "don't we'll", "naïve café — ½ día", "日本語テスト", "👩‍💻 + ☕", "<|endoftext|>", "a\x85b\xa0c​d　e", "x" * 300, "y" * 100_001, "ab" * 300, "é" * 10]
     assert encoder.encode(texts) == reference(texts)
     assert encoder.encode(texts) == reference(texts)  # from the words met
 
 
+def test_long_words_without_spaces(encoder, reference):
+    random.seed(7)
+    texts = ["".join(random.choice("abcdeinorstu") for _ in range(n)) for n in (255, 256, 257, 5000)]
+    assert encoder.encode(texts) == reference(texts)
+
+
 def test_random_code_points(encoder, reference):
     random.seed(6)
     texts = ["".join(chr(random.choice([random.randint(1, 0x2FF), random.randint(0x2000, 0x30FF)])) for _ in range(40)) for _ in range(300)]

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +61,11 @@ with recursive t(w, pos, tok) using key (w, pos) as (
 select w, list(tok order by pos) from t where tok >= 0 group by w
 """
 _DECODE = """
-select d.doc, flatten(list(words.ids order by d.pos)) as ids
-from doc_words d join words on words.w = d.w group by d.doc
+select coalesce(e.ids, []::integer[]) as ids
+from range(?) as every(doc) left join (
+  select d.doc, flatten(list(words.ids order by d.pos)) as ids
+  from doc_words d join words on words.w = d.w group by d.doc) as e on e.doc = every.doc
+order by every.doc
 """
 
 
@@ -117,29 +122,23 @@ class Encoder:
         self.con.execute(_ENCODE)
         self.con.unregister("fresh")
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_arrow(self, texts: list[str | None]) -> pa.Array:
+        """The ids of each text as one list array."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
             self.con.execute("delete from words")
-        doc, pos, word, fresh = [], [], [], {}
         cut = [self.find(t) if t else [] for t in texts]
-        for words in cut:
-            for w in words:
-                if w not in self.known:
-                    fresh[w] = None
-        self._learn(list(fresh))
-        for i, words in enumerate(cut):
-            doc += [i] * len(words)
-            pos += range(len(words))
-            word += [self.known[w] for w in words]
-        out: list[list[int]] = [[] for _ in texts]
-        if doc:
-            rows = pa.table({"doc": pa.array(doc, pa.int32()), "pos": pa.array(pos, pa.int32()), "w": pa.array(word, pa.int64())})
-            self.con.register("doc_words", rows)
-            for i, ids in self.con.execute(_DECODE).fetchall():
-                out[i] = ids
-            self.con.unregister("doc_words")
-        return out
+        self._learn([w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.known])
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
+        rows = {"doc": np.repeat(np.arange(len(cut)), sizes), "pos": np.arange(len(word)), "w": word}
+        self.con.register("doc_words", pa.table(rows))
+        out = self.con.execute(_DECODE, [len(cut)]).to_arrow_table().column("ids").combine_chunks()
+        self.con.unregister("doc_words")
+        return out.cast(pa.list_(pa.int32()))
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return self.encode_arrow(texts).to_pylist()
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -164,7 +163,6 @@ def encode_corpus(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", te
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _slices([len(t or "") + 1 for t in texts]):
-                ids = pa.array(encoder.encode(texts[a:b]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), encoder.encode_arrow(texts[a:b])], names=[key, "ids"])
 
     return slim.mapInArrow(run, f"{key} {key_field.dataType.simpleString()}, ids array<int>")

@@ -18,6 +18,7 @@ usable collection time gives none.
 
 from __future__ import annotations
 
+import uuid
 import zoneinfo
 from functools import reduce
 
@@ -59,22 +60,24 @@ UNITS = {
 }
 
 AMPM = r"(?:\s*([AaPp])\.?\s?[Mm]\.?)?"
-CLOCK = r"(\d{1,2}):(\d{2}):(\d{2})(?:[.,]\d+)?" + AMPM
-ZONE = r"\s*(Z|[A-Z]{2,5}|[+-]\d{2}:?\d{2})?"
-#: Notations with a calendar date: the pattern and which groups hold year, month, day.
-#: A month group may hold a name. Groups after them are hour, minute, second, half, zone.
+CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?" + AMPM
+#: A zone suffix; a zone's name may follow an offset in brackets and adds nothing to it.
+ZONE = r"\s*(?:(Z|[A-Z]{2,5}|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?)(?:\s*[\[(][\w/+-]+[\])])?)?"
+WEEKDAY = r"(?:\p{L}+\.?,?\s+)?"
+_TAIL = r"(?:(?:T|,?\s+|\s+a las\s+)" + CLOCK + ZONE + r")?$"
+#: Notations with a calendar date: the pattern and where year, month, day, hour, minute,
+#: second, half and zone stand in it (0: nowhere). A month may be a name. In "numeric" the source's
+#: day order tells which of the first two is the day.
 NOTATIONS = [
-    ("iso", r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:(?:T|\s+)" + CLOCK + ZONE + r")?$", (1, 2, 3), 4),
-    ("compact", r"^(\d{4})(\d{2})(\d{2})(?:_(\d{2})(\d{2})(\d{2}))?$", (1, 2, 3), 4),
-    ("numeric", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:,?\s+" + CLOCK + ZONE + r")?$", None, 4),
-    (
-        "day_name",
-        r"^(?:\p{L}+\.?,\s*)?(\d{1,2})(?:\s+de\s+|[-\s]+)(\p{L}{3,})\.?(?:\s+de\s+|[-\s]+)(\d{4})(?:,?\s+" + CLOCK + ZONE + r")?$",
-        (3, 2, 1),
-        4,
-    ),
-    ("name_day", r"^(\p{L}{3,})\.?\s+(\d{1,2}),?\s+(\d{4})(?:,?\s+" + CLOCK + ZONE + r")?$", (3, 1, 2), 4),
+    ("iso", r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TAIL, (1, 2, 3, 4, 5, 6, 7, 8)),
+    ("numeric", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})" + _TAIL, (3, 1, 2, 4, 5, 6, 7, 8)),
+    ("compact", r"^(\d{4})(\d{2})(\d{2})(?:[T_ ]?(\d{2})(\d{2})(\d{2})?" + ZONE + r")?$", (1, 2, 3, 4, 5, 6, 0, 7)),
+    ("day_name", r"^" + WEEKDAY + r"(\d{1,2})(?:\s+de\s+|[-\s]+)(\p{L}{3,})\.?,?(?:\s+de\s+|[-\s]+)(\d{4})" + _TAIL, (3, 2, 1, 4, 5, 6, 7, 8)),
+    ("name_day", r"^" + WEEKDAY + r"(\p{L}{3,})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _TAIL, (3, 1, 2, 4, 5, 6, 7, 8)),
+    ("asctime", r"^\p{L}{3,}\s+(\p{L}{3,})\s+(\d{1,2})\s+" + CLOCK + r"(?:\s+([A-Z]{1,5}|[+-]\d{2}:?\d{2}))?\s+(\d{4})$", (8, 1, 2, 3, 4, 5, 6, 7)),
 ]
+#: A day of an ISO week: year, week, day.
+ISO_WEEK = r"^(\d{4})-?W(\d{2})-?([1-7])$"
 AGE = r"(?:^|\s)(?:hace|ha|ago)?\s*(\d{1,6})\s+({unit})(?:\s+(?:ago|atras))?$"
 
 DICTIONARY_SCHEMA = (
@@ -86,24 +89,18 @@ def _nonblank(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
-def _int(c: Column) -> Column:
-    return _nonblank(c).cast("int")
-
-
 def _month(c: Column) -> Column:
-    low = F.lower(c)
-    named = F.coalesce(*[F.when(low.rlike(f"^(?:{names})"), F.lit(n)) for n, names in MONTHS.items()])
-    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int")).otherwise(named)
+    begin = F.substring(F.lower(c), 1, 3)
+    named = F.coalesce(*[F.when(begin.isin(*names.split("|")), F.lit(n)) for n, names in MONTHS.items()])
+    return F.coalesce(c.try_cast("int"), named)
 
 
 def _offset_minutes(c: Column) -> Column:
     """Minutes east of a zone suffix; null where there is none or it is unknown."""
-    sign = F.when(c.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    sign = F.when(c.contains("-"), F.lit(-1)).otherwise(F.lit(1))
     digits = F.regexp_replace(c, "[^0-9]", "")
-    numeric = F.when(
-        F.length(digits) == 4,
-        sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")),
-    )
+    padded = F.when(F.length(digits) <= 2, F.concat(digits, F.lit("00"))).otherwise(digits).try_cast("int")
+    numeric = F.when((digits != "") & (padded < 1900), sign * (F.floor(padded / 100) * 60 + padded % 100).cast("int"))
     return reduce(lambda acc, kv: acc.when(c == kv[0], F.lit(kv[1])), ABBREVIATIONS.items(), F.when(digits != "", numeric))
 
 
@@ -114,37 +111,25 @@ def _unaccent(c: Column) -> Column:
 def parse_entries(entries: DataFrame) -> DataFrame:
     """Parse dictionary keys (raw, zone, day_first) into DICTIONARY_SCHEMA."""
     raw = F.regexp_replace(F.col("raw"), r"^\s+|\s+$", "")
-    df = entries.withColumn("_r", raw)
-    years, months, days, hours, minutes, seconds, halves, zones, matched = ([] for _ in range(9))
-    for name, pattern, ymd, clock in NOTATIONS:
+    # the first notation that fits rewrites the string to its parts, so that each pattern
+    # runs once and the parts are cut once
+    parts = None
+    for name, pattern, groups in NOTATIONS:
+        canon = F.regexp_replace("_r", pattern, "|".join([name, *[f"${g}" if g else "" for g in groups]]))
         hit = F.col("_r").rlike(pattern)
-        g = lambda i, p=pattern: F.regexp_extract("_r", p, i)
-        if ymd:
-            y, m, d = (g(i) for i in ymd)
-            m = _month(m)
-            d = _int(d)
-        else:
-            y = F.when(F.length(g(3)) == 2, F.concat(F.lit("20"), g(3))).otherwise(g(3))
-            first, second = _int(g(1)), _int(g(2))
-            m = F.when(F.col("day_first"), second).when(~F.col("day_first"), first)
-            d = F.when(F.col("day_first"), first).when(~F.col("day_first"), second)
-        has_half = name != "compact"
-        years.append(F.when(hit, _int(y)))
-        months.append(F.when(hit, m))
-        days.append(F.when(hit, d))
-        hours.append(F.when(hit, _int(g(clock))))
-        minutes.append(F.when(hit, _int(g(clock + 1))))
-        seconds.append(F.when(hit, _int(g(clock + 2))))
-        if has_half:
-            halves.append(F.when(hit, _nonblank(F.lower(g(clock + 3)))))
-            zones.append(F.when(hit, _nonblank(g(clock + 4))))
-        matched.append(hit)
-    first_of = lambda xs: F.coalesce(*xs)
+        parts = F.when(hit, canon) if parts is None else parts.when(hit, canon)
+    df = entries.withColumn("_r", raw).withColumn("_g", F.split(parts, "[|]"))
+    g = lambda i: F.get("_g", F.lit(i))
+    number = lambda i: g(i).try_cast("int")
+    swapped = (g(0) == "numeric") & F.col("day_first")
+    unknown = (g(0) == "numeric") & F.col("day_first").isNull()
+    year = F.when(F.length(g(1)) == 2, number(1) + 2000).otherwise(number(1))
     df = df.select(
-        "*",
-        first_of(years).alias("_y"), first_of(months).alias("_m"), first_of(days).alias("_d"),
-        first_of(hours).alias("_h"), first_of(minutes).alias("_mi"), first_of(seconds).alias("_s"),
-        first_of(halves).alias("_half"), first_of(zones).alias("_z"),
+        "*", year.alias("_y"),
+        F.when(unknown, F.lit(None)).when(swapped, number(3)).otherwise(_month(g(2))).alias("_m"),
+        F.when(unknown, F.lit(None)).when(swapped, number(2)).otherwise(number(3)).alias("_d"),
+        number(4).alias("_h"), number(5).alias("_mi"), F.when(g(4) != "", F.coalesce(number(6), F.lit(0))).alias("_s"),
+        _nonblank(F.lower(g(7))).alias("_half"), _nonblank(g(8)).alias("_z"),
     )
     hour24 = (
         F.when(F.col("_half").isNull(), F.col("_h"))
@@ -156,7 +141,11 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     zone_ok = F.when(F.col("zone").isin(known), F.col("zone"))
     df = df.withColumn("_h24", hour24).withColumn("_zone", zone_ok)
     valid_clock = (F.col("_h24") < 24) & (F.col("_mi") < 60) & (F.col("_s") < 60)
-    day = F.expr("cast(try_make_timestamp_ntz(_y, _m, _d, 0, 0, 0) as date)")
+    week = lambda i: F.regexp_extract("_r", ISO_WEEK, i).try_cast("int")
+    monday = F.date_trunc("week", F.make_date(week(1), F.lit(1), F.lit(4))).cast("date")
+    in_week = F.date_add(monday, (week(2) - 1) * 7 + week(3) - 1)
+    of_week = F.when(F.col("_r").rlike(ISO_WEEK) & (F.weekofyear(in_week) == week(2)), in_week)
+    day = F.coalesce(F.expr("cast(try_make_timestamp_ntz(_y, _m, _d, 0, 0, 0) as date)"), F.when(F.col("_g").isNull(), of_week))
     wall = F.when(valid_clock, F.expr("try_make_timestamp_ntz(_y, _m, _d, _h24, _mi, _s)"))
     df = df.withColumn("_wall", wall).withColumn("_off", _offset_minutes(F.col("_z")))
     from_wall = (
@@ -170,8 +159,10 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_epoch", epoch)
     instant = F.when(F.col("_epoch").isNotNull(), F.expr("timestampadd(SECOND, _epoch, timestamp_ntz'1970-01-01 00:00:00')")).otherwise(from_wall)
-    plain = F.regexp_replace(_unaccent(F.col("_r")), r"\s+", " ")
+    plain = F.when(F.col("_g").isNull() & F.col("_epoch").isNull(), F.regexp_replace(_unaccent(F.col("_r")), r"\s+", " "))
     age = [(u, AGE.replace("{unit}", names)) for u, names in UNITS.items()]
+    df = df.withColumn("_plain", plain)
+    plain = F.col("_plain")
     age_n = F.coalesce(
         *[F.when(plain.rlike(p), F.regexp_extract(plain, p, 1).try_cast("bigint")) for _, p in age],
         F.when(plain.rlike("^(?:ayer|yesterday|ontem)$"), F.lit(1).cast("bigint")),
@@ -196,18 +187,28 @@ class TimestampDictionary:
     """A table of parsed raw strings that grows with each batch.
 
     ``path`` lies in a folder all executors share. ``absorb`` parses only the entries the
-    table lacks and appends them, so a string is parsed once for all time.
+    table lacks and adds them as one batch, which counts once its marker is there, so a
+    string is parsed once for all time and a half-written batch is never read. An entry
+    that two sessions added at the same time counts once.
     """
 
+    MARKER = "_PARSED"
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def batches(self) -> list[str]:
+        p = self._jpath(f"{self.path}/*/{self.MARKER}")
+        return sorted(str(x.getPath().getParent()) for x in p.getFileSystem(self._conf).globStatus(p) or [])
 
     def read(self) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        every = self.batches()
+        if not every:
             return None
-        return self.spark.read.schema(DICTIONARY_SCHEMA).parquet(self.path)
+        df = self.spark.read.schema(DICTIONARY_SCHEMA).parquet(*every)
+        return df if len(every) == 1 else df.dropDuplicates(["raw", "zone", "day_first"])
 
     def absorb(self, keys: DataFrame) -> DataFrame:
         fresh = keys.select("raw", "zone", "day_first").distinct()
@@ -216,7 +217,10 @@ class TimestampDictionary:
             k, f = known.alias("k"), fresh.alias("f")
             same = F.expr("f.raw = k.raw and f.zone <=> k.zone and f.day_first <=> k.day_first")
             fresh = f.join(k, same, "left_anti")
-        parse_entries(fresh).write.mode("append").parquet(self.path)
+        batch = f"{self.path}/{uuid.uuid4().hex}"
+        parse_entries(fresh).write.parquet(batch)
+        done = self._jpath(f"{batch}/{self.MARKER}")
+        done.getFileSystem(self._conf).create(done, True).close()
         return self.read()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acequia.operators.schema_drift import schema_changes, unified_records
 from acequia.operators.timestamps import TimestampDictionary, normalise_times
-from acequia.session import scratch_path, table
+from acequia.session import state_path, table
 
 #: The columns of ``jobs`` that a raw file can fill.
 RECORD_COLUMNS = [
@@ -16,8 +16,10 @@ RECORD_COLUMNS = [
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dictionary = TimestampDictionary(spark, scratch_path(spark, "times"))
-    return normalise_times(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "origin_files"), dictionary)
+    """The dictionary of the table's files stays: a second run parses nothing."""
+    jobs, files = table(spark, sf_dir, "jobs"), table(spark, sf_dir, "origin_files")
+    dictionary = TimestampDictionary(spark, state_path(spark, "times", jobs, files))
+    return normalise_times(jobs, files, dictionary)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

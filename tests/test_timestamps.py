@@ -5,8 +5,9 @@ import random
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
-from acequia.operators.timestamps import TimestampDictionary, normalise_times, parse_entries
+from acequia.operators.timestamps import DICTIONARY_SCHEMA, TimestampDictionary, normalise_times, parse_entries
 from acequia.session import scratch_path
 
 MADRID, CHILE = "Europe/Madrid", "America/Santiago"
@@ -131,3 +132,27 @@ def test_wall_clock_against_brute_force(spark):
     got = {(r.raw, r.zone): r.instant for r in parse_entries(df).collect()}
     for raw, z, w in cases:
         assert got[raw, z] == w.replace(tzinfo=ZoneInfo(z), fold=0).astimezone(dt.timezone.utc).replace(tzinfo=None), (raw, z)
+
+
+MORE = [
+    ("2024-03-10T14:05Z", "2024-03-10T14:05:00Z"), ("2024-03-10 14:05", "2024-03-10T13:05:00Z"), ("10/03/2024 14:05", "2024-03-10T13:05:00Z"), ("5 Mar 2024 3:05 PM", "2024-03-05T14:05:00Z"),
+    ("20240310T140500Z", "2024-03-10T14:05:00Z"), ("20240310 1405", "2024-03-10T13:05:00Z"), ("2024-03-10T14:05:00-03", "2024-03-10T17:05:00Z"), ("2024-03-10 14:05 UTC+3", "2024-03-10T11:05:00Z"),
+    ("2024-03-10T14:05:00-05:00[America/Bogota]", "2024-03-10T19:05:00Z"), ("Sun, 10 Mar 2024 14:05:00 +0000", "2024-03-10T14:05:00Z"), ("Sun Mar 10 14:05:00 2024", "2024-03-10T13:05:00Z"),
+    ("Sun Mar 10 14:05:00 UTC 2024", "2024-03-10T14:05:00Z"), ("Sunday, March 10th, 2024", "2024-03-10"), ("2024-W10-7", "2024-03-10"), ("2024W107", "2024-03-10"), ("2024-W54-1", None), ("2024.03.10", "2024-03-10"),
+    ("2024-03-10 25:05", None), ("2024-03-10 14:61", None), ("2024-02-30", None), ("20241301", None), ("2024-03-10 14:05 XYZ", None),
+]
+
+
+def test_more_notations(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "f", raw, None, None) for i, (raw, _) in enumerate(MORE)], "ingest_seq bigint, origin_file string, posted_date string, postedDate string, scraped_at string")
+    files = spark.createDataFrame([("f", "Europe/Madrid", True)], "origin_file string, zone_name string, day_first boolean")
+    got = {MORE[r.ingest_seq][0]: r.norm for r in normalise_times(rows, files, TimestampDictionary(spark, f"{tmp_path}/d")).collect()}
+    assert got == {raw: want for raw, want in MORE if want}
+
+
+def test_dictionary_parses_nothing_twice_and_ignores_half_written_batches(spark, tmp_path):
+    d = TimestampDictionary(spark, f"{tmp_path}/d")
+    keys = spark.createDataFrame([("2024-03-10", "UTC", True), ("10/03/2024", "UTC", True)], "raw string, zone string, day_first boolean")
+    spark.createDataFrame([("2024-03-10", "UTC", True, None, None, None, None)], DICTIONARY_SCHEMA).write.parquet(f"{tmp_path}/d/left-over")
+    assert d.read() is None and d.absorb(keys).count() == 2
+    assert d.absorb(keys.union(keys.select(F.lit("x"), "zone", "day_first"))).where("day is not null").count() == 2 and d.read().count() == 3

@@ -111,9 +111,9 @@ def _walk(value, path: str, out: list) -> str:
     return text
 
 
-def _cells(text: str) -> Counter:
+def _trigrams(text: str) -> list[str]:
     m = f" {_MASK.sub(' ', text.lower().translate(_DIGITS))} "
-    return Counter(zlib.crc32(m[i : i + 3].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(max(1, len(m) - 2)))
+    return [m[i : i + 3] for i in range(max(1, len(m) - 2))]
 
 
 def schema_trees(records: DataFrame) -> DataFrame:
@@ -139,10 +139,12 @@ def schema_trees(records: DataFrame) -> DataFrame:
                     texts[file_no, path][text] += 1
             rows = []
             for (file_no, path), said in texts.items():
-                cells: Counter = Counter()
+                grams: Counter = Counter()
                 for text, n in said.items():
-                    for c, k in _cells(text).items():
-                        cells[c] += k * n
+                    grams.update(_trigrams(text) * n if n < 4 else {g: k * n for g, k in Counter(_trigrams(text)).items()})
+                cells: Counter = Counter()
+                for gram, n in grams.items():
+                    cells[zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS] += n
                 rows.append((file_no, path, dict(types[file_no, path]), dict(cells)))
             yield pd.DataFrame(rows, columns=["file_no", "path", "types", "profile"])
 

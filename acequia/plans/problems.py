@@ -42,7 +42,7 @@ P5_UNIFIED_SQL = f"""
 with ok as (select raw_id, file_no, line_no, payload from raw_job_records where json_valid(payload) and json_type(payload) = 'OBJECT'),
 kv as (
   select raw_id, lower(e.key) as k,
-         case json_type(e.value) when 'OBJECT' then json_extract_string(e.value, '$.*')[1] when 'ARRAY' then e.value ->> 0 else e.value ->> '$' end as t
+         case json_type(e.value) when 'OBJECT' then coalesce(e.value ->> '$.id', json_extract_string(e.value, '$.*')[1]) when 'ARRAY' then e.value ->> 0 else e.value ->> '$' end as t
   from ok, json_each(payload) as e)
 select ok.raw_id, ok.file_no, ok.line_no, {', '.join(_filled(c) for c in RECORD_COLUMNS)}
 from ok left join kv on kv.raw_id = ok.raw_id group by all

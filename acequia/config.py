@@ -27,6 +27,8 @@ class Site:
     host: str = "https://www.vinculared.example"
     #: Words of its page foot; a listing ends there.
     foot: str = "Vinculared Corporation"
+    #: The title it gives to a posting without one.
+    untitled: str = "Vinculared Job"
 
 
 @dataclass(frozen=True)

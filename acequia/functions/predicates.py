@@ -16,12 +16,16 @@ NOISE = (
     r"|Adelántate|(?:¿)?Estos resultados|Tus comentarios|(?:¿)?Encuentras lo|Mira empleos donde|Reactiv(?:ar|a) Premium|Descartar|Hace \d+\s+(?:minuto|minutos|hora|horas)$"
     r"|En las últimas|Descargar la aplicación|Obtén acceso|Personas con las que|Logotipo de|Antiguos alumnos|Más$|with verification$"
 )
+# Fixed values.
 RELATIVE_DATE = r"Hace\s+\d+\s+(?:día|días|semana|semanas|mes|meses)"
+# Fixed values.
 PLACE_MARKERS = ["Argentina", "Buenos Aires", "Provincia", "Ciudad Autónoma", "y alrededores", "En remoto", "Presencial", "Híbrido", "América Latina"]
+# Fixed values.
 STOP_LINES = [
     "Siguiente", "---", "Mostrar más opciones", "Guardar", "Compartir", "Seguir", "Mira una comparación", "Accede a información exclusiva",
     "Me interesa", "Solicitar", "Empezar", "Cancelar", "mostrar más", "Mostrar todo",
 ]
+# Fixed values.
 JUNK_TITLES = [
     "Accesibilidad", "Centro de ayuda", "Privacidad y condiciones", "Opciones de publicidad", "Publicidad", "Servicios empresariales",
     "…", "---", "mostrar más", "Mostrar todo",
@@ -100,9 +104,9 @@ def listing_lines(df: DataFrame, key: str, text: str, site: Site = Site()) -> Da
     return lines.withColumn("stop", stop).where("stop is null or pos < stop").select(key, "pos", "line")
 
 
-def is_junk_title(title: Column) -> Column:
-    """F8."""
-    return title.isin(*JUNK_TITLES)
+def is_junk_title(title: Column, site: Site = Site()) -> Column:
+    """F8; the title that the site gives to postings without one is junk too."""
+    return title.isin(*JUNK_TITLES, site.untitled)
 
 
 def references_of(refs: Column, kind: str, path: str = "") -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from acequia.session import broadcast_if_small
+
+#: Places of the order whose texts one task joins.
+JOIN_BLOCK = 1 << 14
+
 
 def frequency(df: DataFrame, key: str, order: str, missing: str = "?", top: int | None = None) -> DataFrame:
     """A1, A2: rows per key, most first, ties by first sight; ``rank`` holds the order."""
@@ -27,9 +32,17 @@ def counts_by_type(df: DataFrame) -> DataFrame:
 
 
 def joined_text(df: DataFrame, key: str, order: str, text: str, sep: str = "\n") -> DataFrame:
-    """A group's texts in order, joined."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x"))))
-    return df.groupBy(key).agg(F.array_join(parts["x"], sep).alias("joined"))
+    """A group's texts in order (a number), joined.
+
+    Joined block by block of the order first, so that a large group is sorted and joined by
+    many tasks; the last one only puts the blocks' texts together.
+    """
+    ordered = lambda o, x: F.array_join(F.array_sort(F.collect_list(F.struct(o.alias("o"), x.alias("x"))))["x"], sep)
+    said = df.where(F.col(text).isNotNull()).withColumn("_b", F.floor(F.col(order) / JOIN_BLOCK))
+    blocks = said.groupBy(key, "_b").agg(ordered(F.col(order), F.col(text)).alias("_x"))
+    joined = blocks.groupBy(key).agg(ordered(F.col("_b"), F.col("_x")).alias("joined"))
+    empty = df.groupBy(key).agg(F.count(text).alias("_n")).where("_n = 0").select(key, F.lit("").alias("joined"))
+    return joined.unionByName(empty)
 
 
 def rolling_calls(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
@@ -79,16 +92,18 @@ def page_stop(df: DataFrame, scan: str, page: str, key: str, order: str) -> Data
 
     Keys are new where first seen in the scan; a page without new keys ends the scan.
     """
-    first = F.row_number().over(W.Window.partitionBy(scan, key).orderBy(order)) == 1
-    marked = df.withColumn("new", first.cast("int"))
-    pages = marked.groupBy(scan, page).agg(F.sum("new").alias("new"))
-    stop = pages.where("new = 0").groupBy(scan).agg(F.min(page).alias("stop"))
-    return marked.join(stop, scan, "left").where(F.col("stop").isNull() | (F.col(page) < F.col("stop"))).drop("stop")
+    # pages and keys are counted with map-side combine; the rows themselves don't move
+    fresh = df.groupBy(scan, key).agg(F.min_by(page, order).alias("_p")).select(F.col(scan).alias("_s"), "_p").distinct()
+    pages = df.select(F.col(scan).alias("_s"), F.col(page).alias("_p")).distinct()
+    stale = pages.join(fresh, pages["_s"].eqNullSafe(fresh["_s"]) & pages["_p"].eqNullSafe(fresh["_p"]), "left_anti")
+    stop = stale.groupBy("_s").agg(F.min("_p").alias("stop"))
+    here = df.join(broadcast_if_small(stop), F.col(scan).eqNullSafe(F.col("_s")), "left")
+    return here.where(F.col("stop").isNull() | (F.col(page) < F.col("stop"))).drop("stop", "_s")
 
 
 def search_grid(places: DataFrame, keywords: DataFrame) -> DataFrame:
     """Every search, place by place; both lists are settings of bounded size."""
-    return places.crossJoin(F.broadcast(keywords))
+    return places.crossJoin(broadcast_if_small(keywords))
 
 
 def first_attribution(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

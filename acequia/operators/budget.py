@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -69,24 +70,26 @@ REPLAY_COLUMNS = "wait double, burst_left double, hourly_left double, calls bigi
 def replay(log: DataFrame, key: str, order: str, budget: Budget = Budget()) -> DataFrame:
     """State after each event of each key's log (ts, kind, weight, cool_run), in order.
 
-    A key's log is sequential by nature; keys are replayed side by side.
+    A key's log is sequential by nature; keys are replayed side by side. Logs come sorted
+    and in batches, and only a key's state is carried on, so no log is held whole.
     """
     kind = dict(log.dtypes)[key]
     okind = dict(log.dtypes)[order]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", order])
-        state, out = None, []
-        for k, o, ts, what, weight, cool in zip(pdf[key], pdf[order], pdf.ts, pdf.kind, pdf.weight, pdf.cool_run):
-            if state is None:
-                state = BudgetState(budget.burst, budget.hourly, ts)
-            wait = state.apply(budget, what, ts, weight if pd.notna(weight) else (0.0 if what == "error" else 1.0), bool(cool))
-            out.append((k, o, wait, state.burst, state.hourly, state.calls, state.errors, state.pauses))
-        return pd.DataFrame(out, columns=[key, order, *[c.split()[0] for c in REPLAY_COLUMNS.split(", ")]])
-
-    return log.select(key, order, F.col("ts").cast("double").alias("ts"), "kind", F.col("weight").cast("double").alias("weight"), "cool_run").groupBy(key).applyInPandas(
-        run, f"{key} {kind}, {order} {okind}, {REPLAY_COLUMNS}"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, held = None, object()
+        for pdf in batches:
+            out = []
+            for k, none, o, ts, what, weight, cool in zip(pdf[key], pdf._none, pdf[order], pdf.ts, pdf.kind, pdf.weight, pdf.cool_run):
+                k = None if none else k
+                if state is None or k != held:
+                    state, held = BudgetState(budget.burst, budget.hourly, ts), k
+                wait = state.apply(budget, what, ts, weight if pd.notna(weight) else (0.0 if what == "error" else 1.0), bool(cool))
+                out.append((k, o, wait, state.burst, state.hourly, state.calls, state.errors, state.pauses))
+            yield pd.DataFrame(out, columns=[key, order, *[c.split()[0] for c in REPLAY_COLUMNS.split(", ")]])
+
+    slim = log.select(key, F.col(key).isNull().alias("_none"), order, F.col("ts").cast("double").alias("ts"), "kind", F.col("weight").cast("double").alias("weight"), "cool_run")
+    return slim.repartition(key).sortWithinPartitions(key, "ts", order).mapInPandas(run, f"{key} {kind}, {order} {okind}, {REPLAY_COLUMNS}")
 
 
 def retry_class(message: Column) -> Column:

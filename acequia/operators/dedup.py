@@ -32,9 +32,13 @@ def first_seen(df: DataFrame, key: Column, order: str = "ingest_seq") -> DataFra
 
 
 def dedup_urls(df: DataFrame, order: str = "ingest_seq", columns: tuple[str, ...] = ("job_url", "profile_url", "post_url")) -> DataFrame:
-    """First seen by address; ``url`` and ``applyUrl`` don't count."""
+    """First seen by address; ``url`` and ``applyUrl`` don't count.
+
+    Rows without any address all stay; addresses whose key is empty ("/", "?a=1") are one.
+    """
     have = [F.col(c) for c in columns if c in df.columns]
-    return first_seen(df, url_key(truthy(*have)) if have else F.lit(""), order)
+    said = F.coalesce(truthy(*have), F.lit("")) if have else F.lit("")
+    return first_seen(df, F.when(said != "", F.concat(F.lit("="), url_key(said))), order)
 
 
 def similar(threshold: float):
@@ -93,9 +97,10 @@ def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq
 
     Equal normalised names are settled first (lossless). Pairs of distinct names come
     from a lossless prefix filter on letters and lengths; ``refused`` decides them. Unnamed
-    rows stay.
+    rows stay; of names of white space only, which resemble each other alone, the first does.
     """
-    keyed = df.withColumn("_n", name_key(F.coalesce(F.col(name), F.lit(""))))
+    said = F.coalesce(F.col(name), F.lit(""))
+    keyed = df.withColumn("_n", F.when(said == "", "").otherwise(F.coalesce(F.nullif(name_key(said), F.lit("")), F.lit(" "))))
     names = settle(keyed.where("_n <> ''").groupBy("_n").agg(F.min(order).alias("seq")).select(F.col("_n").alias("n"), "seq"), "d2-names")
     # Matching characters are at most the letters both names have (repeats counted), and a
     # ratio of t asks for t/2 of both lengths together. So a name of length l needs at least
@@ -220,10 +225,13 @@ def ordered_distinct(hits: Column) -> Column:
 
 
 def dedup_stats(before: DataFrame, after: DataFrame, key: str = "category") -> DataFrame:
-    """Rows before and after, removed (may be negative) and percent."""
+    """Rows before and after, removed (may be negative) and percent, and the TOTAL (no percent)."""
     from acequia.functions.scalars import percent_removed
 
     b = before.groupBy(key).agg(F.count("*").alias("before"))
     a = after.groupBy(key).agg(F.count("*").alias("after"))
     both = b.join(a, key, "full").select(key, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
-    return both.withColumn("removed", F.col("before") - F.col("after")).withColumn("pct", percent_removed(F.col("before"), F.col("after")))
+    each = both.withColumn("removed", F.col("before") - F.col("after")).withColumn("pct", percent_removed(F.col("before"), F.col("after")))
+    total = both.agg(F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"))
+    total = total.select(F.lit("TOTAL").alias(key), "before", "after", (F.col("before") - F.col("after")).alias("removed"), F.lit("").alias("pct"))
+    return each.unionByName(total)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acequia.functions.scalars import truthy
 from acequia.operators.aggregate import cap
 from acequia.operators.dedup import first_seen, refused
-from acequia.session import settle
+from acequia.session import broadcast_if_small, settle
 
 
 def detail_lookup(rows: DataFrame, details: DataFrame, key: str, n: int, order: str) -> DataFrame:
@@ -29,12 +28,15 @@ def text_enrich(rows: DataFrame, texts: DataFrame, key: str, n: int, order: str,
     """
     from pyspark.sql import window as W
 
-    numbered = rows.withColumn("_r", F.row_number().over(W.Window.partitionBy(category).orderBy(order)))
-    t = texts.groupBy(key).agg(F.first("text").alias("_new"))
-    joined = numbered.join(t, key, "left")
+    # only the places move, cut to n a category before the shuffle; all rows stay where they are
+    place = F.row_number().over(W.Window.partitionBy("_c").orderBy("_o"))
+    slim = rows.select(F.col(category).alias("_c"), F.col(order).alias("_o"), F.col(key).alias("_k"))
+    first = slim.withColumn("_r", place).where(F.col("_r") <= n)
+    t = texts.groupBy(F.col(key).alias("_k")).agg(F.first("text").alias("_new"))
     new = F.col("_new") if overwrite_blank else F.nullif(F.col("_new"), F.lit(""))
-    got = F.when(F.col("_r") <= n, F.coalesce(new, F.col("text_ocr"))).otherwise(F.col("text_ocr"))
-    return joined.withColumn("text_ocr", got).drop("_r", "_new")
+    found = t.join(broadcast_if_small(first), "_k").where(new.isNotNull()).select("_c", "_o", "_new")
+    same = F.expr(f"`{category}` <=> _c") & (F.col(order) == F.col("_o"))
+    return rows.join(broadcast_if_small(found), same, "left").withColumn("text_ocr", F.coalesce(new, F.col("text_ocr"))).drop("_c", "_o", "_new")
 
 
 def fan_out(searches: DataFrame, posts: DataFrame, n: int, order: str) -> DataFrame:
@@ -49,12 +51,23 @@ def fan_out(searches: DataFrame, posts: DataFrame, n: int, order: str) -> DataFr
 def not_contained(rows: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
     """The static part of J5: rows whose name neither holds nor is held by any of ``others``.
 
-    A theta join: ``others`` must be small. Distinct names meet, not rows; the empty name
-    is held by every name.
+    Distinct names meet, not rows; the empty name is held by every name. A theta join while
+    ``others`` is small enough to broadcast, else by their rarest pieces (``holding``).
     """
     a = rows.select(F.col(name).alias("_a")).distinct()
-    b = others.select(F.col(other).alias("_b")).distinct()
-    free = a.join(b, F.col("_a").contains(F.col("_b")) | F.col("_b").contains(F.col("_a")), "left_anti")
+    b = others.select(F.col(other).alias("_b")).distinct().where("_b is not null")
+    small = broadcast_if_small(b)
+    if small is not b:
+        free = a.join(small, F.col("_a").contains(F.col("_b")) | F.col("_b").contains(F.col("_a")), "left_anti")
+    else:
+        both = a.where("_a is not null").select(F.col("_a").alias("t"), F.lit(0).alias("s")).unionByName(b.select(F.col("_b").alias("t"), F.lit(1).alias("s")))
+        marked = settle(both.groupBy("t").agg(F.min("s").alias("s")), "j5-both")
+        pairs = holding(marked.select("t", "s"))
+        known = b.withColumnRenamed("_b", "t")
+        up = pairs.select(F.col("big").alias("_a"), F.col("small").alias("t")).join(known, "t", "left_semi")
+        down = pairs.select(F.col("small").alias("_a"), F.col("big").alias("t")).join(known, "t", "left_semi")
+        held = up.select("_a").unionByName(down.select("_a")).unionByName(known.select(F.col("t").alias("_a"))).distinct()
+        free = a.join(held, "_a", "left_anti")
     return rows.join(free, F.col(name) == F.col("_a")).drop("_a")
 
 
@@ -100,10 +113,5 @@ def references_added(people: DataFrame, references: DataFrame, name: str = "name
 
 def keyword_hits(texts: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
     """(key, keyword) for each keyword (a table kw) a text contains; for long lists."""
-    k = F.broadcast(keywords.select("kw"))
+    k = broadcast_if_small(keywords.select("kw"))
     return texts.select(key, F.lower(F.col(text)).alias("_t")).join(k, F.expr("contains(_t, lower(kw))")).select(key, "kw")
-
-
-def filled(*names: str):
-    """Truthy coalesce over columns by name."""
-    return truthy(*[F.col(n) for n in names])

@@ -193,7 +193,8 @@ def intent_scope_exempt(spark, d):
 @query(
     f"""with v as (select source, coalesce(text, '') <> '' and {_VALID} as ok from documents),
         c as (select source as category, count(*) as before, count(*) filter (where ok) as after from v group by source)
-        select category, before, after, before - after as removed, cast(cast(round_even((before - after) * 100.0 / before, 0) as bigint) as varchar) || '%' as pct from c"""
+        select category, before, after, before - after as removed, cast(cast(round_even((before - after) * 100.0 / before, 0) as bigint) as varchar) || '%' as pct from c
+        union all select 'TOTAL', sum(before)::bigint, sum(after)::bigint, sum(before - after)::bigint, '' from c"""
 )
 def intent_stats(spark, d):
     docs = table(spark, d, "documents").withColumn("category", F.col("source"))
@@ -255,8 +256,8 @@ def url_dedup_first_seen(spark, d):
 
 
 @query(
-    f"""select ingest_seq, job_url from jobs where coalesce({KEY_SQL.format('job_url')}, '') = ''
-        union all (select ingest_seq, job_url from jobs where {KEY_SQL.format('job_url')} <> '' qualify row_number() over (partition by {KEY_SQL.format('job_url')} order by ingest_seq) = 1)"""
+    f"""select ingest_seq, job_url from jobs where coalesce(job_url, '') = ''
+        union all (select ingest_seq, job_url from jobs where job_url <> '' qualify row_number() over (partition by {KEY_SQL.format('job_url')} order by ingest_seq) = 1)"""
 )
 def url_dedup_blank_passthrough(spark, d):
     return D.dedup_urls(table(spark, d, "jobs")).select("ingest_seq", "job_url")
@@ -282,7 +283,7 @@ def fold_most_enriched(spark, d):
 @query(
     """with k as (select *, case when jobId is not null and jobId <> 0 then 'id:' || jobId else 't:' || coalesce(title, '') || '|' || coalesce(companyName, '') end as key from jobs),
        f as (select * from k qualify row_number() over (partition by key order by ingest_seq) = 1),
-       c as (select * from f where coalesce(title, '') not in ('Accesibilidad', 'Centro de ayuda', 'Privacidad y condiciones', 'Opciones de publicidad', 'Publicidad', 'Servicios empresariales', '…', '---', 'mostrar más', 'Mostrar todo')
+       c as (select * from f where coalesce(title, '') not in ('Accesibilidad', 'Centro de ayuda', 'Privacidad y condiciones', 'Opciones de publicidad', 'Publicidad', 'Servicios empresariales', '…', '---', 'mostrar más', 'Mostrar todo', 'Vinculared Job')
              and (coalesce(jobId, 0) <> 0 or coalesce(title, '') <> ''))
        select ingest_seq, cast((case when coalesce(jobId, 0) <> 0 then 10 else 0 end) + (case when coalesce(companyName, '') <> '' then 5 else 0 end) + (case when coalesce(location, '') <> '' then 3 else 0 end)
          + (case when coalesce(postedDate, '') <> '' then 2 else 0 end) + (case when coalesce(applyUrl, '') <> '' then 1 else 0 end) as integer) as score from c"""
@@ -309,10 +310,11 @@ def merge_people_anti(spark, d):
 
 
 @query(
-    f"""with a as (select * from jobs where coalesce({KEY_SQL.format('job_url')}, '') = '' union all
-          (select * from jobs where {KEY_SQL.format('job_url')} <> '' qualify row_number() over (partition by {KEY_SQL.format('job_url')} order by ingest_seq) = 1)),
+    f"""with a as (select * from jobs where coalesce(job_url, '') = '' union all
+          (select * from jobs where job_url <> '' qualify row_number() over (partition by {KEY_SQL.format('job_url')} order by ingest_seq) = 1)),
         x as (select source as category, count(*) as before from jobs group by source), y as (select source as category, count(*) as after from a group by source)
-        select category, before, coalesce(after, 0) as after, before - coalesce(after, 0) as removed, cast(cast(round_even((before - coalesce(after, 0)) * 100.0 / before, 0) as bigint) as varchar) || '%' as pct from x left join y using (category)"""
+        select category, before, coalesce(after, 0) as after, before - coalesce(after, 0) as removed, cast(cast(round_even((before - coalesce(after, 0)) * 100.0 / before, 0) as bigint) as varchar) || '%' as pct from x left join y using (category)
+        union all select 'TOTAL', (select count(*) from jobs), (select count(*) from a), (select count(*) from jobs) - (select count(*) from a), ''"""
 )
 def dedup_stats(spark, d):
     j = table(spark, d, "jobs").withColumn("category", F.col("source"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql.types import ArrayType, BooleanType, LongType, MapType, StringType, StructField, StructType
 
 _S = StringType()
+# Fixed values.
 ITEM_STRINGS = [
     "type", "source", "search_keyword", "title", "name", "company", "company_name", "companyName", "location", "url",
     "job_url", "profile_url", "post_url", "applyUrl", "external_id", "username", "slug", "posted_date", "postedDate",
@@ -19,11 +20,13 @@ VALIDATION = StructType(
 UNIFIED_ITEM = StructType(
     [StructField(n, _S) for n in ITEM_STRINGS] + [StructField("jobId", LongType()), StructField("validation", VALIDATION)]
 )
+# Fixed values.
 CONSOLIDATED_FIELDS = [
     "id", "type", "source", "search_keyword", "title", "company", "location", "url", "external_id", "posted_date",
     "scraped_at", "origin_date", "origin_file", "text_ocr", "is_valid", "_emails", "_telefonos", "_sector",
 ]
 CONSOLIDATED = StructType([StructField(n, _S) for n in CONSOLIDATED_FIELDS])
+# Fixed values.
 FLAT_COLUMNS = [
     "category", "type", "source", "search_keyword", "title", "company", "location", "url", "external_id", "posted_date",
     "scraped_at", "text_ocr", "is_valid",

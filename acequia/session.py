@@ -32,14 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and registered.
+    Only where the session names none and runs on one machine (tests) a temporary folder
+    is made and registered; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="acequia-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -48,8 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/acequia/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/acequia/{label}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    return path
 
 
 def state_path(spark: SparkSession, label: str, *tables: DataFrame) -> str:

@@ -47,10 +47,18 @@ def _chain(first, rest):
 
 
 def envelope_file(buckets: dict[str, DataFrame], metadata: dict, path: str) -> None:
-    """K2: {metadata, results}."""
-    results = {k: [json.loads(r.j) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()] for k, df in buckets.items()}
+    """K2: {metadata, results}, written row by row."""
+    text = lambda v, by: json.dumps(v, ensure_ascii=False, indent=2, default=str).replace("\n", "\n" + " " * by)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"metadata": metadata, "results": results}, f, ensure_ascii=False, indent=2, default=str)
+        f.write('{\n  "metadata": ' + text(metadata, 2) + ',\n  "results": {')
+        for i, (name, df) in enumerate(buckets.items()):
+            f.write(("," if i else "") + "\n    " + json.dumps(name, ensure_ascii=False) + ": [")
+            n = 0
+            for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+                f.write(("," if n else "") + "\n      " + text(json.loads(r.j), 6))
+                n += 1
+            f.write("\n    ]" if n else "]")
+        f.write("\n  }\n}" if buckets else "}\n}")
 
 
 def flat_rows(items: DataFrame, order: str = "ingest_seq") -> DataFrame:
@@ -155,11 +163,19 @@ def consolidated_workbook(df: DataFrame, path: str, order: str = "first_seq") ->
 
 
 def safe_write(df: DataFrame, path: str) -> None:
-    """K9: write beside, then rename; a failure leaves the old result."""
+    """K9: write beside, then rename; a failure leaves the old result, or it beside as ``.old``."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path + ".part")
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    aside = jvm.org.apache.hadoop.fs.Path(path + ".old")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"{path} can't be set aside")
+    if not fs.rename(new, old):
+        if fs.exists(aside):
+            fs.rename(aside, old)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(aside, True)

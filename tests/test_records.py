@@ -430,3 +430,40 @@ def test_analysis(spark):
     out = pipeline.analyse(df)
     assert [(r.location, r.n) for r in out["top_places"].collect()] == [("y", 2), ("x", 1)]
     assert {(r.search_keyword, r.n) for r in out["by_keyword"].collect()} == {("a", 2), ("?", 1)}
+
+
+def test_addresses_with_an_empty_key_are_one_and_blank_names_too(spark):
+    df = spark.createDataFrame([(1, "/"), (2, "?a=1"), (3, ""), (4, None), (5, "#x"), (6, "")], "ingest_seq bigint, job_url string")
+    assert sorted(r.ingest_seq for r in D.dedup_urls(df).collect()) == [1, 3, 4, 6]
+    names = spark.createDataFrame([(1, " "), (2, "\t"), (3, ""), (4, None), (5, "Ana Ruiz"), (6, "  ")], "ingest_seq bigint, name string")
+    assert sorted(r.ingest_seq for r in D.dedup_names(names).collect()) == [1, 3, 4, 5]
+
+
+def test_total_row_of_the_statistics(spark):
+    a = spark.createDataFrame([("x",), ("x",), ("y",)], "category string")
+    got = {r.category: (r.before, r.after, r.removed, r.pct) for r in D.dedup_stats(a, a.where("category = 'y'")).collect()}
+    assert got == {"x": (2, 0, 2, "100%"), "y": (1, 1, 0, "0%"), "TOTAL": (3, 1, 2, "")}
+    assert {r.category for r in D.dedup_stats(a.limit(0), a.limit(0)).collect()} == {"TOTAL"}
+
+
+def test_joined_text_over_blocks_and_names_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(A, "JOIN_BLOCK", 3)
+    rows = [("k", i, f"t{i}" if i % 4 else None) for i in range(10)] + [("n", 1, None), (None, 2, "z")]
+    df = spark.createDataFrame(rows, "k string, o int, x string")
+    assert {r.k: r.joined for r in A.joined_text(df, "k", "o", "x", "|").collect()} == {"k": "t1|t2|t3|t5|t6|t7|t9", "n": "", None: "z"}
+    a = spark.createDataFrame([("Ana Ruiz",), ("Leo Paz",), ("Eva",), ("Lía Sol",)], "a string")
+    b = spark.createDataFrame([("Ana",), ("Leo Paz Gil",), ("Eva",)], "b string")
+    small = sorted(r.a for r in E.not_contained(a, b, "a", "b").collect())
+    monkeypatch.setattr(E, "broadcast_if_small", lambda df, *_: df)
+    assert sorted(r.a for r in E.not_contained(a, b, "a", "b").collect()) == small == ["Lía Sol"]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from acequia.session import shared_dir
+
+    bare = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(getConf=lambda: bare, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=bare))

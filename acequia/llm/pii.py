@@ -2,8 +2,9 @@
 
 Detection gives spans of five kinds (email, phone, id_number, address, person_name) by
 patterns of their notations; a name is a known given name with its surnames, in any order
-and case, or a name-shaped string after words that introduce a person. Labels, titles and
-closing punctuation stay outside the spans.
+and case, a name-shaped string after words that introduce a person, or what a classifier
+of runs of capitalised words takes for one (``names``; it knows no list of names). Labels,
+titles and closing punctuation stay outside the spans.
 
 ``mask_spans`` puts typed placeholders there. ``surrogates`` generates keyed, type-consistent
 replacements instead: a dictionary of all distinct parts (given names, surnames, mailbox
@@ -16,7 +17,8 @@ and ids are keyed by all their digits and letters, however these are grouped. Di
 mail and street addresses and initials are too short for a draw; a keyed permutation of
 equal length keeps them apart, and the words beside them keep the whole from being real.
 
-Detection needs no shuffle. The dictionary is a distributed table, joined back by part.
+Detection runs once, without a shuffle; its entities are kept for all that follows. The
+dictionary is a distributed table, joined back by part.
 
 Defined results: null, empty and blank texts have no spans and come out as they are; of
 overlapping candidates the kind earlier in KINDS wins, then the earlier and longer span.
@@ -35,6 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acequia.llm.names import names_in
 from acequia.session import settle
 
 KINDS = ["email", "id_number", "phone", "address", "person_name"]
@@ -68,6 +71,9 @@ EMAIL = regex.compile(
     r"|(?<![\w.+-])[\w][\w.+-]*\s+(?:arroba)\s+[\p{L}\d-]+(?:\s+(?:punto|ponto|dot)\s+[\p{L}\d-]+|\.[\p{L}\d-]+)+",
     regex.I,
 )
+#: What every written address of a mailbox holds some of; texts without it are passed over.
+EMAIL_HINT = regex.compile(r"@|\barroba\b|[(\[{]\s*at\s*[)\]}]", regex.I)
+DIGIT = regex.compile(r"\d")
 _ID_SHAPES = (
     r"\d{3}\.\d{3}\.\d{3}-\d{2}|\d{1,2}\.\d{3}\.\d{3}(?:-[\dkK])?|\d{2}-\d{8}-\d|\d{3}-\d{2}-\d{4}|\d{7,8}-[\dA-Za-z]|[XYZ]-?\d{7}-?[A-Z]"
 )
@@ -89,6 +95,8 @@ PHONE = regex.compile(
     r")(?![\w]|[\-./]\d)"
 )
 PHONE_CUED = regex.compile(r"(?i)(?:tel[ée]?(?:fono)?\.?:?|cel(?:ular)?(?: es)?:?|m[óo]vil(?: es)?:?|whatsapp:?|call|phone:?|ll[áa]m\w*(?: al)?)\s+(?<v>\d[\d\s.\-]{6,14}\d)(?!\w)")
+#: Account numbers, whose groups of digits are no phones.
+ACCOUNT = regex.compile(r"\b[A-Z]{2}\d{2}(?:\s?[A-Z\d]{4}){3,8}(?:\s?[A-Z\d]{1,3})?\b")
 NOT_PHONE = regex.compile(r"(?i)(?:\bref(?:erencia)?\.?|c[óo]digo(?: de \w+)?|expediente(?: \w+)?|requisition|vaga|build|versi[óo]n|versão|id|n[°º])\s*:?\s*$")
 
 _CAP = r"\p{Lu}[\p{Ll}']+"
@@ -105,6 +113,8 @@ ADDRESS = regex.compile(
     + r"|(?:calle|avenida|av\.?|pje\.?|bv\.?|rua|c/)\s+(?:\p{L}+\s+){1,4}" + _MARK + r"\s*\d{1,5}(?!\d)" + _EXTRA
     + r"|\d{1,5}\s+" + _STREET + r"\s+(?:Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Road|Rd\.?|Drive|Dr\.?|Boulevard|Blvd\.?)(?!\w)" + _EXTRA
     + r"|" + _STREET + r",?\s+\d{1,5}\s*\([A-Z]\d{4}[A-Z]{3}\)" + _EXTRA
+    + r"|\d{1,4}(?:\s?bis)?,?\s+(?:rue|boulevard|avenue|via|viale)\s+" + _STREET
+    + r"|" + _CAP + r"(?:straße|strasse|weg|allee|platz)\s+\d{1,4}[a-z]?(?!\d)"
     + r")"
 )
 # A street name and a plain number count after words of place only.
@@ -145,6 +155,10 @@ def _name_start(text: str, m) -> tuple[int, int] | None:
     return None
 
 
+def _of_company(text: str, a: int, b: int) -> bool:
+    return bool(regex.search(r"(?:^|\s)" + COMPANY_WORD + r"$", text[a:b]) or regex.match(r"\s+" + COMPANY_WORD, text[b : b + 20]))
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every personal detail, in order."""
     if not text or not text.strip():
@@ -157,21 +171,25 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         if b > a:
             found.append((KINDS.index(kind), a, b, kind))
 
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if EMAIL_HINT.search(text) else ():
         add("email", m.start(), m.end() - (text[m.end() - 1] in ".-"))
-    for m in ID_LABELLED.finditer(text):
+    numbers = DIGIT.search(text)
+    for m in ID_LABELLED.finditer(text) if numbers else ():
         add("id_number", *m.span("v"))
-    for m in ID_BARE.finditer(text):
+    for m in ID_BARE.finditer(text) if numbers else ():
         add("id_number", *m.span())
-    for m in PHONE.finditer(text):
+    accounts = [m.span() for m in ACCOUNT.finditer(text)] if numbers else []
+    for m in PHONE.finditer(text) if numbers else ():
+        if any(a <= m.start() < b for a, b in accounts):
+            continue
         if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not NOT_PHONE.search(text[max(0, m.start() - 30) : m.start()]):
             add("phone", *m.span())
-    for m in PHONE_CUED.finditer(text):
+    for m in PHONE_CUED.finditer(text) if numbers else ():
         if 8 <= sum(c.isdigit() for c in m.group("v")) <= 15:
             add("phone", *m.span("v"))
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if numbers else ():
         add("address", *m.span())
-    for m in ADDRESS_CUED.finditer(text):
+    for m in ADDRESS_CUED.finditer(text) if numbers else ():
         add("address", *m.span("v"))
     for m in NAME_CUED.finditer(text):
         if not regex.match(r"\s+" + COMPANY_WORD, text[m.end() : m.end() + 20]) and not regex.search(COMPANY_WORD + r"$", m.group("v")):
@@ -187,6 +205,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     for _, a, b, kind in found:
         if all(b <= x or a >= y for x, y, _ in kept):
             kept.append((a, b, kind))
+    for a, b in names_in(text):
+        if all(b <= x or a >= y for x, y, _ in kept) and not _of_company(text, a, b):
+            kept.append((a, b, "person_name"))
     return [(k, a, b) for a, b, k in sorted(kept)]
 
 
@@ -334,72 +355,90 @@ def _dress(like: str, plain: str) -> str:
     return plain.upper() if like.isupper() and len(like) > 1 else plain.capitalize() if like[0].isupper() else plain
 
 
-def surrogates(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
-    """(table_name, ingest_seq, text) with keyed surrogates instead of personal details.
+ENTITY = "table_name string, ingest_seq bigint, kind string, start_pos bigint, end_pos bigint, entity string"
+_KEY = ["table_name", "ingest_seq", "kind", "start_pos", "end_pos"]
 
-    The collision check goes on until all replacements are distinct and none is real, and
-    raises if ``rounds`` rounds in a row get no nearer (numbers that leave no room).
-    """
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entities(rows: DataFrame) -> DataFrame:
+    """A row for each part of each entity: its key, its text, where the part is in it, the dictionary, the part."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [*_KEY, "entity", "start", "stop", "part_kind", "part", "offset"]
         for pdf in batches:
-            seen = set()
-            for x in pdf.text:
+            out = []
+            for t, s, x in zip(pdf.table_name, pdf.ingest_seq, pdf.text):
                 for kind, a, b in find_spans(x):
-                    seen.update((pk, part) for _, _, pk, part, _ in entity_parts(kind, x, a, b))
-            yield pd.DataFrame(sorted(seen), columns=["kind", "part"])
+                    parts = entity_parts(kind, x, a, b) or [(a, a, "none", "", -1)]
+                    out += [(t, s, kind, a, b, x[a:b], i - a, j - a, pk, part, at) for i, j, pk, part, at in parts]
+            yield pd.DataFrame(out, columns=cols)
+
+    slim = rows.select("table_name", "ingest_seq", "text").where("text is not null")
+    return slim.mapInPandas(cut, ENTITY + ", start int, stop int, part_kind string, part string, offset int")
+
+
+def replacements(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
+    """(table_name, ingest_seq, kind, start_pos, end_pos, surrogate): every detail with its replacement.
+
+    The collision check goes on until all replacements are distinct and none is real, and
+    raises if ``rounds`` rounds in a row get no nearer (numbers that leave no room).
+    """
 
     @F.pandas_udf("string")
     def drawn(kind: pd.Series, part: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate_part(secret, k, p, int(a)) for k, p, a in zip(kind, part, attempt)])
+        return pd.Series([p if k == "none" else surrogate_part(secret, k, p, int(a)) for k, p, a in zip(kind, part, attempt)])
 
-    spread = rows.select("table_name", "ingest_seq", "text").where("text is not null")
-    todo = settle(spread.mapInPandas(parts, "kind string, part string").distinct().withColumn("attempt", F.lit(0)), "p3-parts")
+    pieces = settle(_entities(rows), "p3-entities")
+    todo = pieces.select(F.col("part_kind").alias("kind"), "part").distinct().withColumn("attempt", F.lit(0))
     fewest, idle = None, 0
     while True:
         named = settle(todo.withColumn("new", drawn("kind", "part", "attempt")), "p3-named")
         rank = F.expr("row_number() over (partition by kind, new order by part)")
         real = named.select("kind", F.col("part").alias("new")).withColumn("taken", F.lit(True))
-        judged = named.withColumn("rank", rank).join(real, ["kind", "new"], "left")
-        drawn_kind = ~F.col("kind").isin(*PERMUTED)
-        again = settle(
-            judged.select("kind", "part", "attempt", "new", (drawn_kind & ((F.col("rank") > 1) | F.col("taken").isNotNull())).alias("clash")), "p3-judged"
-        )
-        clashes = again.where("clash").count()
+        judged = named.where(~F.col("kind").isin(*PERMUTED, "none")).withColumn("rank", rank).join(real, ["kind", "new"], "left")
+        clash = settle(judged.where("rank > 1 or taken").select("kind", "part", F.lit(1).alias("clash")), "p3-clashes")
+        clashes = clash.count()
         if not clashes:
             break
         fewest, idle = (clashes, 0) if fewest is None or clashes < fewest else (fewest, idle + 1)
         if idle >= rounds:
             raise ValueError(f"{clashes} personal details have no distinct surrogate")
-        todo = again.select("kind", "part", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    final = named.select("kind", "part", "new")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["table_name", "ingest_seq", "start", "stop", "kind", "part", "offset", "like"]
-        for pdf in batches:
-            out = []
-            for t, s, x in zip(pdf.table_name, pdf.ingest_seq, pdf.text):
-                for kind, a, b in find_spans(x):
-                    out += [(t, s, i, j, pk, part, at, x[i:j]) for i, j, pk, part, at in entity_parts(kind, x, a, b)]
-            yield pd.DataFrame(out, columns=cols)
-
-    pieces = spread.mapInPandas(cut, "table_name string, ingest_seq bigint, start int, stop int, kind string, part string, offset int, like string")
+        todo = named.join(clash, ["kind", "part"], "left").select("kind", "part", (F.col("attempt") + F.coalesce("clash", F.lit(0))).alias("attempt"))
+    final = named.select(F.col("kind").alias("part_kind"), "part", "new")
     new = F.expr("if(offset < 0, new, substring(new, offset + 1, stop - start))").alias("new")
-    per_row = pieces.join(final, ["kind", "part"]).groupBy("table_name", "ingest_seq").agg(F.collect_list(F.struct("start", "stop", "like", new)).alias("swaps"))
+    whole = pieces.join(final, ["part_kind", "part"]).groupBy(*_KEY).agg(F.first("entity").alias("entity"), F.collect_list(F.struct("start", "stop", new)).alias("swaps"))
 
     @F.pandas_udf("string")
     def rebuilt(texts: pd.Series, swaps: pd.Series) -> pd.Series:
+        out = []
+        for x, parts in zip(texts, swaps):
+            at, bits = 0, []
+            for s in sorted(parts, key=lambda s: s["start"]):
+                if s["stop"] > s["start"]:
+                    bits += [x[at : s["start"]], _dress(x[s["start"] : s["stop"]], s["new"])]
+                    at = s["stop"]
+            out.append("".join(bits) + x[at:])
+        return pd.Series(out)
+
+    return whole.select(*_KEY, rebuilt("entity", "swaps").alias("surrogate"))
+
+
+def surrogates(rows: DataFrame, secret: bytes, rounds: int = 8) -> DataFrame:
+    """(table_name, ingest_seq, text) with keyed surrogates instead of personal details."""
+    swaps = replacements(rows, secret, rounds).groupBy("table_name", "ingest_seq").agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate")).alias("swaps"))
+
+    @F.pandas_udf("string")
+    def put_in(texts: pd.Series, swaps: pd.Series) -> pd.Series:
         out = []
         for x, todo in zip(texts, swaps):
             if x is None or todo is None:
                 out.append(x)
                 continue
             at, bits = 0, []
-            for s in sorted(todo, key=lambda s: s["start"]):
-                bits += [x[at : s["start"]], _dress(s["like"], s["new"])]
-                at = s["stop"]
+            for s in sorted(todo, key=lambda s: s["start_pos"]):
+                bits += [x[at : s["start_pos"]], s["surrogate"]]
+                at = s["end_pos"]
             out.append("".join(bits) + x[at:])
         return pd.Series(out)
 
-    joined = rows.select("table_name", "ingest_seq", "text").join(per_row, ["table_name", "ingest_seq"], "left")
-    return joined.select("table_name", "ingest_seq", rebuilt("text", "swaps").alias("text"))
+    joined = rows.select("table_name", "ingest_seq", "text").join(swaps, ["table_name", "ingest_seq"], "left")
+    return joined.select("table_name", "ingest_seq", put_in("text", "swaps").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from acequia.llm.contamination import find_contamination
 from acequia.llm.encode import encode_corpus
 from acequia.llm.entity_match import match_entities
 from acequia.llm.incremental_dedup import PostingHistory
-from acequia.llm.pii import detect, mask, surrogates
+from acequia.llm.pii import mask, replacements, surrogates
 from acequia.llm.residue import find_residue, without_residue
 from acequia.llm.scan_repair import find_damage, repair
 from acequia.session import state_path, table
@@ -39,8 +40,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERSONAL = [("person_profiles", "about"), ("posts_feed", "text"), ("job_details", "description")]
 PAGES = [("person_profiles", "text_ocr"), ("job_details", "text_ocr"), ("posts_companies", "text")]
 SCANS = [("job_details", "text_ocr"), ("person_profiles", "text_ocr"), ("company_profiles", "text_ocr")]
-#: The key of the surrogates; a deployment brings its own secret.
-SURROGATE_KEY = b"acequia"
+#: The setting that holds the key of the surrogates; without it an application draws one of
+#: its own, so that its replacements can't be told from outside.
+KEY_SETTING = "spark.acequia.surrogate.key"
+_OWN_KEY = os.urandom(32)
+
+
+def _secret(spark: SparkSession) -> bytes:
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _OWN_KEY
 
 
 def _texts(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str]]) -> DataFrame:
@@ -52,7 +60,8 @@ def _texts(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str]]) -> D
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_texts(spark, sf_dir, PERSONAL))
+    found = replacements(_texts(spark, sf_dir, PERSONAL), _secret(spark))
+    return found.select("table_name", "ingest_seq", "kind", "start_pos", "end_pos")
 
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +69,7 @@ def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(_texts(spark, sf_dir, PERSONAL), SURROGATE_KEY)
+    return surrogates(_texts(spark, sf_dir, PERSONAL), _secret(spark))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,28 @@ def test_a_number_is_the_same_however_it_is_grouped(spark):
     rows = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "table_name string, ingest_seq bigint, text string")
     a, b = [r.text for r in surrogates(rows, b"secret").orderBy("ingest_seq").collect()]
     assert a != texts[0] and a.replace(".", "") == b.replace(".", "")
+
+
+#: Names of many origins, none of them in the module's lists of given names.
+UNLISTED = [
+    "Rocío Benítez", "Matías Franco", "Priya Raghunathan", "Guadalupe Herrera", "Thiago Moreira", "Oluwaseun Adeyemi", "Kenji Tanaka", "Itzel Quispe", "Björn Sigurdsson", "Amara Okafor",
+    "Iker Zubizarreta", "Yesenia Villalobos Prado", "Nahuel Ferreyra", "Siobhan Gallagher", "Zoe Papadopoulos", "Anselmo Della Torre", "Dmitri Volkov", "Leilani Kahale", "Fatou Diallo", "Ngozi Eze",
+]
+AROUND = ["Hoy hablé con {} sobre el turno.", "Please contact {} about the rota.", "Fale com {} até sexta.", "La reunión la coordina {} desde abril.", "Kind regards, {}", "My colleague {} will answer."]
+NO_NAMES = ["Trabajo en Talleres Lumbre desde enero.", "Vivo en Villa Mercedes.", "We use Google Cloud every day.", "Our client Acme Robotics hires.", "About The Role", "Machine Learning and Data Science.", "Buscamos Analista Funcional Senior."]
+
+
+def test_names_in_no_list():
+    from acequia.llm.pii import GIVEN, _fold
+
+    assert not {_fold(n.split()[0]) for n in UNLISTED} & set(GIVEN)
+    cases = [(t.format(n), n) for n in UNLISTED for t in AROUND]
+    hit = sum(any(k == "person_name" and x[a:b] == n for k, a, b in find_spans(x)) for x, n in cases)
+    assert hit >= 0.9 * len(cases)
+    assert [x for x in NO_NAMES if any(k == "person_name" for k, _, _ in find_spans(x))] == []
+
+
+def test_streets_elsewhere_and_account_numbers():
+    kinds = lambda x: [(k, x[a:b]) for k, a, b in find_spans(x)]
+    assert kinds("Le bureau: 12 rue de Rivoli.") == [("address", "12 rue de Rivoli")] and kinds("Büro in der Friedrichstraße 12.") == [("address", "Friedrichstraße 12")]
+    assert kinds("IBAN ES91 2100 0418 4502 0005 1332.") == []

@@ -62,6 +62,9 @@ My name is [N].
 Ask for [N] at the desk.
 Contact [N] for details.
 Talk to [N] before Friday.
+Please contact [N].
+Please call [N] first.
+Please write to [N] about it.
 Yesterday [N] told me about the plan.
 Our founder, [N], opened the meeting.
 The team is led by [N].

@@ -1,13 +1,18 @@
 """Main body of web pages, by flat text blocks and a decision tree.
 
-Each line of a page is a block. A block has its word count, its link density (the share of
-its words in known anchor texts or in lists of links), cues of cookie notices, prompts and
-footers, and the same for the blocks before and after it; a block also knows how many
-entry-like blocks lie between it and the heading of a sidebar. A decision tree, grown on
-the small table in ``boilerplate_labels``, classifies the blocks.
+Each line of a page is a block. A block has its word count, its link density, cues of
+cookie notices, prompts and footers, and the same for the blocks before and after it; a
+block also knows how many entry-like blocks lie between it and the heading of a sidebar. A
+decision tree, grown on the small table in ``boilerplate_labels``, classifies the blocks.
 
-The tree is grown once on the driver (a few hundred rows; ``MAX_LABELLED`` bounds it) and
-travels with the task; pages are classified where they lie, without a shuffle.
+Plain text has no anchors. So link density is told twice: as the share of a line's words in
+known texts of links, and, for sites whose links nobody listed, as the odds that words like
+these stand in links, learned from the labelled table (a logistic regression; for the tree
+the odds of a page's lines come from the other pages, so that it doesn't trust them more
+than they deserve).
+
+Both are fitted once on the driver (a few hundred rows; ``MAX_LABELLED`` bounds them) and
+travel with the task; pages are classified where they lie, without a shuffle.
 
 Defined results: null, empty and blank texts give no rows, nor does scanned text; blank
 lines are never reported; a page may have no boilerplate or nothing else.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +33,7 @@ from acequia.llm.boilerplate_labels import PAGES
 from acequia.llm.textkind import is_scanned
 
 MAX_LABELLED = 2_000
-MAX_DEPTH = 8
+MAX_DEPTH = 12
 
 # Texts of links and buttons, by place.
 NAVIGATION = (
@@ -70,8 +76,56 @@ _LINKS = frozenset(NAVIGATION) | frozenset(BUTTONS) | frozenset(FOOTER)
 
 FEATURES = [
     "words", "link_density", "notice", "prompt", "rights", "crumb", "bullet", "sentence", "section", "sidebar_head", "sidebar_run",
-    "entry_count", "segments", "words_before", "link_before", "words_after", "link_after", "first",
+    "entry_count", "segments", "words_before", "link_before", "words_after", "link_after", "first", "odds", "odds_before", "odds_after", "odds_run", "known",
 ]
+LINK, CUES = FEATURES.index("link_density"), [FEATURES.index(f) for f in ("notice", "prompt", "rights", "crumb", "sidebar_head")]
+KNOWN = len(FEATURES) - 1
+ODDS = [i for i, f in enumerate(FEATURES) if f.startswith("odds")]
+#: What says little about sites nobody listed, and how deep their part of the tree may be.
+SPECIAL = [FEATURES.index(f) for f in ("crumb", "entry_count", "known")]
+GENERAL_DEPTH = 4
+#: Of a page's lines so many are such cues where its site is known; only then the listed cues suffice.
+KNOWN_SHARE = 0.15
+#: Weight decay and steps of the odds' fit.
+DECAY, STEPS = 3e-4, 400
+#: Parts of the labelled pages; the odds of one part come from the others.
+FOLDS = 5
+_TOKEN = re.compile(r"[^\W\d_]+|[|·›»>/©]")
+
+
+@lru_cache(maxsize=200_000)
+def word_features(line: str) -> tuple[str, ...]:
+    """The words of a line, its first and last pair, and how short it is."""
+    words = _TOKEN.findall(line.lower())
+    ends = "." if line.rstrip()[-1:] in ".!?" else "-"
+    size = f"n{min(len(words), 8)}{ends}"
+    return (*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), size)
+
+
+def fit_odds(lines: list[str], y: np.ndarray) -> dict[str, float]:
+    """feature -> weight of the odds that a line is boilerplate."""
+    rows = [word_features(x) for x in lines]
+    at = {f: i + 1 for i, f in enumerate(sorted({f for r in rows for f in r}))}
+    x = np.zeros((len(rows), len(at) + 1))
+    x[:, 0] = 1.0
+    for i, r in enumerate(rows):
+        for f in r:
+            x[i, at[f]] = len(r) ** -0.5
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        w -= 8.0 * (x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y) + DECAY * w)
+    return {"": float(w[0])} | {f: float(w[i]) for f, i in at.items()}
+
+
+def _grade(value: float) -> int:
+    """Odds against, likely against, undecided, likely for, for."""
+    return sum(value > cut for cut in (-1.5, -0.5, 0.5, 1.5))
+
+
+def odds(weights: dict[str, float], line: str) -> float:
+    """Log odds that a line is boilerplate, by its words alone."""
+    r = word_features(line)
+    return weights[""] + sum(weights.get(f, 0.0) for f in r) * len(r) ** -0.5 if r else 0.0
 
 
 def link_density(line: str) -> float:
@@ -85,13 +139,16 @@ def link_density(line: str) -> float:
     return linked / total if total else 0.0
 
 
-def block_features(text: str) -> tuple[list[int], np.ndarray]:
+def block_features(text: str, weights: dict[str, float]) -> tuple[list[int], np.ndarray]:
     """(line numbers of the non-blank lines, one row of FEATURES for each)."""
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
     rows, run = [], -1
     words = [len(lines[i].split()) for i in at]
     links = [link_density(lines[i]) for i in at]
+    said = [odds(weights, lines[i].strip()) for i in at]
+    # the mean odds of the lines beside a line, within three of it
+    near = [sum(said[max(0, k - 3) : k + 4]) / len(said[max(0, k - 3) : k + 4]) for k in range(len(at))]
     for k, i in enumerate(at):
         x = lines[i].strip()
         low = _COUNTER.sub("", x).lower()
@@ -114,22 +171,41 @@ def block_features(text: str) -> tuple[list[int], np.ndarray]:
             words[k], links[k], bool(NOTICE.search(x)), bool(PROMPT.match(x)), bool(RIGHTS.search(x)), crumb, bullet, sentence, section, head, run,
             bool(_ENTRY_COUNT.search(x)), len(_SEPARATOR.split(x)), words[k - 1] if k else 0, links[k - 1] if k else 0,
             words[k + 1] if k + 1 < len(at) else 0, links[k + 1] if k + 1 < len(at) else 0, k == 0,
+            _grade(said[k]), _grade(said[k - 1]) if k else 2, _grade(said[k + 1]) if k + 1 < len(at) else 2, _grade(near[k]),
         ])
-    return at, np.array(rows, dtype=float).reshape(len(rows), len(FEATURES))
+    # how much of the page is cues of sites whose links are listed
+    x = np.zeros((len(rows), len(FEATURES)))
+    if rows:
+        x[:, :-1] = rows
+        cue = (x[:, LINK] > 0.5) | x[:, CUES].any(axis=1)
+        x[:, -1] = cue.mean()
+    return at, x
+
+
+def _labelled_pages() -> list[tuple[str, list[str], list[int]]]:
+    """(text, non-blank lines, labels) of each labelled page; 1 is boilerplate."""
+    out = []
+    for page in PAGES:
+        marked = page.strip("\n").split("\n")
+        own = [m for m in marked if not m.startswith("=")]
+        out.append(("\n".join("" if m.startswith("=") else m[2:] for m in marked), [m[2:] for m in own], [int(m[0] == "-") for m in own]))
+    return out
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1 boilerplate) of the labelled pages."""
-    xs, ys = [], []
-    for page in PAGES:
-        marked = [m for m in page.strip("\n").split("\n")]
-        text = "\n".join("" if m.startswith("=") else m[2:] for m in marked)
-        ys += [int(m[0] == "-") for m in marked if not m.startswith("=")]
-        xs.append(block_features(text)[1])
-    x, y = np.vstack(xs), np.array(ys)
-    if len(y) > MAX_LABELLED:
+@lru_cache(maxsize=1)
+def labelled_table() -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """Features, labels and the weights of the odds; a page's odds come from the other pages."""
+    pages = _labelled_pages()
+    if sum(len(y) for _, _, y in pages) > MAX_LABELLED:
         raise ValueError("the labelled table is meant to be small")
-    return x, y
+    xs: list = [None] * len(pages)
+    for fold in range(FOLDS):
+        rest = [p for j, p in enumerate(pages) if j % FOLDS != fold]
+        weights = fit_odds([x for _, xs_, _ in rest for x in xs_], np.array([v for _, _, y in rest for v in y], dtype=float))
+        for i in range(fold, len(pages), FOLDS):
+            xs[i] = block_features(pages[i][0], weights)[1]
+    lines, y = [x for _, xs_, _ in pages for x in xs_], np.array([v for _, _, ys in pages for v in ys])
+    return np.vstack(xs), y, fit_odds(lines, y.astype(float))
 
 
 def _gini(y: np.ndarray) -> float:
@@ -178,15 +254,28 @@ def classify(tree: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit() -> dict:
-    return grow_tree(*labelled_table())
-
-
-def boilerplate_lines(tree: dict, text: str | None) -> list[int]:
+    """The tree and the weights of the odds.
+
+    The root of the tree asks whether the page's site is known; below it pages of known
+    sites are told by the listed cues, all others by the learned odds too.
+    """
+    x, y, weights = labelled_table()
+    cues = x.copy()
+    cues[:, ODDS] = 0.0
+    known = x[:, KNOWN] > KNOWN_SHARE
+    general = x.copy()
+    general[:, SPECIAL] = 0.0
+    low = grow_tree(general, y, MAX_DEPTH - GENERAL_DEPTH, least=5)
+    tree = {"feature": KNOWN, "cut": KNOWN_SHARE, "low": low, "high": grow_tree(cues[known], y[known], least=3)}
+    return {"tree": tree, "odds": weights}
+
+
+def boilerplate_lines(model: dict, text: str | None) -> list[int]:
     """Numbers of the lines of a page that aren't main body."""
     if not text or not text.strip() or is_scanned(text):
         return []
-    at, x = block_features(text)
-    return [i for i, b in zip(at, classify(tree, x)) if b]
+    at, x = block_features(text, model["odds"])
+    return [i for i, b in zip(at, classify(model["tree"], x)) if b]
 
 
 def find_boilerplate(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ MAX_LABELLED = 6_000
 ROUNDS = 5
 DECAY, STEPS = 1e-3, 300
 #: A run counts as a name from this probability on.
-SURE = 0.5
+SURE = 0.55
 
 _CAP = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}]+)?"
 _LINK = r"(?:\s+(?:de|del|de la|da|dos|van|von|bin|al))?"

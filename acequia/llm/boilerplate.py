@@ -21,7 +21,7 @@ lines are never reported; a page may have no boilerplate or nothing else.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -117,9 +117,8 @@ def fit_odds(lines: list[str], y: np.ndarray) -> dict[str, float]:
     return {"": float(w[0])} | {f: float(w[i]) for f, i in at.items()}
 
 
-def _grade(value: float) -> int:
-    """Odds against, likely against, undecided, likely for, for."""
-    return sum(value > cut for cut in (-1.5, -0.5, 0.5, 1.5))
+#: Odds are told in grades: against, likely against, undecided, likely for, for.
+GRADES = np.array([-1.5, -0.5, 0.5, 1.5])
 
 
 def odds(weights: dict[str, float], line: str) -> float:
@@ -139,44 +138,57 @@ def link_density(line: str) -> float:
     return linked / total if total else 0.0
 
 
-def block_features(text: str, weights: dict[str, float]) -> tuple[list[int], np.ndarray]:
-    """(line numbers of the non-blank lines, one row of FEATURES for each)."""
+@lru_cache(maxsize=300_000)
+def _line(line: str) -> tuple:
+    """What a line says by itself: words, link density, and its cues (see FEATURES)."""
+    x = line.strip()
+    low = _COUNTER.sub("", x).lower()
+    words = len(line.split())
+    crumb = bool(_CRUMB.match(x)) and _SEPARATOR.split(x)[0].strip().lower() in _LINKS
+    sentence = bool(re.search(r"[.!?]$", x)) and words >= 5
+    cues = (bool(NOTICE.search(x)), bool(PROMPT.match(x)), bool(RIGHTS.search(x)), crumb, bool(_BULLET.match(line)), sentence, low in SECTIONS, low in SIDEBARS)
+    return words, link_density(line), cues, bool(_ENTRY_COUNT.search(x)), len(_SEPARATOR.split(x)), low
+
+
+def block_features(text: str, weights: dict[str, float], score: Callable[[str], float] | None = None) -> tuple[list[int], np.ndarray]:
+    """(line numbers of the non-blank lines, one row of FEATURES for each).
+
+    ``score`` gives the odds of a line, if they are kept from line to line.
+    """
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
-    rows, run = [], -1
-    words = [len(lines[i].split()) for i in at]
-    links = [link_density(lines[i]) for i in at]
-    said = [odds(weights, lines[i].strip()) for i in at]
-    # the mean odds of the lines beside a line, within three of it
-    near = [sum(said[max(0, k - 3) : k + 4]) / len(said[max(0, k - 3) : k + 4]) for k in range(len(at))]
+    own = [_line(lines[i]) for i in at]
+    said = [score(lines[i].strip()) if score else odds(weights, lines[i].strip()) for i in at]
+    rows, run, last = [], -1, len(at) - 1
     for k, i in enumerate(at):
-        x = lines[i].strip()
-        low = _COUNTER.sub("", x).lower()
-        head = low in SIDEBARS
-        bullet = bool(_BULLET.match(lines[i]))
-        sentence = bool(re.search(r"[.!?]$", x)) and words[k] >= 5
-        section = low in SECTIONS
+        words, link, cues, counted, segments, low = own[k]
+        notice, prompt, rights, crumb, bullet, sentence, section, head = cues
         if head:
             run = 0
         elif run >= 0:
             gap = k > 0 and i - at[k - 1] > 1
             closed = k > 0 and low != "" and lines[at[k - 1]].strip().lower() in ("ver más", "show more", "ver mais")
-            linked = links[k] > 0.5 or bool(PROMPT.match(x)) or bool(NOTICE.search(x))
-            if gap or closed or section or bullet or (linked and low not in BUTTONS) or (sentence and words[k] > 6) or words[k] > 9:
+            linked = link > 0.5 or prompt or notice
+            if gap or closed or section or bullet or (linked and low not in BUTTONS) or (sentence and words > 6) or words > 9:
                 run = -1
             else:
                 run += 1
-        crumb = bool(_CRUMB.match(x)) and _SEPARATOR.split(x)[0].strip().lower() in _LINKS
+        before, after = own[k - 1] if k else None, own[k + 1] if k < last else None
         rows.append([
-            words[k], links[k], bool(NOTICE.search(x)), bool(PROMPT.match(x)), bool(RIGHTS.search(x)), crumb, bullet, sentence, section, head, run,
-            bool(_ENTRY_COUNT.search(x)), len(_SEPARATOR.split(x)), words[k - 1] if k else 0, links[k - 1] if k else 0,
-            words[k + 1] if k + 1 < len(at) else 0, links[k + 1] if k + 1 < len(at) else 0, k == 0,
-            _grade(said[k]), _grade(said[k - 1]) if k else 2, _grade(said[k + 1]) if k + 1 < len(at) else 2, _grade(near[k]),
+            words, link, *cues, run, counted, segments, before[0] if before else 0, before[1] if before else 0,
+            after[0] if after else 0, after[1] if after else 0, k == 0,
         ])
     # how much of the page is cues of sites whose links are listed
     x = np.zeros((len(rows), len(FEATURES)))
     if rows:
-        x[:, :-1] = rows
+        x[:, : ODDS[0]] = rows
+        by_words = np.zeros((len(rows), 4))
+        by_words[:, 0], by_words[1:, 1], by_words[:-1, 2] = said, said[:-1], said[1:]
+        # the mean odds of the lines beside a line, within three of it
+        sums, k = np.concatenate([[0.0], np.cumsum(said)]), np.arange(len(rows))
+        low, high = np.maximum(k - 3, 0), np.minimum(k + 4, len(rows))
+        by_words[:, 3] = (sums[high] - sums[low]) / (high - low)
+        x[:, ODDS] = np.searchsorted(GRADES, by_words)
         cue = (x[:, LINK] > 0.5) | x[:, CUES].any(axis=1)
         x[:, -1] = cue.mean()
     return at, x
@@ -270,11 +282,16 @@ def fit() -> dict:
     return {"tree": tree, "odds": weights}
 
 
-def boilerplate_lines(model: dict, text: str | None) -> list[int]:
+def line_scorer(model: dict) -> Callable[[str], float]:
+    """The odds of a line, kept for the lines that come back."""
+    return lru_cache(maxsize=300_000)(lambda line: odds(model["odds"], line))
+
+
+def boilerplate_lines(model: dict, text: str | None, score: Callable[[str], float] | None = None) -> list[int]:
     """Numbers of the lines of a page that aren't main body."""
     if not text or not text.strip() or is_scanned(text):
         return []
-    at, x = block_features(text, model["odds"])
+    at, x = block_features(text, model["odds"], score)
     return [i for i, b in zip(at, classify(model["tree"], x)) if b]
 
 
@@ -283,8 +300,9 @@ def find_boilerplate(rows: DataFrame) -> DataFrame:
     tree = fit()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = line_scorer(tree)
         for pdf in batches:
-            out = [(t, s, i) for t, s, x in zip(pdf.table_name, pdf.ingest_seq, pdf.text) for i in boilerplate_lines(tree, x)]
+            out = [(t, s, i) for t, s, x in zip(pdf.table_name, pdf.ingest_seq, pdf.text) for i in boilerplate_lines(tree, x, score)]
             yield pd.DataFrame(out, columns=["table_name", "ingest_seq", "line_no"])
 
     slim = rows.select("table_name", "ingest_seq", "text").where("text is not null")

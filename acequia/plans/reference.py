@@ -15,8 +15,9 @@ from acequia.operators import dedup as D
 from acequia.operators import enrich as E
 from acequia.operators import listing as L
 from acequia.plans.pipeline import collected_records, consolidate
-from acequia.session import table
+from acequia.session import scratch_path, table
 from acequia.sources import html as H
+from acequia.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -569,7 +570,27 @@ def card_parse(spark, d):
     return H.card_records(pages, "ingest_seq", "html").select("ingest_seq", "pos", "title", "job_url")
 
 
-@query()
+_REPLAY_SQL = """
+with recursive ev as materialized (
+  select user_id, event_id, epoch_us(ts) / 1e6 as ts, case event_type when 'error' then 'error' when 'signup' then 'pause' else 'acquire' end as kind,
+         row_number() over (partition by user_id order by ts, event_id) as rn from events),
+r(user_id, rn, event_id, wait, burst_left, hourly_left, since, calls, errors, pauses) as (
+  select user_id, cast(0 as bigint), cast(null as bigint), 0::double, 8::double, 100::double, ts::double, 0::bigint, 0::bigint, 0::bigint from ev where rn = 1
+  union all
+  select user_id, rn, event_id, w,
+         case kind when 'pause' then burst_left when 'error' then greatest(0, burst_left - 4) else (case when free then b1 - 1 else least(8, b1 + greatest(0, now2 - at1) * (8 / 60.0::double)) end) - 1 end,
+         case kind when 'pause' then hourly_left when 'error' then greatest(0, hourly_left - 4) else (case when free then h1 - 1 else least(100, h1 + greatest(0, now2 - at1) * (100 / 3600.0::double)) end) - 1 end,
+         case when kind <> 'acquire' then since when free then at1 else greatest(at1, now2) end,
+         calls + (kind = 'acquire')::bigint, errors + (kind = 'error')::bigint, pauses + (kind = 'pause' or (kind = 'acquire' and not free))::bigint
+  from (select *, case when kind = 'acquire' and not free then greatest((1 - b1) / (8 / 60.0::double), (1 - h1) / (100 / 3600.0::double), 0) else 0 end as w, ts + w as now2
+        from (select *, b1 >= 1 and h1 >= 1 as free
+              from (select e.user_id, e.rn, e.event_id, e.ts, e.kind, r.burst_left, r.hourly_left, r.since, r.calls, r.errors, r.pauses, greatest(r.since, e.ts) as at1,
+                           least(8, r.burst_left + greatest(0, e.ts - r.since) * (8 / 60.0::double)) as b1, least(100, r.hourly_left + greatest(0, e.ts - r.since) * (100 / 3600.0::double)) as h1
+                    from r join ev e on e.user_id = r.user_id and e.rn = r.rn + 1))))
+select user_id, event_id, wait, burst_left, hourly_left, calls, errors, pauses from r where rn > 0"""
+
+
+@query(_REPLAY_SQL)
 def budget_replay(spark, d):
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "pause").otherwise("acquire")
     log = table(spark, d, "events").select(
@@ -578,6 +599,141 @@ def budget_replay(spark, d):
     return B.replay(log, "user_id", "event_id")
 
 
+# --------------------------------------------------------- records, responses and readers
+
+
+@query("select ingest_seq, case when contains(search_keyword, ',') then list_transform(string_split(search_keyword, ','), lambda x: trim(x)) else [search_keyword] end as words from (select ingest_seq, replace(search_keyword, ' ', ' , ') as search_keyword from jobs where search_keyword is not null)")
+def keyword_split(spark, d):
+    j = table(spark, d, "jobs").where("search_keyword is not null").select("ingest_seq", F.replace("search_keyword", F.lit(" "), F.lit(" , ")).alias("k"))
+    return j.select("ingest_seq", S.keyword_list(F.col("k")).alias("words"))
+
+
+@query(
+    """select ingest_seq, coalesce(title, '') as title, coalesce(company, '') as company, coalesce(location, '') as location, coalesce(description, '') as description,
+       case when external_id <> '' then 'https://www.vinculared.example/jobs/view/' || external_id || '/' else '' end as url, external_id from job_details"""
+)
+def detail_project(spark, d):
+    """P21 on sections made of job_details; the description comes under its other name."""
+    sections = F.map_filter(
+        F.create_map(F.lit("title"), F.col("title"), F.lit("company"), F.col("company"), F.lit("location"), F.col("location"), F.lit("details"), F.col("description")), lambda _, v: v.isNotNull()
+    )
+    out = table(spark, d, "job_details").select("ingest_seq", S.detail_record(sections, "job", F.col("external_id")).alias("r"))
+    return out.select("ingest_seq", "r.*")
+
+
+@query("""select ingest_seq, name, coalesce(nullif(url, ''), nullif(cast(null as varchar), ''), '') as url, coalesce(external_id, regexp_extract(coalesce(url, ''), '/in/([^/?#]+)', 1)) as external_id from person_profiles""")
+def person_urls(spark, d):
+    p = table(spark, d, "person_profiles").select("ingest_seq", "name", "url", F.lit(None).cast("string").alias("profile_url"), "external_id")
+    return S.with_person_url(p).select("ingest_seq", "name", "url", "external_id")
+
+
+@query("""select doc_id, coalesce(text, '') as text from documents""")
+def envelope_unwrap(spark, d):
+    """P25 on envelopes of both kinds and on plain texts."""
+    t = F.coalesce("text", F.lit(""))
+    content = F.array(F.struct(F.lit("text").alias("type"), t.alias("text")))
+    kind = F.col("doc_id") % 3
+    body = F.when(kind == 0, S.as_json(F.struct(content.alias("content")))).when(kind == 1, S.as_json(F.struct(F.struct(content.alias("content")).alias("result")))).otherwise(t)
+    return table(spark, d, "documents").select("doc_id", S.unwrap(body).alias("text"))
+
+
+@query("select ingest_seq, to_json(struct_pack(title := title, location := location, id := jobId)) as body from jobs")
+def json_body(spark, d):
+    return table(spark, d, "jobs").select("ingest_seq", S.as_json(F.struct("title", "location", F.col("jobId").alias("id"))).alias("body"))
+
+
+@query("select ingest_seq, cast((url is not null and url <> '' and contains(url, '/in/')) as int) as n from person_profiles")
+def reference_filter(spark, d):
+    ref = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("url").alias("url"))
+    refs = F.array(ref("person"), ref("job"))
+    return table(spark, d, "person_profiles").select("ingest_seq", F.coalesce(F.size(P.references_of(refs, "person", "/in/")), F.lit(0)).alias("n"))
+
+
+@query("select ingest_seq, url from job_details where ingest_seq % 5 <> 0")
+def delivered_pages(spark, d):
+    """Pages with their status; every fifth failed."""
+    status = F.when(F.col("ingest_seq") % 5 == 0, 503).otherwise(200)
+    return table(spark, d, "job_details").where(P.fetched(status)).select("ingest_seq", "url")
+
+
+@query(
+    """select event_id, case when contains(m, 'login is still in progress') then 'login_in_progress' when contains(m, 'setup is not complete') then 'setup_incomplete' else 'ready' end as state,
+       case when regexp_matches(m, 'challenge|captcha|checkpoint|verif') then 45 when regexp_matches(m, 'timeout|timed out|tempor|connection|rate|429|503') then 15 else 0 end as seconds,
+       case when user_id % 4 < 3 then (user_id % 4) * 2.0::double end as backoff
+       from (select *, lower(case event_id % 5 when 0 then 'Login is still in progress' when 1 then 'Setup is NOT complete' when 2 then 'Timed out' when 3 then 'Captcha asked' else event_type end) as m from events)"""
+)
+def response_classes(spark, d):
+    """Why a server gave no data, how long to wait, the backoff of an attempt."""
+    k = F.col("event_id") % 5
+    m = F.when(k == 0, "Login is still in progress").when(k == 1, "Setup is NOT complete").when(k == 2, "Timed out").when(k == 3, "Captcha asked").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select(
+        "event_id", P.response_state(m).alias("state"), B.retry_class(m).alias("seconds"), B.backoff_seconds(F.col("user_id") % 4).alias("backoff")
+    )
+
+
+def _landed(rows: DataFrame, fields: list[str], label: str, wrap=lambda a: a) -> str:
+    """Files of one JSON array each, one for every origin_file; gives the pattern of their paths."""
+    path = scratch_path(rows.sparkSession, label)
+    arrays = rows.groupBy("origin_file").agg(F.to_json(wrap(F.collect_list(F.struct(*fields)))).alias("value"))
+    arrays.repartition("origin_file").write.partitionBy("origin_file").text(path)
+    return f"{path}/*/*.txt"
+
+
+_READ = "coalesce({0}, '') as {0}"
+
+
+@query(
+    f"""select {LIGHT_SQL.format("coalesce(job_url, '')")} as url, substring(md5(coalesce(nullif(external_id, ''), {LIGHT_SQL.format("coalesce(job_url, '')")})), 1, 12) as id,
+        coalesce(nullif(source, ''), 'guest_api') as source, {_READ.format('title')}, {_READ.format('company')}, {_READ.format('external_id')}, {_READ.format('posted_date')} from jobs where origin_file is not null"""
+)
+def read_guest_files(spark, d):
+    """Search-page records written to a file for each origin and read again."""
+    fields = ["external_id", "title", "company", "location", "job_url", "posted_date", "search_keyword", "scraped_at", "source", "text_ocr", "is_valid"]
+    pattern = _landed(table(spark, d, "jobs").where("origin_file is not null"), fields, "s14")
+    return readers.read_guest(spark, pattern).select("url", "id", "source", "title", "company", "external_id", "posted_date")
+
+
+@query(
+    f"""select u as url, substring(md5(coalesce(nullif(k, ''), u)), 1, 12) as id, {_READ.format('title')}, coalesce(companyName, '') as company, k as external_id from (
+        select *, split_part(rtrim(coalesce(nullif(applyUrl, ''), 'https://www.vinculared.example/jobs/view/' || k), '/'), '?', 1) as u from (select *, coalesce(cast(jobId as varchar), 'None') as k from jobs where origin_file is not null))"""
+)
+def read_tool_files(spark, d):
+    """Tool records; a missing id reads None."""
+    rows = table(spark, d, "jobs").where("origin_file is not null").withColumn("jobId", F.col("jobId").cast("string"))
+    pattern = _landed(rows, ["jobId", "title", "companyName", "location", "postedDate", "applyUrl", "search_keyword", "scraped_at"], "s15")
+    return readers.read_tool(spark, pattern).select("url", "id", "title", "company", "external_id")
+
+
+@query(
+    f"""select u as url, substring(md5(coalesce(nullif(name, ''), u)), 1, 12) as id, coalesce(name, '') as title, coalesce(industry, '') as _sector
+        from (select *, {LIGHT_SQL.format("coalesce(url, '')")} as u from company_profiles)"""
+)
+def read_contact_files(spark, d):
+    """Company contacts."""
+    rows = table(spark, d, "company_profiles").select(
+        (F.col("ingest_seq") % 7).cast("string").alias("origin_file"), F.col("name").alias("nombre"), F.col("url").alias("sitio_web"), F.col("industry").alias("sector"), F.col("source").alias("fuente")
+    )
+    return readers.read_contacts(spark, _landed(rows, ["nombre", "sitio_web", "sector", "fuente"], "s16")).select("url", "id", "title", "_sector")
+
+
+@query(
+    f"""select {LIGHT_SQL.format("coalesce(job_url, '')")} as url, coalesce(source, '') as source, {_READ.format('title')}, {_READ.format('company')} from jobs where origin_file is not null"""
+)
+def read_envelope_files(spark, d):
+    """Records inside {{metadata, results}} files."""
+    wrap = lambda a: F.struct(F.struct(F.lit("x").alias("run")).alias("metadata"), F.struct(a.alias("jobs")).alias("results"))
+    pattern = _landed(table(spark, d, "jobs").where("origin_file is not null"), ["title", "company", "job_url", "source"], "s17", wrap)
+    return readers.read_envelope(spark, pattern).select("url", "source", "title", "company")
+
+
+@query("select max(origin_file) as name from jobs where origin_file is not null")
+def latest_landed_file(spark, d):
+    """The last file by name."""
+    pattern = _landed(table(spark, d, "jobs").where("origin_file is not null"), ["title"], "s18")
+    last = readers.latest_file(spark, pattern.rsplit("/", 1)[0])
+    return spark.range(1).select(F.lit((last or "").rsplit("origin_file=", 1)[-1]).alias("name"))
+
+
 _T = "coalesce(nullif({0}, ''), '')"
 _FLAG_SQL = f"""
 with r as (

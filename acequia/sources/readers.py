@@ -45,7 +45,7 @@ def read_guest(spark: SparkSession, path: str) -> DataFrame:
     df = _items(_whole(spark, path), GUEST)
     url = url_light(truthy(F.col("job_url")))
     return _consolidated(
-        df, id=stable_id(url, truthy(F.col("external_id"))), type=F.lit("job"), source=truthy(F.col("source"), F.lit("guest_api")),
+        df, id=stable_id(truthy(F.col("job_url")), truthy(F.col("external_id"))), type=F.lit("job"), source=truthy(F.col("source"), F.lit("guest_api")),
         search_keyword=F.col("search_keyword"), title=F.col("title"), company=F.col("company"), location=F.col("location"), url=url,
         external_id=F.col("external_id"), posted_date=F.col("posted_date"), scraped_at=F.col("scraped_at"), text_ocr=F.col("text_ocr"), is_valid=valid_text(df),
     )
@@ -69,7 +69,7 @@ def read_contacts(spark: SparkSession, path: str) -> DataFrame:
     df = _items(_whole(spark, path), CONTACTS)
     url = url_light(truthy(F.col("sitio_web")))
     return _consolidated(
-        df, id=stable_id(url, truthy(F.col("nombre"))), type=F.lit("company"), source=truthy(F.col("fuente")), title=F.col("nombre"), company=F.col("nombre"),
+        df, id=stable_id(truthy(F.col("sitio_web")), truthy(F.col("nombre"))), type=F.lit("company"), source=truthy(F.col("fuente")), title=F.col("nombre"), company=F.col("nombre"),
         url=url, scraped_at=F.col("fecha"), _emails=F.col("emails"), _telefonos=F.col("telefonos"), _sector=F.col("sector"),
     )
 
@@ -79,7 +79,7 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     df = _items(_whole(spark, path), GUEST, F.from_json("value", ENVELOPE)["results"]["jobs"])
     url = url_light(truthy(F.col("job_url")))
     return _consolidated(
-        df, id=stable_id(url, truthy(F.col("external_id"))), type=F.lit("job"), source=F.col("source"), search_keyword=F.col("search_keyword"), title=F.col("title"),
+        df, id=stable_id(truthy(F.col("job_url")), truthy(F.col("external_id"))), type=F.lit("job"), source=F.col("source"), search_keyword=F.col("search_keyword"), title=F.col("title"),
         company=F.col("company"), location=F.col("location"), url=url, external_id=F.col("external_id"), posted_date=F.col("posted_date"),
         scraped_at=F.col("scraped_at"), text_ocr=F.col("text_ocr"), is_valid=valid_text(df),
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,14 +67,18 @@ def state_path(spark: SparkSession, label: str, *tables: DataFrame) -> str:
     It is named after their files (path, size, time of change): the same tables find their
     state again, changed ones begin anew.
     """
-    import hashlib
-
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders: dict[str, set[str]] = {}
+    for name in {f for t in tables for f in t.inputFiles()}:  # addresses, so percent signs are resolved
+        folder, _, own = name.rpartition("/")
+        folders.setdefault(folder, set()).add(unquote(own))
     said = []
-    for name in sorted({f for t in tables for f in t.inputFiles()}):
-        p = jvm.org.apache.hadoop.fs.Path(name)
-        status = p.getFileSystem(conf).getFileStatus(p)
-        said.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    for folder, own in sorted(folders.items()):  # one listing a folder, not one call a file
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for status in p.getFileSystem(conf).listStatus(p):
+            if status.getPath().getName() in own:
+                said.append(f"{folder}/{status.getPath().getName()}|{status.getLen()}|{status.getModificationTime()}")
+    said.sort()
     mark = hashlib.sha256("\n".join(said).encode()).hexdigest()[:24]
     return f"{shared_dir(spark).rstrip('/')}/acequia/{label}-{mark}"
 

@@ -156,3 +156,13 @@ def test_dictionary_parses_nothing_twice_and_ignores_half_written_batches(spark,
     spark.createDataFrame([("2024-03-10", "UTC", True, None, None, None, None)], DICTIONARY_SCHEMA).write.parquet(f"{tmp_path}/d/left-over")
     assert d.read() is None and d.absorb(keys).count() == 2
     assert d.absorb(keys.union(keys.select(F.lit("x"), "zone", "day_first"))).where("day is not null").count() == 2 and d.read().count() == 3
+
+
+def test_state_is_found_again_by_the_same_files_only(spark, tmp_path):
+    from acequia.session import state_path
+
+    spark.range(3).write.parquet(f"{tmp_path}/a b")
+    first = state_path(spark, "x", spark.read.parquet(f"{tmp_path}/a b"))
+    assert first == state_path(spark, "x", spark.read.parquet(f"{tmp_path}/a b"))
+    spark.range(1).write.mode("append").parquet(f"{tmp_path}/a b")
+    assert first != state_path(spark, "x", spark.read.parquet(f"{tmp_path}/a b"))

@@ -16,7 +16,7 @@ from acequia.llm.incremental_dedup import PostingHistory
 from acequia.llm.pii import mask, replacements, surrogates
 from acequia.llm.residue import find_residue, without_residue
 from acequia.llm.scan_repair import find_damage, repair
-from acequia.session import state_path, table
+from acequia.session import broadcast_if_small, state_path, table
 
 
 #: The landed files are accepted in so many batches, in order of file_no.
@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "origin_files").groupBy("origin_file").agg(F.min("file_no").alias("file_no"))
     history = PostingHistory(spark, state_path(spark, "postings", jobs))
     last = files.agg(F.max("file_no")).first()[0] or 0
-    placed = jobs.join(F.broadcast(files), "origin_file", "left").withColumn("file_no", F.coalesce("file_no", F.lit(last)))  # a row per landed file
+    placed = jobs.join(broadcast_if_small(files), "origin_file", "left").withColumn("file_no", F.coalesce("file_no", F.lit(last)))
     for i in range(BATCHES):
         low, high = i * last // BATCHES, (i + 1) * last // BATCHES
         history.add(placed.where((F.col("file_no") > low if i else F.lit(True)) & (F.col("file_no") <= high)), name=f"{low:08d}-{high:08d}")

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acequia.config import EngineConfig
+from acequia.config import EngineConfig, Site
 from acequia.functions.predicates import validate
 from acequia.functions.scalars import stable_id, truthy, url_light
 from acequia.operators.aggregate import cap, frequency, union_all
-from acequia.operators.dedup import dedup_all, dedup_jobs, dedup_stats, dedup_urls, most_enriched
+from acequia.operators.dedup import dedup_all, dedup_jobs, dedup_stats, dedup_urls, first_seen, most_enriched
 from acequia.operators.enrich import text_enrich
 from acequia.operators.listing import response_records
 from acequia.schema import CONSOLIDATED_FIELDS
+from acequia.session import broadcast_if_small
 from acequia.sources import readers, sinks
 
 
@@ -113,4 +114,38 @@ def legacy_run(items: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["CONSOLIDATED_FIELDS", "RunOptions", "analyse", "collected_records", "consolidate", "consolidate_files", "full_run", "job_search", "legacy_run"]
+#: Rows of each kind whose pages are looked at, and companies whose posts are (fixed values of the standard run).
+PAGE_CAPS = {"company": 10, "job": 30, "person": 20, "posts": 5}
+
+
+def routed_pages(companies: DataFrame, jobs: DataFrame, people: DataFrame, pages: DataFrame, caps: dict[str, int] | None = None, site: Site = Site(), order: str = "ingest_seq") -> DataFrame:
+    """(bucket, type, name, external_id, url, text_ocr): delivered pages as records of four buckets.
+
+    The first rows of each kind name the pages: a company's about page and, for the first
+    few, its posts; a posting's and a person's own address. Caps come before repeats go.
+    Only pages delivered with status 200 give a record; of pages with one address the first
+    by text counts. Companies without slug, postings without address and people without
+    user name name no page.
+    """
+    n = PAGE_CAPS | (caps or {})
+    tail = lambda u: F.element_at(F.split(F.regexp_replace(u, "/+$", ""), "/"), -1)
+    said = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(""))
+
+    c = cap(companies, n["company"], order).withColumn("_key", F.when(said(F.col("url")) != "", tail(F.col("url"))).otherwise(said(F.col("external_id"))))
+    c = first_seen(c.where("_key <> ''"), F.col("_key"), order)
+    page = lambda kind: F.concat(F.lit(f"{site.host}/company/"), F.col("_key"), F.lit(f"/{kind}"))
+    row = lambda bucket, kind, name, url: [F.lit(bucket).alias("bucket"), F.lit(kind).alias("type"), name.alias("name"), F.col("_key").alias("external_id"), url.alias("url")]
+    about = c.select(*row("company_profiles", "company_profile", F.coalesce("name", "_key"), page("about")))
+    posts = cap(c, n["posts"], order).select(*row("posts_companies", "post_company", F.col("_key"), page("posts")))
+    j = cap(jobs, n["job"], order).withColumn("_u", truthy(F.col("url"), F.col("job_url"), F.col("applyUrl"))).where("_u <> ''")
+    j = first_seen(j.withColumn("_key", F.coalesce(F.nullif("external_id", F.lit("")), tail(F.col("_u")))), F.col("_key"), order)
+    details = j.select(*row("job_details", "job_detail", said(F.col("title")), F.col("_u")))
+    p = cap(people, n["person"], order).where("url like '%/in/%'")
+    p = p.withColumn("_key", F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/in/"), -1)).where("_key <> ''")
+    profiles = first_seen(p, F.col("_key"), order).select(*row("person_profiles", "person_profile", said(F.col("name")), F.col("url")))
+    wanted = about.unionByName(posts).unionByName(details).unionByName(profiles)
+    delivered = pages.where("status = 200").groupBy("url").agg(F.min(F.coalesce("text", F.lit(""))).alias("text_ocr"))
+    return delivered.join(broadcast_if_small(wanted), "url").select("bucket", "type", "name", "external_id", "url", "text_ocr")
+
+
+__all__ = ["routed_pages", "CONSOLIDATED_FIELDS", "RunOptions", "analyse", "collected_records", "consolidate", "consolidate_files", "full_run", "job_search", "legacy_run"]

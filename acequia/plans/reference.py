@@ -14,7 +14,7 @@ from acequia.operators import budget as B
 from acequia.operators import dedup as D
 from acequia.operators import enrich as E
 from acequia.operators import listing as L
-from acequia.plans.pipeline import collected_records, consolidate
+from acequia.plans.pipeline import collected_records, consolidate, routed_pages
 from acequia.session import scratch_path, table
 from acequia.sources import html as H
 from acequia.sources import readers
@@ -734,6 +734,35 @@ def latest_landed_file(spark, d):
     return spark.range(1).select(F.lit((last or "").rsplit("origin_file=", 1)[-1]).alias("name"))
 
 
+@query(
+    r"""with c as (select *, case when coalesce(url, '') <> '' then string_split(regexp_replace(url, '/+$', ''), '/')[-1] else coalesce(external_id, '') end as k from company_profiles order by ingest_seq limit 300),
+       fc as (select * from c where k <> '' qualify row_number() over (partition by k order by ingest_seq) = 1),
+       j as (select *, coalesce(nullif(url, ''), nullif(job_url, ''), nullif(applyUrl, '')) as u from jobs order by ingest_seq limit 500),
+       fj as (select *, coalesce(nullif(external_id, ''), string_split(regexp_replace(u, '/+$', ''), '/')[-1]) as k from j where u is not null qualify row_number() over (partition by k order by ingest_seq) = 1),
+       p as (select *, string_split(regexp_replace(url, '/+$', ''), '/in/')[-1] as k from (select * from person_profiles order by ingest_seq limit 200) where contains(url, '/in/')),
+       fp as (select * from p where k <> '' qualify row_number() over (partition by k order by ingest_seq) = 1),
+       w as (select 'company_profiles' as bucket, coalesce(name, k) as name, k as external_id, 'https://www.vinculared.example/company/' || k || '/about' as url from fc
+             union all (select 'posts_companies', k, k, 'https://www.vinculared.example/company/' || k || '/posts' from fc order by ingest_seq limit 5)
+             union all select 'job_details', coalesce(title, ''), k, u from fj union all select 'person_profiles', coalesce(name, ''), k, url from fp),
+       pages as (select distinct url from w where length(url) % 7 <> 0)
+       select bucket, name, external_id, w.url, 'page of ' || w.url as text_ocr from w join pages on pages.url = w.url"""
+)
+def page_routing(spark, d):
+    """Pages delivered for companies, postings and people, every address whose length is a multiple of 7 failed."""
+    c, j, p = table(spark, d, "company_profiles"), table(spark, d, "jobs"), table(spark, d, "person_profiles")
+    slug = F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1)
+    k = F.when(F.coalesce("url", F.lit("")) != "", slug).otherwise(F.col("external_id"))
+    made = [F.concat(F.lit("https://www.vinculared.example/company/"), k, F.lit(x)) for x in ("/about", "/posts")]
+    urls = [c.select(made[0].alias("url")), c.select(made[1].alias("url")), *[j.select(F.col(x).alias("url")) for x in ("url", "job_url", "applyUrl")], p.select("url")]
+    every = urls[0]
+    for u in urls[1:]:
+        every = every.unionByName(u)
+    status = F.when(F.length("url") % 7 == 0, 503).otherwise(200)
+    pages = every.where("url <> ''").distinct().select("url", status.alias("status"), F.concat(F.lit("page of "), "url").alias("text"))
+    out = routed_pages(c, j, p, pages, {"company": 300, "job": 500, "person": 200})
+    return out.select("bucket", "name", "external_id", "url", "text_ocr")
+
+
 _T = "coalesce(nullif({0}, ''), '')"
 _FLAG_SQL = f"""
 with r as (

@@ -467,3 +467,18 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     sc = SimpleNamespace(getConf=lambda: bare, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=sc, conf=bare))
+
+
+def test_delivered_pages_go_to_their_buckets(spark):
+    c = spark.createDataFrame([(1, "A", "https://x/company/a/", None), (2, "A2", "https://x/company/a", None), (3, None, None, "b"), (4, "C", "", ""), (5, "D", None, None)], "ingest_seq bigint, name string, url string, external_id string")
+    j = spark.createDataFrame([(1, "J", None, "https://x/jobs/view/7/", None, None), (2, None, "u2", None, None, "7"), (3, "K", None, None, None, "9"), (4, "L", None, None, "u4", "")], "ingest_seq bigint, title string, url string, job_url string, applyUrl string, external_id string")
+    p = spark.createDataFrame([(1, "P", "https://x/in/ana/"), (2, "Q", "https://x/in/ana"), (3, None, "https://x/in/leo"), (4, "R", "https://x/other"), (5, "S", None)], "ingest_seq bigint, name string, url string")
+    host = "https://www.vinculared.example"
+    urls = [f"{host}/company/{k}/{t}" for k in "ab" for t in ("about", "posts")] + ["https://x/jobs/view/7/", "u4", "https://x/in/ana/", "https://x/in/leo"]
+    pages = spark.createDataFrame([(u, 200, None if u == "u4" else "t") for u in urls] + [("u4", 200, None), (f"{host}/company/d/about", 404, "t")], "url string, status int, text string")
+    got = sorted((r.bucket, r.name, r.external_id, r.url, r.text_ocr) for r in pipeline.routed_pages(c, j, p, pages, {"posts": 1}).collect())
+    assert got == sorted([
+        ("company_profiles", "A", "a", f"{host}/company/a/about", "t"), ("company_profiles", "b", "b", f"{host}/company/b/about", "t"), ("posts_companies", "a", "a", f"{host}/company/a/posts", "t"),
+        ("job_details", "J", "7", "https://x/jobs/view/7/", "t"), ("job_details", "L", "u4", "u4", ""), ("person_profiles", "P", "ana", "https://x/in/ana/", "t"), ("person_profiles", "", "leo", "https://x/in/leo", "t"),
+    ])
+    assert pipeline.routed_pages(c.limit(0), j.limit(0), p.limit(0), pages.limit(0)).collect() == []

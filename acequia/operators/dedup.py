@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import BooleanType
 
 from acequia.functions.predicates import is_junk_title
 from acequia.functions.scalars import name_key, truthy, url_key
@@ -41,14 +41,93 @@ def dedup_urls(df: DataFrame, order: str = "ingest_seq", columns: tuple[str, ...
     return first_seen(df, F.when(said != "", F.concat(F.lit("="), url_key(said))), order)
 
 
-def similar(threshold: float):
-    """Ratio of matching blocks of (later, earlier) names at least ``threshold``; asymmetric."""
-
-    @F.pandas_udf(BooleanType())
-    def judge(later: pd.Series, earlier: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() >= threshold for a, b in zip(later, earlier)], dtype=bool)
-
-    return judge
+#: Names that one task compares with as many others; fewer names are still cut into some blocks.
+NAME_BLOCK, LEAST_BLOCKS, LEAST_NAMES = 1 << 14, 8, 512
+#: Cells of a table of pairs that is looked at in one go.
+CELLS = 1 << 18
+_ALIKE = "late bigint, early bigint"
+
+
+def _marks(name: str) -> tuple[int, int]:
+    """128 bits for the letters of a name, first and second ones apart from further ones."""
+    marks, nth = [0, 0], {}
+    for c in name:
+        k = nth[c] = min(nth.get(c, -1) + 1, 3)
+        marks[k // 2] |= 1 << (ord(c) % 32 + 32 * (k % 2))
+    return marks[0], marks[1]
+
+
+class _Block:
+    """Names in order of length, as arrays."""
+
+    def __init__(self, names: pd.DataFrame, chars: dict[str, int]):
+        names = names.assign(l=names["n"].str.len()).sort_values("l", kind="stable")
+        self.n, self.id, self.seq, self.l = names["n"].to_list(), names["id"].to_numpy(), names["seq"].to_numpy(), names["l"].to_numpy()
+        marks = np.array([_marks(x) for x in self.n], dtype=np.uint64).reshape(-1, 2)
+        self.low, self.high = marks[:, 0].copy(), marks[:, 1].copy()
+        self.code = np.zeros((len(self.n), max(map(len, self.n))), dtype=np.int32)  # 0 is past the end
+        for row, x in zip(self.code, self.n):
+            row[: len(x)] = [chars[c] for c in x]
+        self.runs = {int(k): (int(np.searchsorted(self.l, k)), int(np.searchsorted(self.l, k, "right"))) for k in np.unique(self.l)}
+
+    def places(self, kinds: int) -> np.ndarray:
+        """For each name and character a bit for each place, up to 64 places."""
+        out, rows = np.zeros((len(self.n), kinds), dtype=np.uint64), np.arange(len(self.n))
+        for i in range(min(64, self.code.shape[1])):
+            out[rows, self.code[:, i]] |= np.uint64(1 << i)
+        out[:, 0] = 0
+        return out
+
+
+def _common(places: np.ndarray, a: np.ndarray, x: _Block, y: _Block, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of names a of x (up to 64 long) and b of y."""
+    v, within = np.full(len(a), ~np.uint64(0)), ~np.uint64(0) >> (64 - x.l[a]).astype(np.uint64)
+    for j in range(int(y.l[b].max(initial=0))):
+        u = v & places[a, y.code[b, j]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v & within).astype(int)
+
+
+def alike(names: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(late, early) ids of the names of block p and those of block q that resemble each other.
+
+    ``names`` (p, q, block, id, n, seq). Matching blocks are a common subsequence, so a ratio
+    of t asks for t/2 of both lengths in letters that both have, and in order. Three bounds,
+    each lossless, leave few pairs for the ratio itself: the marks in which two names
+    differ, which are at most the letters that only one has; then the longest common
+    subsequence; then the ratio of (later, earlier), which is asymmetric.
+    """
+    own = names["block"] == names["p"]
+    chars = {c: i for i, c in enumerate(sorted(set("".join(names["n"]))), 1)}
+    x = _Block(names[own], chars) if own.any() else None
+    same = bool((names["p"] == names["q"]).all())
+    y = x if same else _Block(names[~own], chars) if (~own).any() else None
+    if x is None or y is None:
+        return pd.DataFrame({"late": [], "early": []}, dtype="int64")
+    places, late, early = x.places(len(chars) + 1), [], []
+    for k, (start, end) in x.runs.items():
+        for m, (low, high) in y.runs.items():
+            need = int(np.ceil(threshold * (k + m) / 2 - 1e-9))
+            if need > min(k, m):
+                continue
+            most, step = k + m - 2 * need, max(1, CELLS // (high - low))
+            for i in range(start, end, step):
+                rows = slice(i, min(i + step, end))
+                a, b = np.nonzero(np.bitwise_count(x.low[rows, None] ^ y.low[None, low:high]) <= most)
+                a, b = a + i, b + low
+                ok = np.bitwise_count(x.low[a] ^ y.low[b]).astype(int) + np.bitwise_count(x.high[a] ^ y.high[b]) <= most
+                ok &= (x.seq[a] < y.seq[b]) if same else (x.seq[a] != y.seq[b])
+                a, b = a[ok], b[ok]
+                if k <= 64 and len(a):
+                    ok = _common(places, a, x, y, b) >= need
+                    a, b = a[ok], b[ok]
+                for one, other in zip(a, b):
+                    first, second = (x.n[one], y.n[other]) if x.seq[one] < y.seq[other] else (y.n[other], x.n[one])
+                    if SequenceMatcher(None, second, first).ratio() >= threshold:
+                        ids = (x.id[one], y.id[other]) if x.seq[one] < y.seq[other] else (y.id[other], x.id[one])
+                        early.append(ids[0])
+                        late.append(ids[1])
+    return pd.DataFrame({"late": late, "early": early}, dtype="int64")
 
 
 #: Pairs that one task may scan in order; while more are undecided, rounds decide them.
@@ -95,33 +174,25 @@ def refused(pairs: DataFrame, scan_pairs: int = SCAN_PAIRS) -> DataFrame:
 def dedup_names(df: DataFrame, threshold: float = 0.85, order: str = "ingest_seq", name: str = "name", scan_pairs: int = SCAN_PAIRS) -> DataFrame:
     """A row goes if its name resembles that of an earlier row that stays.
 
-    Equal normalised names are settled first (lossless). Pairs of distinct names come
-    from a lossless prefix filter on letters and lengths; ``refused`` decides them. Unnamed
+    Equal normalised names are settled first (lossless). Pairs of distinct names come from
+    blocks of names compared by ``alike``; ``refused`` decides them. Unnamed
     rows stay; of names of white space only, which resemble each other alone, the first does.
     """
     said = F.coalesce(F.col(name), F.lit(""))
     keyed = df.withColumn("_n", F.when(said == "", "").otherwise(F.coalesce(F.nullif(name_key(said), F.lit("")), F.lit(" "))))
-    names = settle(keyed.where("_n <> ''").groupBy("_n").agg(F.min(order).alias("seq")).select(F.col("_n").alias("n"), "seq"), "d2-names")
-    # Matching characters are at most the letters both names have (repeats counted), and a
-    # ratio of t asks for t/2 of both lengths together. So a name of length l needs at least
-    # l*t/(2-t) letters in common with any partner, and two partners share one of the
-    # rarest l - that + 1 letters of each: only names that do are paired, lossless.
-    share = threshold / (2 - threshold)
-    letters = names.select("n", "seq", F.length("n").alias("l"), F.posexplode(F.split("n", "")).alias("i", "c")).where("c <> ''")
-    nth = F.row_number().over(W.Window.partitionBy("n", "c").orderBy("i"))
-    letters = letters.withColumn("letter", F.concat("c", nth.cast("string"))).select("n", "seq", "l", "letter")
-    known = letters.groupBy("letter").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.Window.partitionBy("n").orderBy("df", "letter"))
-    rare = letters.join(known, "letter").withColumn("place", place).where(F.col("place") <= F.col("l") - F.ceil(F.col("l") * share - 1e-9) + 1)
-    rare = settle(rare.select("n", "seq", "l", "letter"), "d2-letters")
-    reach = F.sequence(F.ceil(F.col("l") * share - 1e-9).cast("int"), F.floor(F.col("l") / share + 1e-9).cast("int"))
-    later = rare.select(F.col("n").alias("late"), F.col("seq").alias("ls"), F.col("l").alias("la"), "letter", F.explode(reach).alias("l"))
-    earlier = rare.select(F.col("n").alias("early"), F.col("seq").alias("es"), "l", "letter")
-    near = later.join(earlier, ["letter", "l"]).where("es < ls").select("late", "early", "ls").distinct()
-    # written and spread first: the ratio is worked out once a pair, and not in a few tasks
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = settle(near.repartition(spread, "late", "early"), "d2-near")
-    pairs = settle(near.where(similar(threshold)("late", "early")), "d2-pairs")
+    names = keyed.where("_n <> ''").groupBy("_n").agg(F.min(order).alias("seq")).select(F.col("_n").alias("n"), "seq")
+    names = settle(names.select(F.monotonically_increasing_id().alias("id"), "n", "seq"), "d2-names")
+    # every block of names meets every other; no pair leaves its task before it is confirmed
+    count = names.count()
+    blocks = max(-(-count // NAME_BLOCK), min(LEAST_BLOCKS, -(-count // LEAST_NAMES)), 1)
+    spread = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 1000))
+    placed = names.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = placed.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "seq")
+    found = met.repartition(spread, "p", "q").groupBy("p", "q").applyInPandas(lambda g: alike(g, threshold), _ALIKE)
+    found = settle(found, "d2-alike")
+    side = lambda c: names.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("seq").alias(f"{c}_s"))
+    pairs = found.join(side("late"), "late").join(side("early"), "early")
+    pairs = settle(pairs.select(F.col("late_n").alias("late"), F.col("early_n").alias("early"), F.col("late_s").alias("ls")), "d2-pairs")
 
     gone = refused(pairs, scan_pairs).select(F.col("late").alias("n"))
     stays = names.join(gone, "n", "left_anti").select(F.col("n").alias("_n"), F.col("seq").alias("_first"))

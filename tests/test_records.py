@@ -7,6 +7,7 @@ import random
 import zipfile
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,29 @@ def test_dedup_names_decides_chains_of_any_length(spark):
     assert [r.name for r in D.dedup_names(df).orderBy("ingest_seq").collect()] == greedy(names)
 
 
+def test_few_pairs_of_names_come_to_the_ratio(spark, monkeypatch):
+    """Names made of the same syllables: three bounds leave a small part of the pairs to the ratio, and lose none."""
+    random.seed(17)
+    made = lambda: "".join(random.choice("bdfglmnprstv") + random.choice("aeiou") for _ in range(random.randint(3, 5)))
+    names = list(dict.fromkeys(f"{made()} {random.choice(['group srl', 'sistemas', 'tech s.a.'])}" for _ in range(260)))
+    names += [f"{made()} {'x' * 60}" for _ in range(6)]
+    names += [n[:-1] + "é" for n in names[:20]] + [f"{n[1:]}q" for n in names[20:40]] + ["a" * 90 + "b", "a" * 90, "日本 tech", " "]
+    real, asked = D.SequenceMatcher, []
+    monkeypatch.setattr(D, "SequenceMatcher", lambda *a: asked.append(a) or real(*a))
+    want = {(i, j) for j in range(len(names)) for i in range(j) if real(None, names[j], names[i]).ratio() >= 0.85}
+    rows = [(i % 2, i, n, i) for i, n in enumerate(names)]
+    got = set()
+    for p, q in [(0, 0), (0, 1), (1, 1)]:
+        group = pd.DataFrame([(p, q, *r) for r in rows if r[0] in (p, q)], columns=["p", "q", "block", "id", "n", "seq"])
+        got |= {(e, a) for a, e in D.alike(group, 0.85).itertuples(index=False)}
+    assert got == want and len(want) > 40
+    assert len(asked) < 2 * len(want)
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "NAME_BLOCK", 64)
+    df = spark.createDataFrame(list(enumerate(names)), "ingest_seq bigint, name string")
+    assert [r.name for r in D.dedup_names(df).orderBy("ingest_seq").collect()] == greedy(names)
+
+
 def test_greedy_rounds_equal_the_scan(spark):
     random.seed(3)
     edges = sorted({(b, a, b) for a, b in (sorted(random.sample(range(40), 2)) for _ in range(60))} | {(i, i - 1, i) for i in range(50, 60)})

@@ -26,7 +26,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -227,12 +228,12 @@ def parse_place(place: str | None) -> tuple[str, str]:
     return rest, country
 
 
-PARSED = "title string, name string, place string, words array<string>, level string, whole string, core string, line string, city string, country string"
+PARSED = "title string, name string, place string, words array<string>, level string, whole string, core string, line string, city string, country string, mark bigint"
 CONTENT = ["words", "level", "whole", "core", "line", "city", "country"]
 
 
-def parsed(records: DataFrame, key: str, title: str, company, location: str) -> tuple[DataFrame, DataFrame]:
-    """(contents, members): distinct parsed contents with an id, and which rows have each.
+def parsed(records: DataFrame, key: str, title: str, company, location: str, members: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(contents, members): distinct parsed contents with an id, and which rows have each, if asked for.
 
     Both come from one pass over distinct strings; rows without title or company drop out.
     """
@@ -244,24 +245,62 @@ def parsed(records: DataFrame, key: str, title: str, company, location: str) ->
             out = []
             for t, n, p in zip(pdf.title, pdf.name, pdf.place):
                 role, tech, level = parse_title(t)
-                out.append((t, n, p, title_words(t, role, tech), level, *parse_company(n), *parse_place(p)))
+                company = parse_company(n)
+                out.append((t, n, p, title_words(t, role, tech), level, *company, *parse_place(p), letters(company[0])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     forms = raw.select("title", "name", "place").distinct().mapInPandas(run, PARSED)
-    rows = raw.join(forms, ["title", "name", "place"]).select("row", *CONTENT)
-    rows = settle(rows.withColumn("id", F.xxhash64(*CONTENT)), f"p7-{key}")
-    contents = rows.groupBy("id").agg(F.min("row").alias("first"), *[F.first(c).alias(c) for c in CONTENT])
-    return contents, rows.select("id", "row")
+    rows = raw.join(forms, ["title", "name", "place"]).select("row", *CONTENT, "mark")
+    rows = rows.withColumn("id", F.xxhash64(*CONTENT))
+    rows = settle(rows, f"p7-{key}") if members else rows
+    contents = rows.groupBy("id").agg(F.min("row").alias("first"), *[F.first(c).alias(c) for c in [*CONTENT, "mark"]])
+    return settle(contents, f"p7-contents-{key}"), rows.select("id", "row") if members else None
 
 
-def _keys(c: DataFrame) -> DataFrame:
-    """A row for each key of a content; hot companies are split by word and by place."""
+def _close_lines() -> list[tuple[str, str]]:
+    """(longer, shorter) lines of business that names with the one and the other can end in and be within three edits."""
+    apart = lambda x, y: min([edits(x, y[j:]) for j in range(len(y) + 1)] + [edits(x[i:], y) for i in range(len(x) + 1)])
+    pairs = [sorted(p, key=len, reverse=True) for p in combinations(BUSINESS, 2)]
+    return [(x, y) for x, y in pairs if apart(x, y) <= 3]
+
+
+def _keys(c: DataFrame, side: str) -> DataFrame:
+    """A row for each key of a content of ``side`` l or o; hot companies are split by word, by line and by place.
+
+    No pair within three edits is lost. Companies with the same line, or without any, meet
+    under it; one with another line comes there only if its end is within three edits of
+    that line as well. Where one of two has a line (the tag says which), they meet apart; if
+    they only end alike their lengths differ by three at most, as equal cores begin alike.
+    """
     k = lambda tag, *cols: F.xxhash64(F.lit(tag), *cols)
-    begin, end = F.substring("core", 1, 4), F.expr("right(core, 4)")
-    by_word = F.transform("words", lambda w: F.array(k("b", begin, w), k("e", end, w)))
-    by_place = F.when((F.col("city") != "") | (F.col("country") != ""), F.array(k("p", "whole", "city", "country")))
-    keys = F.array_distinct(F.concat(F.flatten(by_word), F.coalesce(by_place, F.array().cast("array<bigint>"))))
-    return c.withColumn("key", F.explode(keys))
+    begin, end, other = F.substring("core", 1, 4), F.expr("right(core, 4)"), "o" if side == "l" else "l"
+    bare = F.when(F.col("line") == "", F.lit(side)).otherwise(F.lit(other))  # which of the two has no line
+    close = _close_lines()
+    near = lambda x: f"exists(sequence({len(x) - 3}, {len(x) + 3}), n -> levenshtein(right(whole, n), '{x}', 3) >= 0)"
+    others = ", ".join(f"if(line = '{y}' and {near(x)}, '{x}', null)" for x, y in close)
+    lines = F.when(F.col("line").isin(*{y for _, y in close}), F.expr(f"filter(array(line, {others}), x -> x is not null)")).otherwise(F.array("line"))
+    # rows rather than lambdas, which aren't compiled
+    by_line = c.withColumn("z", F.explode(lines)).withColumn("w", F.explode("words"))
+    spans = F.expr("sequence(greatest(length(whole) - 3, 0) div 4, (length(whole) + 3) div 4)" if side == "l" else "array(length(whole) div 4)")
+    apart = c.withColumn("n", F.explode(spans)).withColumn("w", F.explode("words"))
+    placed = c.where("city <> '' or country <> ''").withColumn("key", k("p", "whole", "city", "country"))
+    parts = [
+        by_line.withColumn("key", F.explode(F.array(k("b", begin, "w", "z"), k("e", end, "w", "z")))),
+        c.withColumn("w", F.explode("words")).withColumn("key", k("mb", bare, begin, "w")),
+        apart.withColumn("key", k("me", bare, end, "w", F.col("n").cast("bigint"))),
+        placed,
+    ]
+    return reduce(DataFrame.unionByName, [p.select(*c.columns, "key") for p in parts])
+
+
+@lru_cache(maxsize=50_000)
+def letters(name: str) -> int:
+    """Bits of a name's letters, first ones apart from further ones; an edit changes two of them at most."""
+    marks = 0
+    for ch in name:
+        bit = 1 << ord(ch) % 32
+        marks |= bit << 32 if marks & bit else bit
+    return marks - (1 << 64) if marks >> 63 else marks
 
 
 def _gap(a: str, b: str) -> str:
@@ -295,13 +334,14 @@ def similarities() -> dict[str, Column]:
 
 def candidate_pairs(listings: DataFrame, openings: DataFrame) -> DataFrame:
     """(lid, oid, ofirst, FEATURES): candidates with their similarity vectors."""
-    side = lambda d, p: _keys(d).select("key", F.col("id").alias(f"{p}id"), F.col("first").alias(f"{p}first"), *[F.col(c).alias(f"{p}{c}") for c in CONTENT])
-    pairs = side(listings, "l").join(side(openings, "o"), "key")
+    slim = lambda d: d.select("id", "words", "whole", "core", "line", "city", "country", "mark", F.xxhash64("core").alias("ch"))
+    side = lambda d, p: _keys(slim(d), p).select("key", *[F.col(c).alias(p + c) for c in ("id", "whole", "mark", "ch")])
     # what can't resemble goes by the cheapest test first
-    pairs = pairs.where("lwhole = owhole or lcore = ocore or (abs(length(lwhole) - length(owhole)) <= 3 and levenshtein(lwhole, owhole, 3) >= 0)")
-    # the vector where the pair arises, so that only numbers are shuffled
-    near = pairs.select("lid", "oid", "ofirst", *[c.alias(f) for f, c in similarities().items()])
-    return near.where(F.col("company") >= RESEMBLES).dropDuplicates(["lid", "oid"])
+    resemble = "lch = och or (bit_count(lmark ^ omark) <= 6 and abs(length(lwhole) - length(owhole)) <= 3 and levenshtein(lwhole, owhole, 3) >= 0)"
+    pairs = side(listings, "l").join(side(openings, "o"), "key").where(resemble).select("lid", "oid").distinct()
+    whole = lambda d, p: d.select(F.col("id").alias(f"{p}id"), F.col("first").alias(f"{p}first"), *[F.col(c).alias(f"{p}{c}") for c in CONTENT])
+    near = pairs.join(whole(listings, "l"), "lid").join(whole(openings, "o"), "oid")
+    return near.select("lid", "oid", "ofirst", *[c.alias(f) for f, c in similarities().items()]).where(F.col("company") >= RESEMBLES)
 
 
 class Mixture:
@@ -364,7 +404,7 @@ def match_entities(listings: DataFrame, openings: DataFrame, opening_key: str =
     """(opening_key, listing_key, confidence): at most one opening for each listing."""
     lc, lm = parsed(listings, listing_key, "title", F.col("companyName"), "location")
     company = F.coalesce(F.when(F.trim("company") != "", F.col("company")), F.col("companyName"))
-    oc, _ = parsed(openings, opening_key, "title", company, "location")
+    oc, _ = parsed(openings, opening_key, "title", company, "location", members=False)
     pairs = settle(candidate_pairs(lc, oc), "p7-pairs")
     matched = fit_posteriors(pairs).where(F.col("g") >= ACCEPT)
     best = matched.groupBy("lid").agg(F.max_by(F.struct("ofirst", "g"), F.struct("g", -F.col("ofirst"))).alias("b"))

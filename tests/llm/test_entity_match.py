@@ -84,6 +84,38 @@ def _openings(n, roles, seed):
     return openings, listings, want
 
 
+def test_candidates_are_all_that_share_an_end_and_a_word(spark):
+    """Against every pair by definition; joined are few more than resemble, though all companies end alike."""
+    rnd = random.Random(8)
+    ends, legal = ["quen", "inor"], ["", "", " S.A.", " SRL", " X Labz"]
+    lines = ["", "", " Labs", " Tech", " Group", " Soluciones", " Sistemas", " Sistmas", "labs", " Consultores"]
+    syl = lambda n: "".join(rnd.choice("bdfgl") + rnd.choice("aei") for _ in range(n))
+    made = lambda i: (i, f"{rnd.choice(['Java', 'Go'])} {rnd.choice(['Analista', 'Baker'])}", syl(rnd.choice([1, 2, 3])) + rnd.choice(ends) + rnd.choice(lines) + rnd.choice(legal), rnd.choice(["Lima", None, "Madrid"]))
+    rows = [made(i) for i in range(900)] + [(900, "Java Baker", "!!", "Lima"), (901, "Java Baker", "xyztech", None), (902, "Java Baker", "日本", None), (903, "Go Baker", "techlabs", None)]
+    for i, (x, y) in enumerate([("Sistemas", "sis Tech"), ("Sistemas", "sistem Labs"), ("Soluciones", "soluci Tech"), ("Digital", "digi Labs"), ("Digital", "dig Tech"), ("Software", "sof Tech"), ("Consultores", "consulto Labs"), ("Servicios", "servici Labs")]):
+        rows += [(910 + 2 * i, "Java Baker", f"bifaga {x}", None), (911 + 2 * i, "Java Baker", f"bifaga{y}", None)]
+    schema = "row bigint, title string, name string, place string"
+    lc, oc = (parsed(spark.createDataFrame(r, schema), "row", "title", F.col("name"), "place")[0] for r in (rows[:900:3] + rows[900:], rows))
+    ls, os_ = lc.collect(), oc.collect()
+    ends_of = lambda c: (c[:4], c[-4:])
+    want = set()
+    for a, b in itertools.product(ls, os_):
+        alike = any(x == y for x, y in zip(ends_of(a.core), ends_of(b.core))) and set(a.words) & set(b.words)
+        placed = a.whole == b.whole and (a.city, a.country) == (b.city, b.country) != ("", "")
+        gap = edits(a.whole, b.whole)
+        if a.core == b.core and "" in (a.line, b.line):
+            gap = 0
+        if (alike or placed) and gap <= 3:
+            want.add((a.id, b.id))
+    got = [(r.lid, r.oid) for r in candidate_pairs(lc, oc).collect()]
+    assert len(got) == len(set(got)) and len(want) > 2000
+    assert want - set(got) == set()
+    assert {p for p in got if p not in want} == set()
+    keyed = lambda d, p: em._keys(d, p).groupBy("key").agg(F.count("*").alias(p))
+    joined = keyed(lc, "l").join(keyed(oc, "o"), "key").agg(F.sum(F.col("l") * F.col("o"))).first()[0]
+    assert joined < 0.4 * len(ls) * len(os_)
+
+
 def test_mixture_decides_on_words_it_never_saw(spark):
     """Roles, places and businesses that no list holds; the blocking loses under 5 %."""
     openings, listings, want = _openings(300, ["machinist", "florist", "paramedic", "surveyor", "upholsterer"], 5)

@@ -7,13 +7,11 @@ readable address (the slug), small deviations allowed, by content-defined chunki
 * a rolling hash over ``WINDOW`` characters puts a chunk boundary where it is 0 modulo
   ``DIVISOR``, so a deviation touches only the chunks around it;
 * a persistent table holds the chunks (hash and bytes) of every accepted address;
-* the chunks of an address without number, rarest first, are looked up there; the bytes of
-  the chunks that both addresses have over all its bytes is the coverage, and ``COVERAGE``
-  decides. Rarest first is lossless: chunks are left out of the lookup only while all those
-  left out together stay below the coverage asked for, so a pair that reaches it shares a
-  chunk that was looked up;
-* an exact check follows: equal tokens but for one long token with one edit (or two
-  neighbours swapped) or a cut-off end.
+* an exact check tells a deviation: equal tokens but for one long token with one edit (or
+  two neighbours swapped) or a cut-off end. What it leaves equal (all tokens but one, or
+  all but the end) is looked up, which is lossless and brings few other pairs;
+* the bytes of the chunks that both addresses have over all bytes of the one without number
+  is the coverage, and a pair has to reach ``COVERAGE`` too.
 
 Addresses without number that deviate from each other are one posting (connected, however
 long the chain), which is the earliest numbered one that any of them deviates from. Only
@@ -46,6 +44,8 @@ COVERAGE = 0.45
 #: Low bits of a chunk that hold its bytes; the others are its hash.
 SIZE_BITS = 20
 SLACK = 3
+#: A word that may hold an edit, and an address that may be cut off, have at least so many characters.
+LONG, LEAST = 5, 12
 #: Boards by host (fixed values); relative addresses belong to the first.
 BOARDS = {"v": "vinculared.example", "t": "tablonlaboral.example"}
 ADDRESSES = ("url", "job_url", "applyUrl")
@@ -129,7 +129,7 @@ def same_address(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > SLACK:
         return False
     short, long = sorted((a, b), key=len)
-    if long.startswith(short) and len(short) >= 12:
+    if long.startswith(short) and len(short) >= LEAST:
         return True
     x, y = a.split("-"), b.split("-")
     if len(x) != len(y):
@@ -138,7 +138,7 @@ def same_address(a: str, b: str) -> bool:
     if len(off) != 1:
         return False
     p, q = off[0]
-    if min(len(p), len(q)) < 5:
+    if min(len(p), len(q)) < LONG:
         return False
     return _one_edit(p, q)
 
@@ -159,27 +159,42 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_address(p, q) for p, q in zip(a, b)], dtype=bool)
 
 
+def lookups(slugs: DataFrame, asked: bool) -> DataFrame:
+    """(slug, key): keys that an asked and a known address share whenever ``same_address`` holds, but for equal ones.
+
+    Either all words but a long one are equal, or one address is the other without its end.
+    """
+    # place i > 0 leaves a word out, i < 0 the last characters, 0 nothing; rows, since lambdas aren't compiled
+    words = slugs.select("slug", F.explode(F.array(F.split("slug", "-"))).alias("t"))
+    placed = words.select("slug", "t", F.explode(F.sequence(F.lit(-SLACK), F.size("t"))).alias("i"))
+    placed = placed.where(f"case when i > 0 then length(get(t, i - 1)) >= {LONG} when i < 0 then length(slug) + i >= {LEAST} else true end")
+    whole, ends = ("asked short", "asked long") if asked else ("asked long", "asked short")
+    key = F.expr(
+        f"case when i > 0 then xxhash64('word', concat_ws('-', slice(t, 1, greatest(i - 1, 0)), '*', slice(t, greatest(i, 0) + 1, size(t))))"
+        f" when i < 0 then xxhash64('{ends}', substring(slug, 1, length(slug) + i)) else xxhash64('{whole}', slug) end"
+    )
+    return placed.select("slug", key.alias("key"))
+
+
 def near_addresses(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(slug, match): known addresses that each asked one deviates little from.
 
-    Both hold slug and chunks. The asked ones (without number) are few; the known ones are
-    streamed past them where the lookups are small enough to broadcast.
+    Both hold slug and chunks. Chunks alone are common (a role, a town), and the more
+    addresses the more share one; so an address is looked up by what the exact check leaves
+    equal, and the coverage by chunks is worked out for the few pairs that pass it. The
+    asked ones (without number) are few; the known ones are streamed past them where the
+    lookups are small enough to broadcast.
     """
-    pieces = asked.select("slug", F.explode("chunks").alias("chunk")).withColumn("bytes", F.expr(_bytes("chunk")))
-    heads = known.select(F.explode("chunks").alias("chunk"))
-    df = heads.join(broadcast_if_small(pieces.select("chunk").distinct()), "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("df"))
-    weighed = pieces.join(df, "chunk", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    total, left_out = F.expr("sum(bytes) over (partition by slug)"), F.expr("sum(bytes) over (partition by slug order by df desc, chunk)")
-    weighed = weighed.withColumn("total", total).withColumn("left_out", left_out).where((F.col("left_out") >= F.col("total") * COVERAGE) & (F.col("df") > 0))
-    # the length goes into the key: a small deviation changes it by SLACK at most
-    near_length = F.explode(F.sequence(F.length("slug") - SLACK, F.length("slug") + SLACK))
-    lookup = weighed.join(asked.select("slug", F.col("chunks").alias("own")), "slug").select("slug", "own", "total", "chunk", F.substring("slug", 1, 2).alias("board"), near_length.alias("len"))
-    lookup = settle(lookup, "p2-lookup")
-    heads = known.select(F.col("slug").alias("match"), "chunks", F.explode("chunks").alias("chunk"), F.length("slug").alias("len"), F.substring("slug", 1, 2).alias("board"))
-    found = heads.join(broadcast_if_small(lookup), ["chunk", "len", "board"]).where("slug <> match")
+    lookup = settle(lookups(asked, True), "p2-lookup")
+    heads = lookups(known, False).withColumnRenamed("slug", "match")
+    found = heads.join(broadcast_if_small(lookup), "key").where("slug <> match and left(slug, 2) = left(match, 2)")
+    pairs = settle(found.select("slug", "match").distinct().where(_confirmed("slug", "match")), "p2-confirmed")
+    few = broadcast_if_small(pairs)
+    own = asked.join(broadcast_if_small(pairs.select("slug").distinct()), "slug", "left_semi").select("slug", F.col("chunks").alias("own"))
+    both = known.select(F.col("slug").alias("match"), "chunks").join(few, "match").join(own, "slug")
+    total = F.expr(f"aggregate(own, 0L, (n, x) -> n + {_bytes('x')})")
     shared = F.expr(f"aggregate(array_intersect(own, chunks), 0L, (n, x) -> n + {_bytes('x')})")
-    covered = found.where(shared >= F.col("total") * COVERAGE).select("slug", "match").distinct()
-    return covered.where(_confirmed("slug", "match"))
+    return both.where(shared >= total * COVERAGE).select("slug", "match").distinct()
 
 
 class PostingHistory:

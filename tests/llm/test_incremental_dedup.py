@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from acequia.llm.incremental_dedup import PostingHistory, chunks_of, identify, near_addresses, same_address
+from acequia.llm.incremental_dedup import PostingHistory, chunks_of, identify, lookups, near_addresses, same_address
 from acequia.session import scratch_path
 
 COLS = "ingest_seq bigint, source string, url string, job_url string, applyUrl string, external_id string, jobId bigint, slug string"
@@ -87,6 +87,18 @@ def test_near_addresses_recall_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
+def test_lookups_bring_all_deviations_and_few_other_pairs(spark):
+    """All addresses share roles, towns and lines of business, so their chunks; the pairs looked up don't grow with that."""
+    random.seed(10)
+    known = sorted(set(slugs(500)) | {"v:analista-go-lima", "v:ab-cd", "v:x--y-abcdefgh-"})
+    asked = sorted(({deviate(random.choice(known)) for _ in range(150)} | {k[:-3] for k in known[:40]} | {k + "-sa" for k in known[40:80]} | {"v:x--y-abcdefg-", "v:ab-ce"}) - set(known))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "slug string")
+    pairs = lookups(frame(asked), True).join(lookups(frame(known), False).withColumnRenamed("slug", "match"), "key").select("slug", "match").collect()
+    want = {(a, k) for a in asked for k in known if same_address(a, k)}
+    assert want <= {(r.slug, r.match) for r in pairs} and len(want) > 150
+    assert len(pairs) < 0.05 * len(asked) * len(known)
+
+
 def test_batches_equal_one_run_and_empty_batches(spark, sf):
     df = spark.read.parquet(f"{sf}/jobs.parquet").withColumn("extra", F.lit(1))
     whole = accept(spark, df)
